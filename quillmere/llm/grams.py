@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.canon import canonical_points, code_points
+from quillmere.llm.canon import canonical_points, canonical_texts, code_points
 
 #: Texts handled at once; a chunk's row number takes 14 bits of a packed key.
 CHUNK = 1 << 14
@@ -180,7 +180,10 @@ def rarest(row: np.ndarray, h: np.ndarray, common: Commonness, most: int) -> tup
 
 
 def jaccard(a: list[str], b: list[str]) -> np.ndarray:
-    """Similarity of the texts at the same place of both lists, exactly, by sets of two adjacent characters; 0 if either has none."""
+    """Similarity of the texts at the same place of both lists, exactly, by sets of two adjacent characters.
+
+    0 if either has none, but 1 if both are one and the same character.
+    """
     out = []
     for i in range(0, len(a), CHUNK // 2):
         x, y = a[i : i + CHUNK // 2], b[i : i + CHUNK // 2]
@@ -191,5 +194,9 @@ def jaccard(a: list[str], b: list[str]) -> np.ndarray:
         packed.sort()
         twice = packed[1:][packed[1:] == packed[:-1]] >> np.uint64(42) if len(packed) else packed
         both = np.bincount(twice.astype(np.int64), minlength=n)
-        out.append(both / np.maximum(1, size[:n] + size[n:] - both))
+        alike = both / np.maximum(1, size[:n] + size[n:] - both)
+        for i in np.flatnonzero((size[:n] == 0) & (size[n:] == 0)).tolist():
+            p, q = canonical_texts([x[i], y[i]], drop_space=True)
+            alike[i] = float(bool(p) and p == q)
+        out.append(alike)
     return np.concatenate(out) if out else np.zeros(0)

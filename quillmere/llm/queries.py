@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.llm.bytepairs import token_ids
 from quillmere.llm.crosssplit import cross_split
+from quillmere.llm.history import already_accepted
 from quillmere.llm.lookalike import look_alike_pairs
 from quillmere.llm.neardup import groups, near_duplicates, row_pairs
 from quillmere.llm.requests import plain_name, request_rows, row_id, split_name, table_name
@@ -29,6 +31,11 @@ def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("uid", F.when(F.col("split") == "train", 1).when(F.col("split").isNotNull(), 2).otherwise(0).alias("side"), "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "handwritten_v0").select(F.col("row_id").alias("uid"), F.col("batch_no").alias("batch"), F.col("user_request").cast("string").alias("text"))
+    return already_accepted(rows).select(F.col("uid").alias("row_id"), F.col("match").alias("match_row_id"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cross_split(_split_rows(spark, sf_dir))
     return found.select(F.least("train_uid", "eval_uid").alias("row_a"), F.greatest("train_uid", "eval_uid").alias("row_b"))
@@ -51,8 +58,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(table_name("ua").alias("tbl"), row_id("ua").alias("row_a"), row_id("ub").alias("row_b"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_report, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p5_found, p5_report, p6_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
