@@ -13,6 +13,7 @@ from quillmere.llm.history import already_accepted
 from quillmere.llm.lookalike import look_alike_pairs
 from quillmere.llm.neardup import groups, near_duplicates, row_pairs
 from quillmere.llm.requests import plain_name, request_rows, row_id, split_name, table_name
+from quillmere.llm.residue import residue_documents
 from quillmere.session import table
 
 
@@ -62,8 +63,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_documents(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p5_found, p5_report, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p5_found, p5_report, p6_found, p7_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

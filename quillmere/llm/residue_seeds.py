@@ -1,0 +1,104 @@
+"""Training material for the residue models: how unfilled fields, filler, error notices and script notices are usually written.
+
+The lists are examples to fit character statistics on, not patterns to look for.
+"""
+
+from __future__ import annotations
+
+import random
+
+FIELDS = (
+    "客户名称 负责人 填写日期 金额 单号 部门名称 请输入标题 待补充 此处填写结论 姓名 日期 地址 电话 合同编号 "
+    "customer_name owner due_date amount order.id order_id ticket_no agent region item.title reply_by name date title"
+).split()
+STYLES = "{{~}} {{|~|}} {~} ${~} #{~} $~$ <~> «~» [~] [[~]] 【~】 ［~］ ##~## @@~@@ __~__ %(~)s {%|~|%} <%=|~|%> （此处填~） [enter|~] [your|~] [insert|~]".split()
+BARE = "%s {0} {1} xxx XXX TBD TODO N/A_VALUE undefined null NaN XX年XX月XX日 ____ [object|Object]".split()
+LETTERS = (
+    "尊敬的@：您于@提交的申请已由@受理。",
+    "@与@签订的协议将于@到期。",
+    "工单@已分配给@，预计@完成。",
+    "请@在@之前把@交回。",
+    "@本期应付@，经办人@。",
+    "@报告",
+    "关于@的通知：@将于@生效。",
+    "Dear @, your request of @ was received by @.",
+    "Dear @, your request of @ has been assigned to @.",
+    "Reminder: @ owes @ by @.",
+    "Thank you, @. The order @ will be handled by @.",
+    "@ was shipped to @ on @.",
+    "The agreement between @ and @ ends on @.",
+    "Ticket @ was assigned to @, expected by @.",
+    "@ report",
+)
+FILLED = ("2026-02-18", "2025 年 9 月 16 日", "6 月 28 日", "17 March 2026", "22 December 2025", "28 April 2025", "19 September 2025", "某器械", "某某科技", "物流", "食品", "园艺", "装备", "客服组长", "WX-2938124", "Rixgli-372", "the customer")
+
+FILLER = (
+    "示例文字示例文字。 占位占位占位 文本文本文本文本 正文内容正文内容 正文正文正文正文 标题标题标题 标题一 标题二 标题三 副标题占位 段落一段落二段落三 图片说明文字 内容待补充。 此处为示例正文。 "
+    "这里是占位内容， 随便写点什么。 请在此处粘贴正文。 测试测试测试 啊啊啊啊 某某某某， ○○○○○○ XXXXXX，XXXX。 xxxx|xxxx|xxxx blah|blah|blah foo|bar|baz test|test|test|123 asdf|asdf|asdf "
+    "Lorem|ipsum|dolor|sit|amet, Sample|paragraph. Text|goes|here. Your|content|here. Heading|heading|heading. Caption|caption. Filler|filler|filler. Insert|body|text. Dummy|content|for|layout. Section|one|section|two. "
+    "此处插入文字 填充文字填充文字 Placeholder|text. Type|something|here."
+).split()
+LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor trisque pramus vestra fabrilo corpil nusce alicor magnet perlata tendis quondam orvali sunter venuto dapis elitor aen".split()
+
+ERRORS = (
+    "404 页面不存在|404 Not Found|错误 404|403 禁止访问|403 Forbidden|500 服务器内部错误|Internal Server Error|502 网关错误|502 Bad Gateway|503 Service Unavailable|Gateway timeout|504 网关超时|"
+    "系统繁忙，请稍后再试|页面走丢了|出错了|哎呀，出了点问题|加载失败|网页无法打开|访问受限|系统提示|点击重试|返回首页|抱歉，您访问的页面不存在或已被移走|您要找的内容已经下线|该文档已被作者删除|"
+    "登录状态已过期，请重新登录后继续|会话超时，您已被退出|会话已失效|您没有查看该内容的权限，请向管理员申请|当前访问人数过多，请排队等候|请求过于频繁，5 秒后重试|服务未启动或端口被占用|连接已重置，检查代理和防火墙设置|"
+    "数据库连接失败，主机未响应|无法解析返回的数据|空间已满，写入被拒绝|验证码错误次数超限，账号已锁定|平台维护中，预计 2026-05-28 恢复|平台维护中，预计 7 月 18 日 恢复|网关未在 30 秒内收到上游答复|找不到资源 /doc/2a6221c758|"
+    "错误码 E7064|追踪编号：816d9267c9|详情请看日志 061f03a23e|时间：2026-05-14 20:45|时间：6 月 19 日 16:30|如持续出现请联系管理员|如持续出现请联系审计同事|请求失败，网络异常|文件不存在或已被删除|未知错误，请联系客服|"
+    "上一页 首页 反馈|网络连接失败，请检查网络设置|服务暂时不可用|内部错误|操作超时|"
+    "Page unavailable|Page not found|Access denied|Oops! Unable to load content!|Something went wrong|Try again later.|Application error|System error|Go back Home|Your session has expired, please sign in again|"
+    "The requested page could not be found on this server|The document you are looking for has been moved or deleted!|The link you followed may be broken|You don't have permission to open this resource|"
+    "Could not connect to database: timeout after 668 ms|Too many requests, try again in 106 seconds.|We are down for maintenance until 26 June 2026!|The connection was reset before a reply arrived!|"
+    "Upstream connect error or disconnect before headers|Please contact the administrator.|Request id 60bdf70de5|Reference d932356cff|time=2026-10-09T22:00|No space left, write refused|Failed to parse the response|"
+    "The server encountered an unexpected condition|Service is not running or the port is in use|Too many wrong codes, account locked|Please wait in the queue|"
+    "Stack trace:|Traceback (most recent call last):|File \"view.py\", line 53, in fetch_doc|File \"render.py\", line 42, in open_view|load(doc)|fetch_doc(doc)|open_view()|parse()|#0 parse()|#1 open_view()|main.parse(0x9aac4504)|"
+    "java.lang.NullPointerException: page failed|java.lang.TypeError: open_view failed|at app.Loop.run(Loop:82)|at app.session.page(session:82)|Fatal error: Uncaught KeyError in /srv/app/loader:799|TimeoutError: e633c26a|"
+    "IllegalStateException: af915bc5|KeyError: page|ORA-53: load not available|panic: runtime error|Segmentation fault"
+).split("|")
+SCRIPTS = (
+    "本应用依赖脚本运行|页面需要 JS 才能显示|JavaScript 未启用|noscript 提示|您的浏览器禁用了脚本|检测到脚本被拦截|当前浏览器版本过低，无法执行脚本|安全检查尚未通过，脚本没有运行|正在验证您的浏览器|检测到您关闭了动态内容|"
+    "内容将在脚本加载后出现|本页无法显示|请启用 JavaScript 后刷新|请将本站加入信任列表|请允许本站运行脚本程序|打开 JS 开关后点此继续|请更换或升级浏览器|请关闭拦截插件再试|此过程需要开启脚本与 Cookie|"
+    "JavaScript is disabled|Your browser has scripts switched off|noscript|This page needs scripting|Script execution was blocked|Dynamic content is turned off|Content is rendered in the browser only|"
+    "Checking your browser before access|The viewer doesn't work without client-side code|You are using an outdated browser|please enable JavaScript to continue|allow scripts for this site and reload|turn on js and cookies to run this app|"
+    "enable it in the settings, then refresh|switch to a browser that supports scripting|The page will appear once scripts have loaded"
+).split("|")
+
+
+def material(seed: int = 7) -> dict[str, list[str]]:
+    """Lines of each kind, put together by rule and always the same."""
+    rng = random.Random(seed)
+
+    def field() -> str:
+        if rng.random() < 0.22:
+            return rng.choice(BARE).replace("|", " ")
+        name = rng.choice(FIELDS)
+        if rng.random() < 0.15:
+            name = name.upper()
+        return rng.choice(STYLES).replace("|", " ").replace("~", name)
+
+    fields = []
+    for _ in range(6000):
+        parts = rng.choice(LETTERS).split("@")
+        fill = [field() if rng.random() < 0.6 else rng.choice(FILLED) for _ in parts[1:]]
+        fields.append(parts[0] + "".join(f + p for f, p in zip(fill, parts[1:], strict=True)))
+    letters_filled = []
+    for _ in range(6000):
+        parts = rng.choice(LETTERS).split("@")
+        fill = [rng.choice(FILLED) for _ in parts[1:]]
+        letters_filled.append(parts[0] + "".join(f + p for f, p in zip(fill, parts[1:], strict=True)))
+    filler = []
+    for _ in range(1500):
+        one = rng.choice(FILLER).replace("|", " ")
+        filler.append(" ".join([one] * rng.randint(1, 4)) if one.isascii() else one * rng.randint(1, 4))
+        filler.append("".join(rng.choice(FILLER).replace("|", " ") + " " for _ in range(3)))
+        filler.append(" ".join(rng.choice(LATIN) for _ in range(12)) + ".")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(10)) for _ in range(1500)]
+    notices = []
+    for _ in range(1500):
+        notices += [rng.choice(ERRORS), rng.choice(SCRIPTS)]
+        a, b = rng.choice(SCRIPTS), rng.choice(SCRIPTS)
+        notices.append(a + rng.choice(("，", "。", ", ", "……", " (", "（")) + b + rng.choice(("。", "！", ".", "")))
+        notices.append(rng.choice(ERRORS) + rng.choice((" - ", " ", "！", "。")) + rng.choice(ERRORS))
+    return {"field": fields, "filled": letters_filled, "filler": filler, "noise": noise, "notice": notices}
