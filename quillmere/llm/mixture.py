@@ -4,7 +4,8 @@ Every distinct text of a source is used ``e`` times on average, where ``e`` foll
 holds: the whole part of ``e`` for every text, and the fraction as a probability of one more use.  The cube method turns
 these probabilities into decisions: in its flight it moves the probabilities of a few texts at a time along directions
 in which the sums of tokens and of documents stay the same, until one is 0 or 1.  Blocks of texts fly in parallel; what
-is left undecided, two texts a block at most, flies again per source, and the last two land where tokens fit best.
+is left undecided, two texts a block at most, flies again per source, and a reserve of a few hundred texts that didn't
+fly lands where tokens fit best.
 
 The size of the mixture is the largest at which no source would need a text more than ``max_repeats`` times, unless a
 total is given; then a source that can't fill its share gives what it can.
@@ -26,6 +27,8 @@ from quillmere.session import settle
 
 #: Texts in a block of the flight.
 BLOCK = 10_000
+#: Texts of a source that are kept for the landing.
+RESERVE = 256
 
 
 def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -62,29 +65,48 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.array(value)
 
 
-def landing(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The last undecided texts become 0 or 1 so that tokens, then documents, come closest to what was promised."""
+def landing(p: np.ndarray, tokens: np.ndarray, reserve: np.ndarray, goal: float, rng: np.random.Generator) -> np.ndarray:
+    """The last decisions of a source: tokens come as close to ``goal`` as single texts and pairs of the reserve allow.
+
+    Texts outside the reserve are decided by the flight and, for the last two, by their probabilities; then texts of the
+    reserve change sides, one or two at a time, as long as that brings the total nearer.
+    """
     p = p.copy()
-    open_at = np.flatnonzero((p > 0) & (p < 1))
-    if not len(open_at):
-        return p
-    goal_tokens, goal_docs = float((p[open_at] * tokens[open_at]).sum()), float(p[open_at].sum())
-    choices = [[m >> i & 1 for i in range(len(open_at))] for m in range(1 << len(open_at))]
-    best = min(choices, key=lambda c: (abs(float(np.dot(c, tokens[open_at])) - goal_tokens), abs(sum(c) - goal_docs)))
-    p[open_at] = best
+    p[~reserve] = flight(p[~reserve], tokens[~reserve], rng)
+    p[reserve] = flight(p[reserve], tokens[reserve], rng)
+    open_at = (p > 0) & (p < 1)
+    p[open_at] = rng.random(int(open_at.sum())) < p[open_at]
+    pool = np.flatnonzero(reserve)
+    for _ in range(10 * len(pool) + 1):
+        off = goal - float((p * tokens).sum())
+        if not len(pool) or off == 0:
+            break
+        change = np.where(p[pool] > 0, -tokens[pool], tokens[pool]).astype(np.float64)
+        single = np.abs(off - change)
+        both = np.abs(off - change[:, None] - change[None])
+        np.fill_diagonal(both, np.inf)
+        i, (x, y) = int(single.argmin()), np.unravel_index(int(both.argmin()), both.shape)
+        flips = [i] if single[i] <= both[x, y] else [int(x), int(y)]
+        if min(single[i], both[x, y]) >= abs(off):
+            break
+        p[pool[flips]] = 1 - p[pool[flips]]
     return p
 
 
-def _decide(last: bool):
-    def fly(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("doc_id")
-        p, tokens = rows.column("p").to_numpy(), rows.column("n_tokens").to_numpy()
-        p = flight(p, tokens, np.random.default_rng(int(rows.column("doc_id")[0].as_py()) & 0xFFFFFFFF))
-        if last:
-            p = landing(p, tokens)
-        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
+def _fly(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("doc_id")
+    rng = np.random.default_rng(int(rows.column("doc_id")[0].as_py()) & 0xFFFFFFFF)
+    p = flight(rows.column("p").to_numpy(), rows.column("n_tokens").to_numpy(), rng)
+    return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
+
 
-    return fly
+def _land(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("doc_id")
+    p, tokens, reserve = rows.column("p").to_numpy(), rows.column("n_tokens").to_numpy(), rows.column("block").to_numpy() < 0
+    # blocks kept their sums, so what these texts promise together is what the source still lacks
+    goal = float((p * tokens).sum())
+    p = landing(p, tokens, reserve, goal, np.random.default_rng(int(rows.column("doc_id")[0].as_py()) & 0xFFFFFFFF))
+    return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -101,14 +123,15 @@ def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, voc
     if total is None:
         total = min((aims[s][1] * held[s][0] / (aims[s][0] / whole) for s in held), default=0.0)
     uses = {s: min(float(aims[s][1]), total * aims[s][0] / whole / held[s][0]) for s in held}
-    plan = spark.createDataFrame([(s, float(uses[s]), max(1, -(-held[s][1] // BLOCK))) for s in held] or [], "source string, uses double, blocks long")
+    plan = spark.createDataFrame([(s, float(uses[s]), max(1, -(-held[s][1] // BLOCK)), held[s][1]) for s in held], "source string, uses double, blocks long, docs long")
     planned = units.join(F.broadcast(plan), "source")  # one row for each target
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    # about RESERVE texts of each source don't fly but settle the landing
+    block = F.when(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("docs")) < RESERVE, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     start = planned.select("doc_id", "source", "n_tokens", F.floor(F.col("uses") + 1e-9).alias("base"), F.greatest(F.lit(0.0), F.col("uses") - F.floor(F.col("uses") + 1e-9)).alias("p"), block.alias("block"))
     schema = "doc_id long, source string, n_tokens long, base long, p double, block long"
-    flown = settle(start.groupBy("source", "block").applyInArrow(_decide(False), schema), "flown")
-    undecided = flown.where("p > 0 and p < 1")  # two texts of each block
-    landed = undecided.groupBy("source").applyInArrow(_decide(True), schema)
+    flown = settle(start.where("block >= 0").groupBy("source", "block").applyInArrow(_fly, schema).unionAll(start.where("block < 0")), "flown")
+    undecided = flown.where("p > 0 and p < 1")  # two texts of each block, and the reserve
+    landed = undecided.groupBy("source").applyInArrow(_land, schema)
     decided = flown.where("p <= 0 or p >= 1").unionAll(landed)
     used = decided.select("doc_id", "source", (F.col("base") + F.round("p").cast("long")).alias("repeats"), "n_tokens").where("repeats > 0")
     sums = used.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.count(F.lit(1)).alias("texts"), F.max("repeats").alias("most_repeats"))
