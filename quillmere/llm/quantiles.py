@@ -190,3 +190,60 @@ def percentiles(parts: DataFrame, groups: list[str], shares: list[float]) -> Dat
             )
 
     return parts.select(*groups, "sketch").mapInArrow(read, f"{fields}, n long, low double, high double, at array<double>")
+
+
+#: Sketches that are sent to every task may have this many bytes in all; beyond that rows and sketches are shuffled together.
+SENT_BYTES = 64 << 20
+#: Rows of a group that one task ranks at once when they are shuffled.
+RANKED = 500_000
+
+
+def _ranks(sketch: RelativeRank, values: np.ndarray) -> np.ndarray:
+    """Share of the sketched values that are at most each value."""
+    kept = np.concatenate(sketch.levels)
+    weight = np.concatenate([np.full(len(v), 1 << i, np.float64) for i, v in enumerate(sketch.levels)])
+    order = np.argsort(kept, kind="stable")
+    at = np.searchsorted(kept[order], values, "right")
+    return np.concatenate([[0.0], np.cumsum(weight[order])])[at] / max(1, sketch.n)
+
+
+def ranked_rows(df: DataFrame, key: str, group: str, value: str, parts: DataFrame) -> DataFrame:
+    """Every row with a value, and the share of its group's values that are at most its own, by the group's sketch.
+
+    Sketches of a bounded size go to all tasks, checked by their sum of bytes; larger ones meet the rows in a shuffle,
+    with each group dealt out to so many tasks that none gets more than about RANKED rows of it.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(value).isNotNull()).select(key, group, F.col(value).cast("double").alias(value))
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, `{group}` {df.schema[group].dataType.simpleString()}, `{value}` double, rank double"
+    held = parts.agg(F.sum(F.length("sketch")).alias("bytes")).first()["bytes"] or 0
+    if held <= SENT_BYTES:
+        sent = spark.sparkContext.broadcast({r[group]: bytes(r["sketch"]) for r in parts.select(group, "sketch").collect()})
+
+        def rank(batches):
+            made: dict = {}
+            for batch in batches:
+                coded = batch.column(1).dictionary_encode(null_encoding="encode")
+                kinds, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+                values = batch.column(2).to_numpy(zero_copy_only=False)
+                out = np.full(len(values), np.nan)
+                for i, g in enumerate(kinds):
+                    if g in sent.value:
+                        if g not in made:
+                            made[g] = RelativeRank.unpack(sent.value[g])
+                        mine = codes == i
+                        out[mine] = _ranks(made[g], values[mine])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[key, group, value, "rank"])
+
+        return rows.mapInArrow(rank, schema)
+
+    counts = rows.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / RANKED)).alias("salts")).withColumnRenamed(group, "_g")
+    salted = rows.join(counts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts"))).drop("_g", "salts")
+    copies = parts.join(counts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).select(group, "salt", "sketch")
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        values = left.column(value).to_numpy()
+        share = _ranks(RelativeRank.unpack(right.column("sketch")[0].as_py()), values) if right.num_rows else np.full(len(values), np.nan)
+        return pa.table({key: left.column(key), group: left.column(group), value: left.column(value), "rank": pa.array(share)})
+
+    return salted.groupBy(group, "salt").cogroup(copies.groupBy(group, "salt")).applyInArrow(together, schema)

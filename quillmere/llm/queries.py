@@ -16,7 +16,7 @@ from quillmere.llm.history import already_accepted
 from quillmere.llm.lookalike import look_alike_pairs
 from quillmere.llm.mixture import mixture
 from quillmere.llm.neardup import groups, near_duplicates, row_pairs
-from quillmere.llm.quantiles import merged, percentiles, sketches
+from quillmere.llm.quantiles import merged, percentiles, ranked_rows, sketches
 from quillmere.llm.requests import group_number, plain_name, request_rows, row_id, split_name, table_name
 from quillmere.llm.residue import residue_documents
 from quillmere.session import settle, table
@@ -54,6 +54,13 @@ def _spread(found: DataFrame, groups: list[str]) -> DataFrame:
     return found.select(*groups, "n", "low", *at, "high")
 
 
+def p3_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result with its percentile among its version's latencies, and the version's median."""
+    versions = settle(merged(_daily(spark, sf_dir), ["adapter_version"]), "versions")
+    ranked = ranked_rows(table(spark, sf_dir, "route_rows"), "row_id", "adapter_version", "latency_ms", versions)
+    return ranked.select("row_id", "adapter_version", "latency_ms", F.round("rank", 6).alias("rank"), (F.col("rank") > 0.99).alias("slowest_percent"))
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each version, from sketches of its days."""
     return _spread(percentiles(merged(_daily(spark, sf_dir), ["adapter_version"]), ["adapter_version"], SHARES), ["adapter_version"])
@@ -153,9 +160,29 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_groups, p2_found, p3_percentiles, p3_daily, p3_rank_error, p4_found, p4_assign, p4_report, p5_found, p5_report, p6_found, p7_ids, p8_mixture, p8_shares, p9_found)
+    every = (p1_found, p1_groups, p2_found, p3_ranks, p3_percentiles, p3_daily, p3_rank_error, p4_found, p4_assign, p4_report, p5_found, p5_report, p6_found, p7_ids, p8_mixture, p8_shares, p9_found)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    split = "case when s in ('valid', 'validation', 'dev') then 'val' when s in ('train', 'val', 'test', 'unseen_test') then s end"
+
+    def narrow(c: str) -> str:
+        return f"translate({c}, '{_WIDE}', '{_NARROW}')"
+
+    def plain(c: str) -> str:
+        spaced = f"regexp_replace({narrow(c)}, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g')"
+        return f"regexp_replace(lower(trim({spaced})), '[ _\\-\\x{{2010}}\\x{{2011}}]+', '_', 'g')"
+
+    def number(c: str) -> str:
+        return f"regexp_extract({narrow(c)}, '0*([0-9]+)[^0-9]*$', 1)"
+
+    both = f"select {number('template_group')} as g, {plain('split')} as s from handwritten_v0 where template_group is not null union all select {number('id')}, {plain('split')} from groups_clarify"
+    return {
+        "p4_found": f"select 'TG-' || g as template_group from (select g, {split} as sp from ({both})) where sp is not null and g <> '' group by g having count(distinct sp) > 1",
+    }
+
+
+#: Full-width letters, digits and signs, and their ordinary forms.
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94) if chr(0x21 + i) not in "'\\")
+_NARROW = "".join(chr(0x21 + i) for i in range(94) if chr(0x21 + i) not in "'\\")
