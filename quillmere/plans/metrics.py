@@ -17,17 +17,18 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(cases, rows["case_id"] == cases["id"], "left").select("row_id", "case_id", "adapter_version", "routes", "reason", "error", "latency_ms", "correct", "run_day", F.col("c.category").alias("category"), F.col("c.expected_routes").alias("expected_routes"))
 
 
-_MEASURES = [
-    F.count(F.lit(1)).alias("n"),
-    rate(F.count_if(F.col("error").isNull()), F.count(F.lit(1))).alias("format_valid_rate"),
-    rate(F.count_if(F.col("error").isNull() & F.col("correct")), F.count_if(F.col("error").isNull())).alias("correct_rate"),
-    F.count_if(F.col("reason") == "model").alias("by_model"),
-    thousandths_mean(F.when(F.col("latency_ms").between(0, 100000), F.col("latency_ms"))).alias("mean_latency_us"),
-]
+def _measures() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n"),
+        rate(F.count_if(F.col("error").isNull()), F.count(F.lit(1))).alias("format_valid_rate"),
+        rate(F.count_if(F.col("error").isNull() & F.col("correct")), F.count_if(F.col("error").isNull())).alias("correct_rate"),
+        F.count_if(F.col("reason") == "model").alias("by_model"),
+        thousandths_mean(F.when(F.col("latency_ms").between(0, 100000), F.col("latency_ms"))).alias("mean_latency_us"),
+    ]
 
 
 def a1_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return summary_sets(_results(spark, sf), [["adapter_version"], ["adapter_version", "category"]], _MEASURES)
+    return summary_sets(_results(spark, sf), [["adapter_version"], ["adapter_version", "category"]], _measures())
 
 
 def a2_rollup(spark: SparkSession, sf: str) -> DataFrame:

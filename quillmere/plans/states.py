@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.session import table, table_stream
 from quillmere.streaming.pending import confirmations, confirmations_stream
 from quillmere.streaming.resume import run_once
 
-_KIND = F.when(F.col("event_type") == "view", "issue").when(F.col("event_type") == "purchase", "confirm").alias("kind")
+def _kind() -> Column:
+    return F.when(F.col("event_type") == "view", "issue").when(F.col("event_type") == "purchase", "confirm").alias("kind")
 
 
 def st1_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,12 +20,12 @@ def st1_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def st2_pending_confirm(spark: SparkSession, sf: str) -> DataFrame:
-    return confirmations(table(spark, sf, "events").select("user_id", "event_id", "ts", _KIND).where("kind is not null"))
+    return confirmations(table(spark, sf, "events").select("user_id", "event_id", "ts", _kind()).where("kind is not null"))
 
 
 def st2_pending_stream(spark: SparkSession, sf: str) -> DataFrame:
     stream = table_stream(spark, sf, "events")
-    return run_once(confirmations_stream(stream.select("user_id", "event_id", "ts", _KIND).where("kind is not null")), "pending")
+    return run_once(confirmations_stream(stream.select("user_id", "event_id", "ts", _kind()).where("kind is not null")), "pending")
 
 
 def st3_snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from quillmere.functions.jsonvalue import canonical_json, strict_json
 from quillmere.functions.timeexpr import month_edges, relative_date, weekday_in_weeks
 from quillmere.session import table
 
-R = F.col("user_request")
+REQUEST = "user_request"
 
 
 def _cases(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -18,11 +18,11 @@ def _cases(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def f1_strip_space(spark: SparkSession, sf: str) -> DataFrame:
-    return _cases(spark, sf).select("row_id", X.strip_space(R).alias("dense"))
+    return _cases(spark, sf).select("row_id", X.strip_space(F.col(REQUEST)).alias("dense"))
 
 
 def f2_normalize_request(spark: SparkSession, sf: str) -> DataFrame:
-    return _cases(spark, sf).select("row_id", X.normalize_request(R).alias("normalized"))
+    return _cases(spark, sf).select("row_id", X.normalize_request(F.col(REQUEST)).alias("normalized"))
 
 
 def f3_normalize_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,11 +30,11 @@ def f3_normalize_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f4_bigram_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _cases(spark, sf).select("row_id", F.size(X.bigrams(R)).alias("bigrams"))
+    return _cases(spark, sf).select("row_id", F.size(X.bigrams(F.col(REQUEST))).alias("bigrams"))
 
 
 def f6_shape_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return _cases(spark, sf).where(R.isNotNull()).select("row_id", X.shape(R).alias("shape"))
+    return _cases(spark, sf).where(F.col(REQUEST).isNotNull()).select("row_id", X.shape(F.col(REQUEST)).alias("shape"))
 
 
 def f8_token_estimate(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,12 +52,12 @@ def f10_same_value(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f11_ungrounded_clocks(spark: SparkSession, sf: str) -> DataFrame:
-    made = _cases(spark, sf, "rationale").where(R.isNotNull() & F.col("rationale").isNotNull())
+    made = _cases(spark, sf, "rationale").where(F.col(REQUEST).isNotNull() & F.col("rationale").isNotNull())
     return made.select("row_id", F.size(X.ungrounded_clocks(F.concat_ws(" ", "rationale", F.substring("user_request", 1, 40)), F.substring("user_request", 20, 400))).alias("ungrounded"))
 
 
 def f12_space_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _cases(spark, sf).select("row_id", X.space_edges(R).alias("spaced"))
+    return _cases(spark, sf).select("row_id", X.space_edges(F.col(REQUEST)).alias("spaced"))
 
 
 def f13_fill_template(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,13 +77,13 @@ def f15_resolve_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f16_relative_date(spark: SparkSession, sf: str) -> DataFrame:
-    made = _cases(spark, sf, "context").where(R.isNotNull())
-    return made.select("row_id", relative_date(R, F.to_date(X.time_value(F.col("context.now")))).cast("string").alias("resolved"))
+    made = _cases(spark, sf, "context").where(F.col(REQUEST).isNotNull())
+    return made.select("row_id", relative_date(F.col(REQUEST), F.to_date(X.time_value(F.col("context.now")))).cast("string").alias("resolved"))
 
 
 def f17_time_literals(spark: SparkSession, sf: str) -> DataFrame:
-    made = _cases(spark, sf).where(R.isNotNull())
-    return made.select("row_id", F.array_join(F.regexp_extract_all(R, F.lit("([0-9]{1,2}:[0-9]{2})"), F.lit(1)), ",").alias("clocks"), F.size(F.regexp_extract_all(R, F.lit("([0-9]{1,2} 月)"), F.lit(1))).alias("months"))
+    made = _cases(spark, sf).where(F.col(REQUEST).isNotNull())
+    return made.select("row_id", F.array_join(F.regexp_extract_all(F.col(REQUEST), F.lit("([0-9]{1,2}:[0-9]{2})"), F.lit(1)), ",").alias("clocks"), F.size(F.regexp_extract_all(F.col(REQUEST), F.lit("([0-9]{1,2} 月)"), F.lit(1))).alias("months"))
 
 
 def f22_parse_time(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +99,7 @@ def f24_two_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f27_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _cases(spark, sf).where(R.isNotNull()).select("row_id", F.regexp_count(R, F.lit("[0-9]{1,2}:[0-9]{2}")).alias("clocks"), R.rlike("(DD|FP|HT|SH)[0-9]{6}").alias("has_record_id"))
+    return _cases(spark, sf).where(F.col(REQUEST).isNotNull()).select("row_id", F.regexp_count(F.col(REQUEST), F.lit("[0-9]{1,2}:[0-9]{2}")).alias("clocks"), F.col(REQUEST).rlike("(DD|FP|HT|SH)[0-9]{6}").alias("has_record_id"))
 
 
 def f28_parse_decision(spark: SparkSession, sf: str) -> DataFrame:
