@@ -1,64 +1,26 @@
-"""The same or nearly the same records in different splits (problem 5): segments of a similarity-hash code.
+"""The same or nearly the same records in different splits (problem 5): blocks of a similarity-hash code.
 
-Each text has a code of bits of which similar texts share most: ``SEGMENTS`` segments, each the 32 bits of
-the smallest hash of its rarest pieces under one of as many permutations, and 128 parity bits of all its
-pieces.  Codes are joined where one segment is equal, only between the training and the evaluation side;
-the parity bits must lie within the Hamming radius of the wanted similarity; then the texts are verified.
-Bits of random projections were tried first: at a similarity of 0.75 one bit in six differs, so no block of
-a 64-bit code long enough to be selective stays equal.
+Each text has a code of bits: 128 parity bits of its two-character pieces, of which similar texts share most, and one
+block of hashed bits for each of its rarest pieces.  Codes are joined across splits where one block is equal, only
+between the training and the evaluation side; the parity bits must lie within the Hamming radius of the wanted
+similarity; then the texts are verified, and overlaps are counted by split and source.  A code has so many blocks that
+similar texts must share one (see ``neartext.rare_pieces``), so no overlap is lost.
+
+Bits of random projections, cut into segments, can't do that: at a similarity of 0.75 one bit in six differs, so of a
+64-bit code no segment that is long enough to be selective stays equal.
 
 Defined results: null, empty and blank texts and null or unknown splits are in no overlap; the same text on
-both sides overlaps; an empty table gives no rows.
+both sides overlaps; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm.canon import canonical_dense
-from quillmere.llm.grams import Commonness, bigrams, dense_points, hashed_bigrams, mix, parity_sketch
-from quillmere.llm.neartext import CELL, SIMILARITY, hashed_classes, in_cells, near_classes, representatives
-
-SEGMENTS = 14
-#: A piece held by less than this share of all texts counts as rare.
-RARE_PIECE = 0.002
-
-
-def code_segments(texts: list[str | None], common: Commonness, least: float = SIMILARITY) -> dict[str, np.ndarray]:
-    """Segment keys of a chunk of texts.  The rarest pieces are so many that similar texts must share one of them."""
-    cps, lens = dense_points(texts)
-    row, code = bigrams(cps, lens)
-    n = len(lens)
-    size = np.bincount(row, minlength=n)
-    sketch = parity_sketch(row, code, n)
-    if not len(row):
-        none = np.zeros(0, np.uint64)
-        return {"row": np.zeros(0, np.int64), "key": none, "size": size[:0], "s0": none, "s1": none}
-    h = mix(code + np.uint64(1))
-    kind = common.of(h)
-    order = np.argsort(row.astype(np.uint64) << np.uint64(50) | kind.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
-    row, h, kind = row[order], h[order], kind[order]
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-    keep = place < size[row] - np.ceil(least * size[row] - 1e-9) + 1
-    row, h, kind = row[keep], h[keep], kind[keep]
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    at, keys, cells = [], [], []
-    for j in range(SEGMENTS):
-        turned = mix(h ^ np.uint64(0x51ED27 * (j + 1)))
-        low = np.minimum.reduceat(turned, first)
-        at.append(row[first])
-        keys.append(np.uint64(j) << np.uint64(56) | low >> np.uint64(32))
-        # how common the piece is that gave the segment: its class, found again by its hash
-        which = np.flatnonzero(turned == np.repeat(low, np.diff(np.append(first, len(row)))))
-        seen = np.zeros(len(first), np.int64)
-        seen[np.searchsorted(first, which, "right") - 1] = kind[which]
-        cells.append(common.cells(seen, CELL))
-    at, key = in_cells(np.concatenate(at), np.concatenate(keys), np.concatenate(cells), sketch)
-    return {"row": at, "key": key, "size": size[at], "s0": sketch[at, 0], "s1": sketch[at, 1]}
-
+from quillmere.llm.grams import Commonness, hashed_bigrams
+from quillmere.llm.neartext import RARE_PIECE, SIMILARITY, hashed_classes, near_classes, representatives
 
 def cross_split(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(uid, side, text), side 1 for training and 2 for evaluation -> pairs (ua, ub) of rows of either side that are nearly the same."""
@@ -66,7 +28,7 @@ def cross_split(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     common = Commonness.fit(rows, "text", hashed_bigrams, RARE_PIECE)
     hashed = hashed_classes(rows, canonical_dense(F.col("text")), [], ["side"])
     reps = representatives(hashed, F.bit_or("side").alias("side"))
-    pairs = near_classes(rows, reps, lambda texts: code_segments(texts, common, least), least, crossing=True)
+    pairs = near_classes(rows, reps, common, least, crossing=True)
     members = hashed.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "uid", F.col("side").alias("of"))
     a = members.select(F.col("rep").alias("a"), F.col("uid").alias("ua"), F.col("of").alias("sa"))
     b = members.select(F.col("rep").alias("b"), F.col("uid").alias("ub"), F.col("of").alias("sb"))

@@ -94,15 +94,11 @@ def fingerprints(cps: np.ndarray, lens: np.ndarray, k: int = PIECE, window: int
     for _ in range(window - 1):
         if len(h) > 1:
             after = np.concatenate([row[1:] == row[:-1], [False]])
-            last = np.concatenate([after[:0], ~after])
-            low = np.minimum(h, np.concatenate([h[1:], h[-1:]]))
             # the last hash of a text has no neighbour: it stays only if it is the only one
-            only = last & np.concatenate([[True], ~after[:-1]])
-            keep = after | only
-            h = np.where(after, low, h)[keep]
+            keep = after | np.concatenate([[True], ~after[:-1]])
+            h = np.where(after, np.minimum(h, np.concatenate([h[1:], h[-1:]])), h)[keep]
             row = row[keep]
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+    # neighbours often have the same smallest hash; what repeats further apart is left to ``rarest``
     if len(h):
         new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
         row, h = row[new], h[new]
@@ -170,9 +166,13 @@ class Commonness:
 def rarest(row: np.ndarray, h: np.ndarray, common: Commonness, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row the ``most`` least common fingerprints, ties by hash: row, fingerprint, class.  At most CHUNK rows."""
     kind = common.of(h)
+    # a repeated fingerprint has the same class and hash, so its rows are neighbours after the sort
     packed = row.astype(np.uint64) << np.uint64(50) | kind.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)
     order = np.argsort(packed)
     row, h, kind = row[order], h[order], kind[order]
+    if len(row):
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
+        row, h, kind = row[new], h[new], kind[new]
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
     keep = place < most

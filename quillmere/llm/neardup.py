@@ -4,7 +4,8 @@ Each text's set of two-character pieces has a 128-bit parity sketch whose Hammin
 the number of pieces that differ.  Tiles of sketches are compared exactly, and two tiles are skipped if
 the counts of their sets already differ beyond the radius.  All tiles against all others would grow
 with the square of the table, so tiles are formed within buckets: every text stands in the buckets of
-its rarest winnowed fingerprints (see ``grams``), and pairs that pass are verified on the whole texts.
+its rarest pieces, as many as a prefix filter needs to lose no pair, and pairs that pass are verified on
+the whole texts.  No step is approximate.
 
 Defined results: null, empty and blank texts are in no pair; a text of one character equals only its
 copies; equal rows are one class and are compared once; an empty table gives no rows; other columns
@@ -17,18 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm.canon import canonical_dense
-from quillmere.llm.grams import Commonness
-from quillmere.llm.neartext import KEYS, SIMILARITY, hashed_classes, keys_of, near_classes, representatives
+from quillmere.llm.grams import Commonness, hashed_bigrams
+from quillmere.llm.neartext import RARE_PIECE, SIMILARITY, hashed_classes, near_classes, representatives
 
 
-def near_duplicates(rows: DataFrame, keys: int = KEYS, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(uid, tbl, text) -> pairs (a, b) of classes of one table that are nearly the same, and members (rep, uid)."""
-    common = Commonness.fit(rows, "text")
+    common = Commonness.fit(rows, "text", hashed_bigrams, RARE_PIECE)
     hashed = hashed_classes(rows, canonical_dense(F.col("text")), ["tbl"])
     reps = representatives(hashed, F.first("tbl").alias("tbl"))
-    # the table is part of a uid's lowest bit, so buckets are told apart by side and pairs of two tables are left out
-    pairs = near_classes(rows, reps.withColumn("side", F.col("tbl")), lambda texts: keys_of(texts, common, keys, least), least)
-    pairs = pairs.where(F.col("a") % 2 == F.col("b") % 2)
+    # the table is the side, so only texts of one table meet
+    pairs = near_classes(rows, reps.withColumn("side", F.col("tbl")), common, least)
     members = hashed.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "uid")
     return pairs, members
 

@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.session import settle
-from quillmere.llm.grams import CHUNK, Commonness, bigrams, dense_points, fingerprints, jaccard, mix, parity_sketch, rarest
+from quillmere.llm.grams import CHUNK, M1, Commonness, bigrams, dense_points, fingerprints, jaccard, mix, parity_sketch, rarest
 
 #: Two texts are nearly the same from this share of common pieces on.
 SIMILARITY = 0.70
-#: Fingerprints of a text that become bucket keys.
-KEYS = 10
-#: Texts with up to so many pieces also get the keys of a lossless prefix filter over their pieces.
-SHORT = 28
-#: Rows that one bucket may hold; a commoner fingerprint's rows are dealt out to cells of this size, and every two cells meet.
+#: A piece held by less than this share of all texts counts as rare.
+RARE_PIECE = 0.002
+#: Rows that one bucket may hold; a commoner piece's rows are dealt out to cells of this size, and every two cells meet.
 CELL = 1 << 15
 #: Rows on a side of a tile.
-TILE = 512
+TILE = 1024
 
-FEATURES = "key long, uid long, side int, size int, s0 long, s1 long"
+BLOCKS = "part int, uid binary, side binary, size binary, s0 binary, s1 binary, key binary, text binary, first binary"
+#: Bucket rows that one task compares; the number of parts follows from the number of texts.
+ROWS_PER_PART = 1_500_000
 
 
 def radius(size_a, size_b, least: float):
@@ -31,149 +29,225 @@ def radius(size_a, size_b, least: float):
     return np.floor((1 - least) / (1 + least) * (size_a + size_b) + 1e-9)
 
 
-def in_cells(at: np.ndarray, key: np.ndarray, cells: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of (row, key), where a key with c cells becomes c keys: the row's own cell with each cell.
+def probe_length(size: np.ndarray, least: float) -> np.ndarray:
+    """Rarest pieces of a set among which one is shared with every similar set that isn't larger."""
+    return (size - np.ceil(least * size - 1e-9) + 1).astype(np.int64)
+
+
+def index_length(size: np.ndarray, least: float) -> np.ndarray:
+    """Rarest pieces of a set that have to meet the probe pieces of similar sets that aren't smaller."""
+    return (size - np.ceil(2 * least / (1 + least) * size - 1e-9) + 1).astype(np.int64)
+
+
+def rare_pieces(texts: list[str | None], common: Commonness, least: float) -> dict[str, np.ndarray]:
+    """Of each text of a chunk the rarest pieces, rarest first: as many as the prefix filter needs to lose no pair.
 
-    How many cells a key has follows from the corpus statistics, so all rows of the key agree, and any two meet in one bucket.
+    Any two sets with similarity ``least`` or more share one of the first ``index_length`` pieces of the smaller and the
+    first ``probe_length`` pieces of the larger, whatever order all texts' pieces are put in.
+    """
+    cps, lens = dense_points(texts)
+    row, code = bigrams(cps, lens)
+    n = len(lens)
+    size = np.bincount(row, minlength=n)
+    sketch = parity_sketch(row, code, n)
+    h = mix(code + np.uint64(1))
+    kind = common.of(h)
+    # row, class of commonness, hash: one number each, so one sort puts all in order
+    packed = row.astype(np.uint64) << np.uint64(50) | kind.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)
+    packed.sort()
+    row = (packed >> np.uint64(50)).astype(np.int64)
+    start = np.cumsum(size) - size
+    place = np.arange(len(row)) - start[row]
+    keep = place < probe_length(size, least)[row]
+    row, packed, place = row[keep], packed[keep], place[keep]
+    key = packed & np.uint64((1 << 44) - 1)
+    cells = common.cells((packed >> np.uint64(44) & np.uint64(63)).astype(np.int64), CELL)
+    first = place < index_length(size, least)[row]
+    if (cells > 1).any():
+        row, key, first = in_cells(row, key, first, cells, sketch)
+    return {"row": row, "key": key, "first": first, "size": size, "sketch": sketch}
+
+
+def in_cells(at: np.ndarray, key: np.ndarray, first: np.ndarray, cells: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (text, key, flag) where a key with c cells becomes c keys: the text's own cell with each cell.
+
+    How many cells a key has follows from the corpus statistics, so all texts of the key agree, and any two meet in one bucket.
     """
     plain = cells <= 1
-    rows, keys = [at[plain]], [key[plain]]
+    rows, keys, flags = [at[plain]], [key[plain]], [first[plain]]
     for i in np.flatnonzero(~plain).tolist():
         mine = np.uint64(int(mix(sketch[at[i] : at[i] + 1, 0] + np.uint64(1))[0]) % int(cells[i]))
         other = np.arange(cells[i], dtype=np.uint64)
         rows.append(np.full(cells[i], at[i]))
-        keys.append(mix(key[i] ^ mix((np.minimum(other, mine) << np.uint64(20) | np.maximum(other, mine)) + np.uint64(1))))
-    return np.concatenate(rows), np.concatenate(keys)
+        keys.append(mix(key[i] ^ mix((np.minimum(other, mine) << np.uint64(20) | np.maximum(other, mine)) + np.uint64(1))) & np.uint64((1 << 44) - 1))
+        flags.append(np.full(cells[i], first[i]))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(flags)
 
 
-def keys_of(texts: list[str | None], common: Commonness, keys: int, least: float) -> dict[str, np.ndarray]:
-    """Bucket keys of a chunk of texts, with size and sketch of each text's set of pieces."""
-    cps, lens = dense_points(texts)
-    row, code = bigrams(cps, lens)
-    n = len(lens)
-    size = np.bincount(row, minlength=n)
-    sketch = parity_sketch(row, code, n)
-    at, h, kind = rarest(*fingerprints(cps, lens), common, keys)
-    at, h = in_cells(at, h, common.cells(kind, CELL), sketch)
-    out_row, out_key = [at], [h]
-    short = (size <= SHORT)[row]
-    if short.any():
-        r, c = row[short], mix(code[short] + np.uint64(0x5EED))
-        order = np.lexsort((c, r))
-        r, c = r[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
-        keep = place < (size[r] - np.ceil(least * size[r] - 1e-9) + 1)
-        out_row.append(r[keep])
-        out_key.append(c[keep])
-    at, key = np.concatenate(out_row), np.concatenate(out_key)
-    return {"row": at, "key": key, "size": size[at], "s0": sketch[at, 0], "s1": sketch[at, 1]}
-
-
-def bucket_rows(texts: DataFrame, keyed: Callable[[list], dict[str, np.ndarray]]) -> DataFrame:
-    """(uid, side, text) -> one row for each bucket key that ``keyed`` gives for each text."""
+def fingerprint_rows(texts: DataFrame, common: Commonness, keys: int) -> DataFrame:
+    """(uid, text) -> one row for each of the rarest winnowed fingerprints of each text, with size and sketch of its pieces."""
 
     def make(batches):
         for batch in batches:
-            uid, side, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+            uid, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i in range(0, len(values), CHUNK):
-                k = keyed(values[i : i + CHUNK])
-                at = k["row"] + i
-                yield pa.RecordBatch.from_pydict({"key": k["key"].view(np.int64), "uid": uid[at].astype(np.int64), "side": side[at].astype(np.int32), "size": k["size"].astype(np.int32), "s0": k["s0"].view(np.int64), "s1": k["s1"].view(np.int64)})
+                cps, lens = dense_points(values[i : i + CHUNK])
+                row, code = bigrams(cps, lens)
+                size = np.bincount(row, minlength=len(lens))
+                sketch = parity_sketch(row, code, len(lens))
+                at, h, _ = rarest(*fingerprints(cps, lens), common, keys)
+                yield pa.RecordBatch.from_pydict({"key": h.view(np.int64), "uid": uid[at + i].astype(np.int64), "size": size[at].astype(np.int32), "s0": sketch[at, 0].view(np.int64), "s1": sketch[at, 1].view(np.int64)})
 
-    return texts.select("uid", "side", "text").mapInArrow(make, FEATURES)
+    return texts.select("uid", "text").mapInArrow(make, "key long, uid long, size int, s0 long, s1 long")
 
 
-class _Group:
-    """Compares rows that share a key, tile against tile, as they come sorted by key and size."""
+def _labels(spark: SparkSession, parts: int) -> list[int]:
+    """For each of so many partitions an integer that Spark's hash puts there, so that parts are spread evenly."""
+    found: dict[int, int] = {}
+    for r in spark.range(parts * 40).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.hash("i"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("i").alias("i")).collect():
+        found[r["p"]] = r["i"]
+    return [found.get(p, p) for p in range(parts)]
+
+
+def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int, crossing: bool) -> DataFrame:
+    """(uid, side, text) -> blocks of bucket rows, in columns of bytes, one block for each chunk of texts and part of the keys.
+
+    Unless sides are to be crossed, texts of different sides get different keys and never meet.
+    """
+    labels = _labels(texts.sparkSession, parts)
+
+    def make(batches):
+        for batch in batches:
+            uid, side, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+            for i in range(0, len(values), CHUNK):
+                k = rare_pieces(values[i : i + CHUNK], common, least)
+                if not crossing:
+                    k["key"] = mix(k["key"] + (side[k["row"] + i].astype(np.uint64) + np.uint64(1)) * M1) & np.uint64((1 << 44) - 1)
+                part = (k["key"] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                out: dict[str, list] = {c.split()[0]: [] for c in BLOCKS.split(", ")}
+                for p in range(parts):
+                    mine = order[ends[p] : ends[p + 1]]
+                    if not len(mine):
+                        continue
+                    used, local = np.unique(k["row"][mine], return_inverse=True)
+                    out["part"].append(labels[p])
+                    out["uid"].append(uid[used + i].astype("<i8").tobytes())
+                    out["side"].append(side[used + i].astype("<u1").tobytes())
+                    out["size"].append(k["size"][used].astype("<u4").tobytes())
+                    out["s0"].append(k["sketch"][used, 0].tobytes())
+                    out["s1"].append(k["sketch"][used, 1].tobytes())
+                    out["key"].append((k["key"][mine] // np.uint64(parts)).astype("<u4").tobytes())
+                    out["text"].append(local.astype("<u2").tobytes())
+                    out["first"].append(np.packbits(k["first"][mine]).tobytes())
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "part" else pa.binary()) for c, v in out.items()})
+
+    return texts.select("uid", "side", "text").mapInArrow(make, BLOCKS)
+
+
+class _Part:
+    """All bucket rows of one part of the keys, sorted by key and set size."""
 
     def __init__(self, least: float, crossing: bool):
         self.least, self.crossing = least, crossing
-
-    def tiles(self, a: dict, b: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of two tiles within the radius.  The tiles are sorted by size, a before b."""
-        if a["size"][-1] < np.ceil(self.least * b["size"][0] - 1e-9):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)  # the set sizes already differ beyond the radius
-        apart = np.bitwise_count(a["s0"][:, None] ^ b["s0"][None]).astype(np.int16)
-        apart += np.bitwise_count(a["s1"][:, None] ^ b["s1"][None])
-        ok = apart <= radius(a["size"][:, None], b["size"][None], self.least)
+        self.held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "side", "size", "s0", "s1", "key", "text", "first")}
+        self.texts = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "key": "<u4", "text": "<u2"}
+        for i in range(batch.num_rows):
+            got = {c: np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in kinds.items()}
+            self.held["first"].append(np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(got["key"])).astype(bool))
+            got["text"] = got["text"].astype(np.int64) + self.texts
+            self.texts += len(got["uid"])
+            for c, v in got.items():
+                self.held[c].append(v)
+
+    def pairs(self):
+        if not self.texts:
+            return
+        h = {c: np.concatenate(v) for c, v in self.held.items()}
+        self.held.clear()
+        self.uid, self.side, self.size, self.s0, self.s1 = (h[c] for c in ("uid", "side", "size", "s0", "s1"))
+        rank = np.empty(len(self.uid), np.int64)
+        by_size = np.lexsort((self.uid, self.size))
+        rank[by_size] = np.arange(len(by_size))
+        # one sort by key and size; ties of size by uid, so the order is the same whatever order the blocks came in
+        packed = h["key"].astype(np.uint64) << np.uint64(32) | rank[h["text"]].astype(np.uint64)
+        order = np.argsort(packed)
+        key, text, first = h["key"][order], h["text"][order], h["first"][order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.diff(np.append(starts, len(key)))
+        each = np.repeat(counts, counts)
+        few = (each > 1) & (each <= 64)
+        yield self._small(key[few], text[few], first[few])
+        for s, n in zip(starts[counts > 64].tolist(), counts[counts > 64].tolist(), strict=True):
+            yield from self._large(text[s : s + n], first[s : s + n])
+
+    def _kept(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (apart <= radius(self.size[a].astype(np.int64), self.size[b].astype(np.int64), self.least)) & (self.size[a] >= np.ceil(self.least * self.size[b] - 1e-9))
         if self.crossing:
-            ok &= (a["side"][:, None] | b["side"][None]) == 3
-        if same:
-            ok = np.triu(ok, 1)
-        x, y = np.nonzero(ok)
-        return a["uid"][x], b["uid"][y]
-
-    def small(self, r: dict) -> tuple[np.ndarray, np.ndarray]:
-        """All groups of a sorted batch at once: each row against the d-th after it, as long as the key is the same."""
-        i, d, xs, ys = np.arange(len(r["key"])), 0, [], []
+            ok &= (self.side[a] | self.side[b]) == 3
+        return self.uid[a[ok]], self.uid[b[ok]]
+
+    def _small(self, key: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All small buckets at once: each row against the d-th after it, as long as the key is the same."""
+        i, d, xs, ys = np.flatnonzero(first), 0, [], []
         while len(i):
             d += 1
-            i = i[i + d < len(r["key"])]
-            i = i[r["key"][i] == r["key"][i + d]]
-            j = i + d
-            ok = r["size"][i] >= np.ceil(self.least * r["size"][j] - 1e-9)
-            a, b = i[ok], j[ok]
-            apart = np.bitwise_count(r["s0"][a] ^ r["s0"][b]).astype(np.int16) + np.bitwise_count(r["s1"][a] ^ r["s1"][b])
-            ok = apart <= radius(r["size"][a], r["size"][b], self.least)
-            if self.crossing:
-                ok &= (r["side"][a] | r["side"][b]) == 3
-            xs.append(r["uid"][a[ok]])
-            ys.append(r["uid"][b[ok]])
+            i = i[i + d < len(key)]
+            i = i[key[i] == key[i + d]]
+            a, b = text[i], text[i + d]
+            x, y = self._kept(a, b, np.bitwise_count(self.s0[a] ^ self.s0[b]).astype(np.int16) + np.bitwise_count(self.s1[a] ^ self.s1[b]))
+            xs.append(x)
+            ys.append(y)
         return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-
-def candidates(rows: DataFrame, least: float = SIMILARITY, crossing: bool = False) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows that share a bucket and whose sketches lie within the radius.
-
-    Buckets come sorted by key and set size, so a task never holds a bucket: it keeps the tiles whose
-    sizes can still match and passes the rest.  Memory is that of the rows of one key within a factor
-    1 / ``least`` of size, at most CELL rows of a common key.
+    def _large(self, text: np.ndarray, first: np.ndarray):
+        """One large bucket, tile against tile; tiles whose set sizes differ beyond the radius are skipped."""
+        s0, s1, size = self.s0[text], self.s1[text], self.size[text].astype(np.int64)
+        for i in range(0, len(text), TILE):
+            rows = i + np.flatnonzero(first[i : i + TILE])
+            if not len(rows):
+                continue
+            x0, x1, largest = s0[rows][:, None], s1[rows][:, None], size[rows[-1]]
+            for j in range(i, len(text), TILE):
+                if largest < np.ceil(self.least * size[j] - 1e-9):
+                    break
+                end = min(j + TILE, len(text))
+                apart = np.bitwise_count(x0 ^ s0[None, j:end])
+                apart += np.bitwise_count(x1 ^ s1[None, j:end])
+                r, c = np.nonzero(apart <= radius(largest, size[end - 1], self.least))
+                if len(r):
+                    a, b = rows[r], j + c
+                    later = b > a
+                    yield self._kept(text[a[later]], text[b[later]], apart[r, c][later])
+
+
+def candidates(blocks: DataFrame, parts: int, least: float = SIMILARITY, crossing: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts that share a rare piece and whose sketches lie within the radius.
+
+    Each task holds the rows of one part of the keys, about ROWS_PER_PART whatever the corpus, as parts grow with it and
+    common keys are dealt out to cells.  With ``crossing`` only pairs of side 1 and side 2 count.
     """
 
     def compare(batches):
-        group = _Group(least, crossing)
-        names = ("key", "uid", "side", "size", "s0", "s1")
-        rest: dict | None = None
-
-        def pairs(r: dict):
-            counts = np.diff(np.append(np.flatnonzero(np.concatenate([[True], r["key"][1:] != r["key"][:-1]])), len(r["key"]))) if len(r["key"]) else np.zeros(0, np.int64)
-            each = np.repeat(counts, counts)
-            few = (each > 1) & (each <= 128)
-            got = [group.small({k: v[few] for k, v in r.items()})]
-            start = np.cumsum(counts) - counts
-            for s, n in zip(start[counts > 128].tolist(), counts[counts > 128].tolist(), strict=True):
-                held: list[dict] = []
-                for t in range(s, s + n, TILE):
-                    tile = {k: v[t : min(t + TILE, s + n)] for k, v in r.items()}
-                    held = [h for h in held if h["size"][-1] >= np.ceil(least * tile["size"][0] - 1e-9)]
-                    got += [group.tiles(h, tile, False) for h in held] + [group.tiles(tile, tile, True)]
-                    held.append(tile)
-            a, b = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
-            if len(a):
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                order = np.lexsort((high, low))
-                low, high = low[order], high[order]
-                new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) & (low < high)
-                yield pa.RecordBatch.from_pydict({"a": low[new], "b": high[new]})
-
+        part = _Part(least, crossing)
         for batch in batches:
-            now = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
-            now["s0"], now["s1"] = now["s0"].view(np.uint64), now["s1"].view(np.uint64)
-            if rest is not None:
-                now = {k: np.concatenate([rest[k], v]) for k, v in now.items()}
-            last = np.searchsorted(now["key"], now["key"][-1]) if len(now["key"]) else 0
-            if last == 0:
-                rest = now
-                continue
-            yield from pairs({k: v[:last] for k, v in now.items()})
-            rest = {k: v[last:].copy() for k, v in now.items()}
-        if rest is not None:
-            yield from pairs(rest)
+            part.add(batch)
+        made = [(np.minimum(a, b), np.maximum(a, b)) for a, b in part.pairs() if len(a)]
+        if not made:
+            return
+        low, high = np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made])
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) & (low < high)
+        low, high = low[new], high[new]
+        for i in range(0, len(low), 100_000):
+            yield pa.RecordBatch.from_pydict({"a": low[i : i + 100_000], "b": high[i : i + 100_000]})
 
-    # the shuffle that sorts by key is the only one over all bucket rows
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "size")
-    return sorted_rows.mapInArrow(compare, "a long, b long").distinct()
+    return blocks.repartition(parts, "part").mapInArrow(compare, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -201,9 +275,11 @@ def representatives(hashed: DataFrame, *more: Column) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"), *more)
 
 
-def near_classes(rows: DataFrame, reps: DataFrame, keyed: Callable, least: float = SIMILARITY, crossing: bool = False) -> DataFrame:
+def near_classes(rows: DataFrame, reps: DataFrame, common: Commonness, least: float = SIMILARITY, crossing: bool = False) -> DataFrame:
     """Pairs (a, b) of representatives with nearly the same text.  ``reps``: rep and side; ``rows``: uid and text of all rows."""
+    spark = rows.sparkSession
     texts = rows.select("uid", "text")
     chosen = texts.join(reps.select(F.col("rep").alias("uid"), "side"), "uid")
-    found = candidates(bucket_rows(chosen, keyed), least, crossing)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.texts * 24 // ROWS_PER_PART)
+    found = candidates(bucket_blocks(chosen, common, least, parts, crossing), parts, least, crossing)
     return verified(found, texts, least)
