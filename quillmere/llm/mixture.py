@@ -65,11 +65,12 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.array(value)
 
 
-def landing(p: np.ndarray, tokens: np.ndarray, reserve: np.ndarray, goal: float, rng: np.random.Generator) -> np.ndarray:
-    """The last decisions of a source: tokens come as close to ``goal`` as single texts and pairs of the reserve allow.
+def landing(p: np.ndarray, tokens: np.ndarray, base: np.ndarray, most: np.ndarray, reserve: np.ndarray, goal: float, rng: np.random.Generator) -> np.ndarray:
+    """The last decisions of a source: uses beyond ``base`` whose tokens come as close to ``goal`` as the reserve allows.
 
-    Texts outside the reserve are decided by the flight and, for the last two, by their probabilities; then texts of the
-    reserve change sides, one or two at a time, as long as that brings the total nearer.
+    Texts outside the reserve are decided by the flight and, for the last two, by their probabilities.  Then texts of the
+    reserve are used once more or once less, one or two at a time and never beyond 0 and ``most`` uses, as long as that
+    brings the total nearer.
     """
     p = p.copy()
     p[~reserve] = flight(p[~reserve], tokens[~reserve], rng)
@@ -77,19 +78,23 @@ def landing(p: np.ndarray, tokens: np.ndarray, reserve: np.ndarray, goal: float,
     open_at = (p > 0) & (p < 1)
     p[open_at] = rng.random(int(open_at.sum())) < p[open_at]
     pool = np.flatnonzero(reserve)
-    for _ in range(10 * len(pool) + 1):
+    for _ in range(50 * len(pool) + 1):
         off = goal - float((p * tokens).sum())
-        if not len(pool) or off == 0:
+        uses = (base + p)[pool]
+        up, down = pool[uses < most[pool]], pool[uses > 0]
+        text = np.concatenate([up, down])
+        if not len(text) or off == 0:
             break
-        change = np.where(p[pool] > 0, -tokens[pool], tokens[pool]).astype(np.float64)
+        step = np.concatenate([np.ones(len(up)), -np.ones(len(down))])
+        change = step * tokens[text]
         single = np.abs(off - change)
         both = np.abs(off - change[:, None] - change[None])
-        np.fill_diagonal(both, np.inf)
+        both[text[:, None] == text[None]] = np.inf
         i, (x, y) = int(single.argmin()), np.unravel_index(int(both.argmin()), both.shape)
-        flips = [i] if single[i] <= both[x, y] else [int(x), int(y)]
+        moves = [i] if single[i] <= both[x, y] else [int(x), int(y)]
         if min(single[i], both[x, y]) >= abs(off):
             break
-        p[pool[flips]] = 1 - p[pool[flips]]
+        p[text[moves]] += step[moves]
     return p
 
 
@@ -105,7 +110,7 @@ def _land(rows: pa.Table) -> pa.Table:
     p, tokens, reserve = rows.column("p").to_numpy(), rows.column("n_tokens").to_numpy(), rows.column("block").to_numpy() < 0
     # blocks kept their sums, so what these texts promise together is what the source still lacks
     goal = float((p * tokens).sum())
-    p = landing(p, tokens, reserve, goal, np.random.default_rng(int(rows.column("doc_id")[0].as_py()) & 0xFFFFFFFF))
+    p = landing(p, tokens, rows.column("base").to_numpy(), rows.column("most").to_numpy(), reserve, goal, np.random.default_rng(int(rows.column("doc_id")[0].as_py()) & 0xFFFFFFFF))
     return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
@@ -123,12 +128,12 @@ def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, voc
     if total is None:
         total = min((aims[s][1] * held[s][0] / (aims[s][0] / whole) for s in held), default=0.0)
     uses = {s: min(float(aims[s][1]), total * aims[s][0] / whole / held[s][0]) for s in held}
-    plan = spark.createDataFrame([(s, float(uses[s]), max(1, -(-held[s][1] // BLOCK)), held[s][1]) for s in held], "source string, uses double, blocks long, docs long")
+    plan = spark.createDataFrame([(s, float(uses[s]), max(1, -(-held[s][1] // BLOCK)), held[s][1], aims[s][1]) for s in held], "source string, uses double, blocks long, docs long, most long")
     planned = units.join(F.broadcast(plan), "source")  # one row for each target
     # about RESERVE texts of each source don't fly but settle the landing
     block = F.when(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("docs")) < RESERVE, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    start = planned.select("doc_id", "source", "n_tokens", F.floor(F.col("uses") + 1e-9).alias("base"), F.greatest(F.lit(0.0), F.col("uses") - F.floor(F.col("uses") + 1e-9)).alias("p"), block.alias("block"))
-    schema = "doc_id long, source string, n_tokens long, base long, p double, block long"
+    start = planned.select("doc_id", "source", "n_tokens", F.floor(F.col("uses") + 1e-9).alias("base"), F.greatest(F.lit(0.0), F.col("uses") - F.floor(F.col("uses") + 1e-9)).alias("p"), block.cast("long").alias("block"), "most")
+    schema = "doc_id long, source string, n_tokens long, base long, p double, block long, most long"
     flown = settle(start.where("block >= 0").groupBy("source", "block").applyInArrow(_fly, schema).unionAll(start.where("block < 0")), "flown")
     undecided = flown.where("p > 0 and p < 1")  # two texts of each block, and the reserve
     landed = undecided.groupBy("source").applyInArrow(_land, schema)

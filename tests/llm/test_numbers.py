@@ -130,15 +130,15 @@ def test_flight_keeps_its_sums():
     assert np.abs(mean - 0.3).max() < 0.04
     reserve = np.zeros(500, bool)
     reserve[:100] = True
-    landed = landing(p, tokens, reserve, float((p * tokens).sum()), rng)
+    landed = landing(p, tokens, np.zeros(500), np.ones(500), reserve, float((p * tokens).sum()), rng)
     assert set(landed.tolist()) <= {0.0, 1.0} and abs((landed * tokens).sum() - (p * tokens).sum()) < 2
     assert flight(np.zeros(0), np.zeros(0), rng).tolist() == []
 
 
 def test_mixture_reaches_its_shares(spark):
     rng = random.Random(9)
-    docs = [(i, ("big", "mid", "small", "other", None)[min(int(rng.expovariate(0.9)), 4)], " ".join(["word"] * rng.randint(5, 200))) for i in range(1500)]
-    docs += [(2000, "big", None), (2001, "big", ""), (2002, "mid", "  "), (2003, "small", docs[0][2]), (2004, "small", docs[0][2]), (2005, "small", "long text " * 5000)]
+    docs = [(i, ("big", "mid", "small", "other", None)[min(int(rng.expovariate(0.9)), 4)], " ".join([f"word{i}"] * rng.randint(5, 200))) for i in range(1500)]
+    docs += [(2000, "big", None), (2001, "big", ""), (2002, "mid", "  "), (2003, "small", docs[0][2]), (2004, "small", docs[0][2]), (2005, "small", "long text " * 1000)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("tokens", F.lit("clash"))
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.15, 4), ("absent", 0.05, 3)], "source string, target_share double, max_repeats int")
     used, report = mixture(df, targets)
