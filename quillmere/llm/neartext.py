@@ -17,7 +17,7 @@ RARE_PIECE = 0.002
 #: Rows that one bucket may hold; a commoner piece's rows are dealt out to cells of this size, and every two cells meet.
 CELL = 1 << 15
 #: Rows on a side of a tile.
-TILE = 1024
+TILE = 256
 
 BLOCKS = "part int, uid binary, side binary, size binary, s0 binary, s1 binary, key binary, text binary, first binary"
 #: Bucket rows that one task compares; the number of parts follows from the number of texts.
@@ -39,7 +39,7 @@ def index_length(size: np.ndarray, least: float) -> np.ndarray:
     return (size - np.ceil(2 * least / (1 + least) * size - 1e-9) + 1).astype(np.int64)
 
 
-def rare_pieces(texts: list[str | None], common: Commonness, least: float) -> dict[str, np.ndarray]:
+def rare_pieces(texts: list[str | None], common: Commonness, least: float, cell: int = CELL) -> dict[str, np.ndarray]:
     """Of each text of a chunk the rarest pieces, rarest first: as many as the prefix filter needs to lose no pair.
 
     Any two sets with similarity ``least`` or more share one of the first ``index_length`` pieces of the smaller and the
@@ -61,7 +61,7 @@ def rare_pieces(texts: list[str | None], common: Commonness, least: float) -> di
     keep = place < probe_length(size, least)[row]
     row, packed, place = row[keep], packed[keep], place[keep]
     key = packed & np.uint64((1 << 44) - 1)
-    cells = common.cells((packed >> np.uint64(44) & np.uint64(63)).astype(np.int64), CELL)
+    cells = common.cells((packed >> np.uint64(44) & np.uint64(63)).astype(np.int64), cell)
     first = place < index_length(size, least)[row]
     if (cells > 1).any():
         row, key, first = in_cells(row, key, first, cells, sketch)
@@ -109,7 +109,7 @@ def _labels(spark: SparkSession, parts: int) -> list[int]:
     return [found.get(p, p) for p in range(parts)]
 
 
-def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int, crossing: bool) -> DataFrame:
+def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int, crossing: bool, cell: int = CELL) -> DataFrame:
     """(uid, side, text) -> blocks of bucket rows, in columns of bytes, one block for each chunk of texts and part of the keys.
 
     Unless sides are to be crossed, texts of different sides get different keys and never meet.
@@ -120,7 +120,7 @@ def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int
         for batch in batches:
             uid, side, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
             for i in range(0, len(values), CHUNK):
-                k = rare_pieces(values[i : i + CHUNK], common, least)
+                k = rare_pieces(values[i : i + CHUNK], common, least, cell)
                 if not crossing:
                     k["key"] = mix(k["key"] + (side[k["row"] + i].astype(np.uint64) + np.uint64(1)) * M1) & np.uint64((1 << 44) - 1)
                 part = (k["key"] % np.uint64(parts)).astype(np.int64)
@@ -149,10 +149,11 @@ def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int
 class _Part:
     """All bucket rows of one part of the keys, sorted by key and set size."""
 
-    def __init__(self, least: float, crossing: bool):
-        self.least, self.crossing = least, crossing
+    def __init__(self, least: float, crossing: bool, tile: int):
+        self.least, self.crossing, self.tile = least, crossing, tile
         self.held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "side", "size", "s0", "s1", "key", "text", "first")}
         self.texts = 0
+        self.buffers = (np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint8), np.empty((tile, tile), np.uint8), np.empty((tile, tile), bool))
 
     def add(self, batch: pa.RecordBatch) -> None:
         kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "key": "<u4", "text": "<u2"}
@@ -207,25 +208,29 @@ class _Part:
     def _large(self, text: np.ndarray, first: np.ndarray):
         """One large bucket, tile against tile; tiles whose set sizes differ beyond the radius are skipped."""
         s0, s1, size = self.s0[text], self.s1[text], self.size[text].astype(np.int64)
-        for i in range(0, len(text), TILE):
-            rows = i + np.flatnonzero(first[i : i + TILE])
+        for i in range(0, len(text), self.tile):
+            rows = i + np.flatnonzero(first[i : i + self.tile])
             if not len(rows):
                 continue
-            x0, x1, largest = s0[rows][:, None], s1[rows][:, None], size[rows[-1]]
-            for j in range(i, len(text), TILE):
+            x0, x1, largest, m = s0[rows][:, None], s1[rows][:, None], size[rows[-1]], len(rows)
+            for j in range(i, len(text), self.tile):
                 if largest < np.ceil(self.least * size[j] - 1e-9):
                     break
-                end = min(j + TILE, len(text))
-                apart = np.bitwise_count(x0 ^ s0[None, j:end])
-                apart += np.bitwise_count(x1 ^ s1[None, j:end])
-                r, c = np.nonzero(apart <= radius(largest, size[end - 1], self.least))
-                if len(r):
+                end = min(j + self.tile, len(text))
+                # buffers are kept: a tile's temporaries would cost more than its comparisons
+                apart, other, near = (buffer[:m, : end - j] for buffer in self.buffers[1:])
+                words = self.buffers[0][:m, : end - j]
+                np.bitwise_count(np.bitwise_xor(x0, s0[None, j:end], out=words), out=apart)
+                np.bitwise_count(np.bitwise_xor(x1, s1[None, j:end], out=words), out=other)
+                np.less_equal(np.add(apart, other, out=apart), radius(largest, size[end - 1], self.least), out=near)
+                if near.any():
+                    r, c = np.divmod(np.flatnonzero(near), end - j)
                     a, b = rows[r], j + c
                     later = b > a
-                    yield self._kept(text[a[later]], text[b[later]], apart[r, c][later])
+                    yield self._kept(text[a[later]], text[b[later]], apart[r, c][later].astype(np.int64))
 
 
-def candidates(blocks: DataFrame, parts: int, least: float = SIMILARITY, crossing: bool = False) -> DataFrame:
+def candidates(blocks: DataFrame, parts: int, least: float = SIMILARITY, crossing: bool = False, tile: int = TILE) -> DataFrame:
     """Distinct pairs (a, b), a < b, of texts that share a rare piece and whose sketches lie within the radius.
 
     Each task holds the rows of one part of the keys, about ROWS_PER_PART whatever the corpus, as parts grow with it and
@@ -233,7 +238,7 @@ def candidates(blocks: DataFrame, parts: int, least: float = SIMILARITY, crossin
     """
 
     def compare(batches):
-        part = _Part(least, crossing)
+        part = _Part(least, crossing, tile)
         for batch in batches:
             part.add(batch)
         made = [(np.minimum(a, b), np.maximum(a, b)) for a, b in part.pairs() if len(a)]

@@ -93,10 +93,8 @@ def test_near_duplicates_equal_brute_force(spark, texts, truth):
     assert len(every) == len({r["uid"] for r in every}) == sum(1 for t in texts if grams(t)[0]) + sum(1 for t in texts[:40] if grams(t)[0])
 
 
-def test_hot_buckets_are_dealt_out(spark, monkeypatch):
+def test_hot_buckets_are_dealt_out(spark):
     """A bucket that holds most rows is dealt out to cells, large ones are compared in tiles, and no pair is lost."""
-    monkeypatch.setattr(neartext, "CELL", 64)
-    monkeypatch.setattr(neartext, "TILE", 32)
     rng = random.Random(5)
     base = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(40))
     texts = []
@@ -105,9 +103,9 @@ def test_hot_buckets_are_dealt_out(spark, monkeypatch):
         texts.append(base[:at] + chr(0x4E00 + rng.randrange(5000)) + base[at + 1 :])
     frame = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "uid long, side int, text string")
     common = Commonness.fit(frame, "text", hashed_bigrams, 0.002)
-    keyed = neartext.rare_pieces(texts, common, 0.7)
+    keyed = neartext.rare_pieces(texts, common, 0.7, 64)
     assert np.bincount(keyed["row"]).max() > 30  # cells were made
-    found = neartext.candidates(neartext.bucket_blocks(frame, common, 0.7, 3, False), 3)
+    found = neartext.candidates(neartext.bucket_blocks(frame, common, 0.7, 3, False, 100), 3, tile=32)
     made = [grams(t) for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if made[i][0] != made[j][0] and near(made[i], made[j])}
     assert len(want) > 70_000 and want <= {r[:] for r in found.collect()}
