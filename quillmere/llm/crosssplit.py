@@ -1,6 +1,6 @@
 """The same or nearly the same records in different splits (problem 5): blocks of a similarity-hash code.
 
-Each text has a code of bits: 128 parity bits of its two-character pieces, of which similar texts share most, and one
+Each text has a code of bits: 96 parity bits of its two-character pieces, of which similar texts share most, and one
 block of hashed bits for each of its rarest pieces.  Codes are joined across splits where one block is equal, only
 between the training and the evaluation side; the parity bits must lie within the Hamming radius of the wanted
 similarity; then the texts are verified, and overlaps are counted by split and source.  A code has so many blocks that

@@ -1,6 +1,6 @@
 """Near-duplicate requests (problem 1): tiles of bit sketches compared by exclusive-or and bit counts.
 
-Each text's set of two-character pieces has a 128-bit parity sketch whose Hamming distance never exceeds
+Each text's set of two-character pieces has a 96-bit parity sketch whose Hamming distance never exceeds
 the number of pieces that differ.  Tiles of sketches are compared exactly, and two tiles are skipped if
 the counts of their sets already differ beyond the radius.  All tiles against all others would grow
 with the square of the table, so tiles are formed within buckets: every text stands in the buckets of

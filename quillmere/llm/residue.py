@@ -41,7 +41,7 @@ TOLD, OTHER = 1.0, 0.3
 ALPHA = 0.02
 SLICES = 16
 #: Characters scored at once.
-CHARS = 2_000_000
+CHARS = 1_000_000
 
 
 def simplified(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
