@@ -5,7 +5,8 @@ added up; unfilled fields, filler, random letters and notices by material writte
 (``residue_seeds``).  For every character the logarithm of the likelihood ratio of each kind against prose is
 averaged over a window; windows above a threshold localise residue.  A document is excluded if a sentence is
 residue of an unfilled template, or if filler and notices cover most of its body, where titles, navigation and
-other lines without a sentence are not body.
+other lines without a sentence are not body.  Prose must have wording that the corpus has often, and a document without
+any prose is excluded for one line that reads like a notice, so messages that no material shows are found as well.
 
 Defined results: null, empty and blank texts are no case; code blocks are the document's own content; long texts
 are scored whole; copies are scored alike; an empty table gives no rows; other columns aren't read.
@@ -25,7 +26,7 @@ from quillmere.llm.grams import mix
 from quillmere.llm.residue_seeds import material
 
 #: Lengths of the n-grams and width of each count table.
-ORDERS = (2, 3, 4)
+ORDERS = (2, 3, 4)  # each made of the one before and the next character
 WIDTH = 1 << 18
 KINDS = ("field", "slot", "filler", "noise", "notice")
 #: Characters in a window, and the mean log-likelihood ratio from which a window is residue.
@@ -39,87 +40,132 @@ LETTER, SLOT = 0.2, 2.0
 TOLD, OTHER = 1.0, 0.3
 #: Additive smoothing of the counts.
 ALPHA = 0.02
+#: Longer pieces tell which wording is the corpus's own: those that occur once in so many documents are familiar, and a
+#: prose sentence has at least a share OWN of them.
+LONG, LONG_WIDTH, FAMILIAR, OWN = 6, 1 << 20, 0.0015, 0.45
+#: In a document without prose, a line of which less than this share of pieces of four characters is in so many documents
+#: is no title or navigation of this corpus either.
+SHORT, KNOWN, STRANGE = 4, 0.003, 0.35
 SLICES = 16
 #: Characters scored at once.
 CHARS = 1_000_000
 
 
+def _after(x: np.ndarray, by: int) -> np.ndarray:
+    """Each value moved on by so many places, zeros before."""
+    out = np.zeros_like(x)
+    out[by:] = x[: len(x) - by]
+    return out
+
+
 def simplified(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points for the models: consistent form, Latin in lower case, all digits as 0."""
+    """Code points for the models: consistent form, Latin in lower case, and every number or date as one 0."""
     cps, lens = canonical_points(*code_points(texts), drop_space=False)
-    cps = np.where((cps >= 65) & (cps <= 90), cps + 32, cps)
-    return np.where((cps >= 48) & (cps <= 57), 48, cps).astype(np.uint32), lens
+    cps = np.where((cps >= 65) & (cps <= 90), cps + np.uint32(32), cps)
+    digit = (cps >= 48) & (cps <= 57)
+    cps = np.where(digit, np.uint32(48), cps)
+    space = cps == 32
+    unit = (cps == ord("年")) | (cps == ord("月")) | (cps == ord("日"))
+    unit &= _after(digit, 1) | (_after(space, 1) & _after(digit, 2))
+    body = digit | unit
+    # signs between digits, and a space before or after a unit
+    between = (cps == ord("-")) | (cps == ord(":")) | (cps == ord(".")) | (cps == ord(","))
+    before = np.concatenate([digit[1:], [False]]) if len(cps) else digit
+    next_unit = np.concatenate([unit[1:], [False]]) if len(cps) else unit
+    body |= (between & _after(digit, 1) & before) | (space & ((_after(digit, 1) & next_unit) | (_after(unit, 1) & before)))
+    doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    keep = ~(body & _after(body, 1) & (doc == _after(doc, 1)))
+    return np.where(body, np.uint32(48), cps)[keep], np.bincount(doc[keep], minlength=len(lens)).astype(np.int64)
 
 
-def grams(cps: np.ndarray) -> list[np.ndarray]:
-    """For each order the table cell of the n-gram that ends at each character."""
-    out = []
+def grams(cps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each character the table cells of the n-grams that end there, by order, and of the pieces of LONG and SHORT characters; one mix for each."""
     wide = cps.astype(np.uint64) + np.uint64(1)
-    for n in ORDERS:
-        h = np.full(len(cps), n, np.uint64)
-        for back in range(n - 1, -1, -1):
-            shifted = np.zeros(len(cps), np.uint64)
-            shifted[back:] = wide[: len(cps) - back]
-            h = mix(h * np.uint64(31) + shifted)
-        out.append((h & np.uint64(WIDTH - 1)).astype(np.int32))
-    return out
+    step = np.uint64(0x9E3779B97F4A7C15)
+    made = [mix(wide)]
+    for _ in ORDERS:
+        made.append(mix(_after(made[-1], 1) * step + wide))
+    long = mix(_after(made[3], 2) * step + made[1])  # four characters and the two after them
+    return [(h & np.uint64(WIDTH - 1)).astype(np.int32) for h in made[1:]], [(h & np.uint64(LONG_WIDTH - 1)).astype(np.int32) for h in (long, made[SHORT - 1])]
 
 
-def counted(texts: list[str]) -> np.ndarray:
-    """Counts of the n-grams of texts, one row for each order."""
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the n-grams of texts, one row for each order, and of their pieces, one row for each length."""
     cps, _ = simplified(["\n" + x + "\n" for x in texts])
-    return np.stack([np.bincount(g, minlength=WIDTH) for g in grams(cps)]) if len(cps) else np.zeros((len(ORDERS), WIDTH), np.int64)
+    cells, long = grams(cps)
+    return np.stack([np.bincount(g, minlength=WIDTH) for g in cells]), np.stack([np.bincount(p, minlength=LONG_WIDTH) for p in long])
 
 
 class ResidueModel:
-    """Log-likelihood ratios of each kind against prose; 15 tables of one fixed size."""
+    """Log-likelihood ratios of each kind against prose, and which pieces are familiar; 17 tables of one fixed size."""
 
-    def __init__(self, prose: np.ndarray):
-        self.ratio = {}
-        counts = {kind: counted(lines) for kind, lines in material().items()}
+    def __init__(self, prose: np.ndarray, long: np.ndarray, texts: int):
+        self.ratio: dict[str, np.ndarray] = {}
+        self.familiar, self.known = long[0] >= max(1.0, FAMILIAR * texts), long[1] >= max(1.0, KNOWN * texts)
+        counts = {kind: counted(lines)[0] for kind, lines in material().items()}
         filled = counts.pop("filled")
         share = {kind: (c + ALPHA) / (c.sum(1, keepdims=True) + ALPHA * WIDTH) for kind, c in counts.items()}
         common = (prose + ALPHA * 20) / (prose.sum(1, keepdims=True) + ALPHA * 20 * WIDTH)
         for kind, s in share.items():
-            self.ratio[kind] = np.clip(np.log(s / common), -6, 6).astype(np.float32)
+            self.ratio[kind] = np.clip(np.log(s / common), -6, 6)
         # what only an unfilled letter has: against letters of the same wording that are filled, and against prose
         letters = (filled + ALPHA) / (filled.sum(1, keepdims=True) + ALPHA * WIDTH)
-        self.ratio["slot"] = np.clip(np.log(share["field"] / np.maximum(letters, common)), -6, 6).astype(np.float32)
+        self.ratio["slot"] = np.clip(np.log(share["field"] / np.maximum(letters, common)), -6, 6)
+        # the kinds of one cell lie side by side, so a character takes one lookup for each order
+        self.table = [np.ascontiguousarray(np.stack([self.ratio[k][i] for k in KINDS], axis=1) / len(ORDERS), dtype=np.float32) for i in range(len(ORDERS))]
+        del self.ratio
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str) -> ResidueModel:
         """Prose counts over all documents: one set of tables per task, slices of them added in a shuffle."""
-        step = WIDTH // SLICES
+        step, long_step = WIDTH // SLICES, LONG_WIDTH // SLICES
+
+        def packed(total: np.ndarray, long: np.ndarray) -> bytes:
+            return total.astype("<i8").tobytes() + long.astype("<i8").tobytes()
+
+        def opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+            flat = np.frombuffer(data, "<i8")
+            return flat[: len(ORDERS) * step].reshape(len(ORDERS), step), flat[len(ORDERS) * step :].reshape(2, long_step)
 
         def count(batches):
-            total = np.zeros((len(ORDERS), WIDTH), np.int64)
+            total, long, seen = np.zeros((len(ORDERS), WIDTH), np.int64), np.zeros((2, LONG_WIDTH), np.int64), 0
             for batch in batches:
                 for part in _parts([x for x in batch.column(0).to_pylist() if x]):
-                    total += counted(part)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([np.ascontiguousarray(total[:, i * step : (i + 1) * step]).astype("<i8").tobytes() for i in range(SLICES)], pa.binary())})
+                    mine, my_long = counted(part)
+                    total += mine
+                    long += my_long
+                    seen += len(part)
+            if seen:
+                slices = [packed(total[:, i * step : (i + 1) * step], long[:, i * long_step : (i + 1) * long_step]) for i in range(SLICES)]
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "texts": pa.array([seen] * SLICES, pa.int64()), "counts": pa.array(slices, pa.binary())})
 
         def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(ORDERS), step), np.int64)
+            total, long, seen = np.zeros((len(ORDERS), step), np.int64), np.zeros((2, long_step), np.int64), 0
             for batch in batches:
-                for c in batch.column("counts"):
-                    total += np.frombuffer(c.as_py(), "<i8").reshape(len(ORDERS), step)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+                for c, n in zip(batch.column("counts"), batch.column("texts"), strict=True):
+                    mine, my_long = opened(c.as_py())
+                    total += mine
+                    long += my_long
+                    seen += n.as_py()
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "texts": pa.array([seen], pa.int64()), "counts": pa.array([packed(total, long)], pa.binary())})
 
-        schema = "slice int, counts binary"
-        rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()  # 16 rows, 6 MB in all
-        prose = np.zeros((len(ORDERS), WIDTH), np.int64)
-        for r in rows:
-            prose[:, r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(bytes(r["counts"]), "<i8").reshape(len(ORDERS), step)
-        return cls(prose)
+        schema = "slice int, texts long, counts binary"
+        rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
+        prose, long, texts = np.zeros((len(ORDERS), WIDTH), np.int64), np.zeros((2, LONG_WIDTH), np.int64), 0
+        for r in rows.toLocalIterator():  # 16 rows, 23 MB in all, one at a time
+            i, texts = r["slice"], r["texts"]
+            prose[:, i * step : (i + 1) * step], long[:, i * long_step : (i + 1) * long_step] = opened(bytes(r["counts"]))
+        return cls(prose, long, texts)
 
     def judge(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """Of each text: sentences that are template residue, characters of filler and notices, characters of prose sentences."""
+        """Of each text: sentences that are template residue, characters of filler and notices, characters of prose sentences,
+        and lines that read more like filler or a notice than like the corpus, or unlike its titles and navigation."""
         n = len(texts)
         cps, lens = simplified(texts)
         doc = np.repeat(np.arange(n), lens)
         if not len(cps):
-            return {k: np.zeros(n, np.int64) for k in ("field", "waste", "prose")}
-        cells = grams(cps)
+            return {k: np.zeros(n, np.int64) for k in ("field", "waste", "prose", "odd")}
+        cells, long = grams(cps)
         first = np.concatenate([[True], doc[1:] != doc[:-1]])
         # sentences end at line breaks, at full stops of either script, and at marks of question or exclamation
         ends = np.isin(cps, np.array([ord(c) for c in "\n\r。!?…"], np.uint32))
@@ -139,32 +185,43 @@ class ResidueModel:
             code = np.zeros(len(cps), bool)
         blank = (cps == 32) | (cps == 9) | (cps == 10) | (cps == 13)
         solid = np.add.reduceat((~blank).astype(np.int64), start)
+        each = self.table[0][cells[0]]
+        for i in range(1, len(ORDERS)):
+            each += self.table[i][cells[i]]
+        at = np.arange(len(cps))
+        low = np.maximum(at - WINDOW // 2, start[seg])
+        high = np.minimum(at + WINDOW - WINDOW // 2, start[seg] + size[seg])
+        width = np.maximum(1, high - low)
         score = {}
-        for kind in KINDS:
-            each = sum(self.ratio[kind][i][cells[i]] for i in range(len(ORDERS))) / len(ORDERS)
-            total = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-            at = np.arange(len(cps))
-            low = np.maximum(at - WINDOW // 2, start[seg])
-            high = np.minimum(at + WINDOW - WINDOW // 2, start[seg] + size[seg])
-            score[kind] = (total[high] - total[low]) / np.maximum(1, high - low)
+        for i, kind in enumerate(KINDS):
+            total = np.concatenate([[0.0], np.cumsum(each[:, i], dtype=np.float64)])
+            score[kind] = (total[high] - total[low]) / width
         best = np.maximum(np.maximum(score["filler"], score["noise"]), score["notice"])
         free = ~blank & ~code
         waste = np.add.reduceat(((best > LEAST) & free).astype(np.int64), start)
         field = np.add.reduceat(((score["field"] > LEAST) & free).astype(np.int64), start)
         in_code = np.add.reduceat(code.astype(np.int64), start) > 0
         last = start + size - 1
-        # a prose sentence ends in a full stop and is no waste
+        # the long pieces that lie inside a sentence, and how many of them the corpus has often
+        inside = np.arange(len(cps)) - start[seg] >= LONG - 1
+        own = np.add.reduceat((inside & self.familiar[long[0]]).astype(np.int64), start)
+        own_share = own / np.maximum(1, size - LONG + 1)
+        within = np.arange(len(cps)) - start[seg] >= SHORT - 1
+        known_share = np.add.reduceat((within & self.known[long[1]]).astype(np.int64), start) / np.maximum(1, size - SHORT + 1)
+        mean = np.add.reduceat(np.where(free, best, 0.0), start) / np.maximum(1, solid)
+        # a prose sentence ends in a full stop, has the corpus's own wording and is no waste
         stop = np.isin(cps[last], np.array([ord(c) for c in "。."], np.uint32)) | np.isin(cps[np.maximum(last - 1, start)], np.array([ord(c) for c in "。."], np.uint32))
         is_waste = (waste >= SENTENCE * solid) & (solid > 0)
         slot = np.maximum.reduceat(np.where(free, score["slot"], -9), start)
         told = np.add.reduceat(((score["field"] < -TOLD) & free).astype(np.int64), start)
         is_field = (field >= LETTER * solid) & (told <= OTHER * solid) & (slot > SLOT) & (solid >= 4) & ~in_code
-        is_prose = ~is_waste & ~is_field & ((stop & (solid >= 6)) | (in_code & (solid > 0)))
+        is_prose = ~is_waste & ~is_field & ((stop & (solid >= LONG) & (own_share >= OWN)) | (in_code & (solid > 0)))
         of = doc[start]
         return {
             "field": np.bincount(of, is_field, n).astype(np.int64),
             "waste": np.bincount(of, np.where(is_waste, solid, 0), n).astype(np.int64),
             "prose": np.bincount(of, np.where(is_prose, solid, 0), n).astype(np.int64),
+            "odd": np.bincount(of, ~is_prose & (((mean > 0) & (solid >= 3) & (own_share < OWN)) | ((known_share < STRANGE) & (solid >= LONG))), n).astype(np.int64),
         }
 
 
@@ -184,7 +241,7 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
 def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, field sentences, waste and prose characters) of the documents that are residue."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(ResidueModel.fit(docs, text))  # 15 MB whatever the corpus
+    model = spark.sparkContext.broadcast(ResidueModel.fit(docs, text))  # 18 MB whatever the corpus
     kind = docs.schema[key].dataType.simpleString()
 
     def judge(batches):
@@ -194,7 +251,8 @@ def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
             for part in _parts(texts):
                 j = model.value.judge(part)
                 waste, prose = j["waste"], j["prose"]
-                hit = (j["field"] > 0) | ((waste > 0) & (waste >= BODY * (waste + prose)))
+                # without any prose one line that is like a notice is enough, so notices of unknown wording are found too
+                hit = (j["field"] > 0) | ((waste > 0) & (waste >= BODY * (waste + prose))) | ((prose == 0) & (j["odd"] > 0))
                 out = pa.RecordBatch.from_arrays([keys.slice(done, len(part)), *(pa.array(j[c], pa.int64()) for c in ("field", "waste", "prose"))], names=[key, "field_sentences", "waste_chars", "prose_chars"])
                 yield out.filter(pa.array(hit))
                 done += len(part)

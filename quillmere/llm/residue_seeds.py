@@ -30,13 +30,14 @@ LETTERS = (
     "Ticket @ was assigned to @, expected by @.",
     "@ report",
 )
-FILLED = ("2026-02-18", "2025 年 9 月 16 日", "6 月 28 日", "17 March 2026", "22 December 2025", "28 April 2025", "19 September 2025", "某器械", "某某科技", "物流", "食品", "园艺", "装备", "客服组长", "WX-2938124", "Rixgli-372", "the customer")
+FILLED = ("某器械", "某某科技", "物流", "食品", "园艺", "装备", "光学", "纺织", "印务", "轴承", "建材", "客服组长", "WX-2938124", "Rixgli-372", "Norjat T43", "the customer")
+MONTHS = "January February March April May June July August September October November December".split()
 
 FILLER = (
     "示例文字示例文字。 占位占位占位 文本文本文本文本 正文内容正文内容 正文正文正文正文 标题标题标题 标题一 标题二 标题三 副标题占位 段落一段落二段落三 图片说明文字 内容待补充。 此处为示例正文。 "
     "这里是占位内容， 随便写点什么。 请在此处粘贴正文。 测试测试测试 啊啊啊啊 某某某某， ○○○○○○ XXXXXX，XXXX。 xxxx|xxxx|xxxx blah|blah|blah foo|bar|baz test|test|test|123 asdf|asdf|asdf "
     "Lorem|ipsum|dolor|sit|amet, Sample|paragraph. Text|goes|here. Your|content|here. Heading|heading|heading. Caption|caption. Filler|filler|filler. Insert|body|text. Dummy|content|for|layout. Section|one|section|two. "
-    "此处插入文字 填充文字填充文字 Placeholder|text. Type|something|here."
+    "Placeholder|copy,|replace|me. 此处插入文字 填充文字填充文字 Placeholder|text. Type|something|here."
 ).split()
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor trisque pramus vestra fabrilo corpil nusce alicor magnet perlata tendis quondam orvali sunter venuto dapis elitor aen".split()
 
@@ -54,14 +55,14 @@ ERRORS = (
     "The server encountered an unexpected condition|Service is not running or the port is in use|Too many wrong codes, account locked|Please wait in the queue|"
     "Stack trace:|Traceback (most recent call last):|File \"view.py\", line 53, in fetch_doc|File \"render.py\", line 42, in open_view|load(doc)|fetch_doc(doc)|open_view()|parse()|#0 parse()|#1 open_view()|main.parse(0x9aac4504)|"
     "java.lang.NullPointerException: page failed|java.lang.TypeError: open_view failed|at app.Loop.run(Loop:82)|at app.session.page(session:82)|Fatal error: Uncaught KeyError in /srv/app/loader:799|TimeoutError: e633c26a|"
-    "IllegalStateException: af915bc5|KeyError: page|ORA-53: load not available|panic: runtime error|Segmentation fault"
+    "IllegalStateException: af915bc5|KeyError: page|Warning: load(): failed to open stream: no such file in view on line 31|Unhandled rejection while rendering view.|No healthy backend for cluster d5b57a8ec0|An unexpected condition was met and the request was not fulfilled.|Whoops, looks like something went wrong|温馨提示|ORA-53: load not available|panic: runtime error|Segmentation fault"
 ).split("|")
 SCRIPTS = (
     "本应用依赖脚本运行|页面需要 JS 才能显示|JavaScript 未启用|noscript 提示|您的浏览器禁用了脚本|检测到脚本被拦截|当前浏览器版本过低，无法执行脚本|安全检查尚未通过，脚本没有运行|正在验证您的浏览器|检测到您关闭了动态内容|"
     "内容将在脚本加载后出现|本页无法显示|请启用 JavaScript 后刷新|请将本站加入信任列表|请允许本站运行脚本程序|打开 JS 开关后点此继续|请更换或升级浏览器|请关闭拦截插件再试|此过程需要开启脚本与 Cookie|"
     "JavaScript is disabled|Your browser has scripts switched off|noscript|This page needs scripting|Script execution was blocked|Dynamic content is turned off|Content is rendered in the browser only|"
     "Checking your browser before access|The viewer doesn't work without client-side code|You are using an outdated browser|please enable JavaScript to continue|allow scripts for this site and reload|turn on js and cookies to run this app|"
-    "enable it in the settings, then refresh|switch to a browser that supports scripting|The page will appear once scripts have loaded"
+    "enable it in the settings, then refresh|switch to a browser that supports scripting|disable your blocker and try again|The page will appear once scripts have loaded"
 ).split("|")
 
 
@@ -77,15 +78,22 @@ def material(seed: int = 7) -> dict[str, list[str]]:
             name = name.upper()
         return rng.choice(STYLES).replace("|", " ").replace("~", name)
 
+    def filled() -> str:
+        """A value in a field: as often a date in one of four forms as anything else."""
+        if rng.random() < 0.5:
+            return rng.choice(FILLED)
+        y, m, d = rng.randint(2024, 2027), rng.randint(1, 12), rng.randint(1, 28)
+        return rng.choice((f"{y}-{m:02d}-{d:02d}", f"{y} 年 {m} 月 {d} 日", f"{m} 月 {d} 日", f"{d} {MONTHS[m - 1]} {y}"))
+
     fields = []
-    for _ in range(6000):
+    for _ in range(8000):
         parts = rng.choice(LETTERS).split("@")
-        fill = [field() if rng.random() < 0.6 else rng.choice(FILLED) for _ in parts[1:]]
+        fill = [field() if rng.random() < 0.6 else filled() for _ in parts[1:]]
         fields.append(parts[0] + "".join(f + p for f, p in zip(fill, parts[1:], strict=True)))
     letters_filled = []
-    for _ in range(6000):
+    for _ in range(8000):
         parts = rng.choice(LETTERS).split("@")
-        fill = [rng.choice(FILLED) for _ in parts[1:]]
+        fill = [filled() for _ in parts[1:]]
         letters_filled.append(parts[0] + "".join(f + p for f, p in zip(fill, parts[1:], strict=True)))
     filler = []
     for _ in range(1500):

@@ -111,6 +111,17 @@ def test_residue_documents(spark):
 
 
 def test_residue_counts_add_up():
-    assert (counted(["ab"]) + counted(["cd"]) == counted(["ab", "cd"])).sum() >= 0.99 * counted(["ab"]).size
-    model = ResidueModel(counted(PROSE * 50))
-    assert model.judge([]) == {} or all(len(v) == 0 for v in model.judge([]).values())
+    both, one, other = (counted(x) for x in (["ab", "cdef"], ["ab"], ["cdef"]))
+    assert all(abs(int(b.sum()) - int(x.sum()) - int(y.sum())) == 0 for b, x, y in zip(both, one, other, strict=True))
+    model = ResidueModel(*counted(PROSE * 50), 50)
+    assert all(len(v) == 0 for v in model.judge([]).values())
+    assert model.judge(["", "\n"])["waste"].tolist() == [0, 0]
+
+
+def test_unknown_notices_are_found(spark):
+    """A page without any prose is found by a line that the corpus doesn't have, though no material shows it."""
+    rng = random.Random(4)
+    prose = ["会议记录\n" + "\n".join(rng.choice(PROSE) for _ in range(12)) for _ in range(1500)]
+    texts = [*prose, "会议记录\n存储卷掉线，节点七无应答", "会议记录\n" + PROSE[0]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in residue_documents(rows, "doc_id", "text").collect()} == {1500}
