@@ -26,12 +26,13 @@ from pyspark.sql.types import StringType
 #: Compatibility mappings that keep the look of a character.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<small>")
 
-#: Letters of other scripts with the shape of a Latin letter, of katakana with the shape of
-#: an ideograph, and hyphens and minus signs of one shape.
+#: Letters of other scripts with the shape of a Latin letter, of katakana with the shape of an
+#: ideograph, hyphens and minus signs of one shape, operators with the shape of a punctuation
+#: mark, and radicals with the shape of an ideograph that Unicode doesn't map itself.
 LOOK_ALIKES = dict(
     zip(
-        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο" "АВЕЅІЈКМНОРСТХаеорсухѕіјԁһԛԝԚԜ" "エロカニハタトヘ" "‐−﹣",
-        "ABEZHIKMNOPTYXo" "ABESIJKMHOPCTXaeopcyxsijdhqwQW" "工口力二八夕卜へ" "---",
+        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϹϲϳͿ" "АВЕЅІЈКМНОРСТХаеорсухѕіјԁһԛԝԚԜ" "エロカニハタトヘ" "‐−﹣" "∶∕⁄∗∼∣" "⺓⺠⺩⺬⺶⺻⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰",
+        "ABEZHIKMNOPTYXoCcjJ" "ABESIJKMHOPCTXaeopcyxsijdhqwQW" "工口力二八夕卜へ" "---" "://*~|" "幺民王示羊聿虎西见角贝车长门青韦页风飞食马骨鬼鱼鸟麦黄齐齿龙",
         strict=True,
     )
 )

@@ -137,7 +137,7 @@ def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int
                     out["side"].append(side[used + i].astype("<u1").tobytes())
                     out["size"].append(k["size"][used].astype("<u4").tobytes())
                     out["s0"].append(k["sketch"][used, 0].tobytes())
-                    out["s1"].append((k["sketch"][used, 1] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())  # 96 bits tell texts apart well enough
+                    out["s1"].append(k["sketch"][used, 1].tobytes())
                     out["key"].append((k["key"][mine] // np.uint64(parts)).astype("<u4").tobytes())
                     out["text"].append(local.astype("<u2").tobytes())
                     out["first"].append(np.packbits(k["first"][mine]).tobytes())
@@ -153,10 +153,10 @@ class _Part:
         self.least, self.crossing, self.tile = least, crossing, tile
         self.held: dict[str, list[np.ndarray]] = {c: [] for c in ("uid", "side", "size", "s0", "s1", "key", "text", "first")}
         self.texts = 0
-        self.buffers = (np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint32), np.empty((tile, tile), np.uint8), np.empty((tile, tile), np.uint8), np.empty((tile, tile), bool))
+        self.buffers = (np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint8), np.empty((tile, tile), np.uint8), np.empty((tile, tile), bool))
 
     def add(self, batch: pa.RecordBatch) -> None:
-        kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u4", "key": "<u4", "text": "<u2"}
+        kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "key": "<u4", "text": "<u2"}
         for i in range(batch.num_rows):
             got = {c: np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in kinds.items()}
             self.held["first"].append(np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(got["key"])).astype(bool))
@@ -218,9 +218,9 @@ class _Part:
                     break
                 end = min(j + self.tile, len(text))
                 # buffers are kept: a tile's temporaries would cost more than its comparisons
-                words, halves, apart, other, near = (buffer[:m, : end - j] for buffer in self.buffers)
+                words, apart, other, near = (buffer[:m, : end - j] for buffer in self.buffers)
                 np.bitwise_count(np.bitwise_xor(x0, s0[None, j:end], out=words), out=apart)
-                np.bitwise_count(np.bitwise_xor(x1, s1[None, j:end], out=halves), out=other)
+                np.bitwise_count(np.bitwise_xor(x1, s1[None, j:end], out=words), out=other)
                 np.less_equal(np.add(apart, other, out=apart), radius(largest, size[end - 1], self.least), out=near)
                 if near.any():
                     r, c = np.divmod(np.flatnonzero(near), end - j)
