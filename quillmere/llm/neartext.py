@@ -19,7 +19,7 @@ CELL = 1 << 15
 #: Rows on a side of a tile.
 TILE = 256
 
-BLOCKS = "part int, uid binary, side binary, size binary, s0 binary, s1 binary, key binary, text binary, first binary"
+BLOCKS = "part int, uid binary, side binary, size binary, s0 binary, s1 binary, rows binary, low binary, high binary, first binary"
 #: Bucket rows that one task compares; the number of parts follows from the number of texts.
 ROWS_PER_PART = 1_500_000
 
@@ -124,22 +124,25 @@ def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int
                 if not crossing:
                     k["key"] = mix(k["key"] + (side[k["row"] + i].astype(np.uint64) + np.uint64(1)) * M1) & np.uint64((1 << 44) - 1)
                 part = (k["key"] % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
+                order = np.argsort(part * CHUNK + k["row"], kind="stable")  # by part, then by text
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
                 out: dict[str, list] = {c.split()[0]: [] for c in BLOCKS.split(", ")}
                 for p in range(parts):
                     mine = order[ends[p] : ends[p + 1]]
                     if not len(mine):
                         continue
-                    used, local = np.unique(k["row"][mine], return_inverse=True)
+                    used, rows = np.unique(k["row"][mine], return_counts=True)
+                    # 24 bits of the key: two keys that fall together only cost comparisons
+                    key = (k["key"][mine] // np.uint64(parts)).astype(np.uint32)
                     out["part"].append(labels[p])
                     out["uid"].append(uid[used + i].astype("<i8").tobytes())
                     out["side"].append(side[used + i].astype("<u1").tobytes())
                     out["size"].append(k["size"][used].astype("<u4").tobytes())
                     out["s0"].append(k["sketch"][used, 0].tobytes())
                     out["s1"].append(k["sketch"][used, 1].tobytes())
-                    out["key"].append((k["key"][mine] // np.uint64(parts)).astype("<u4").tobytes())
-                    out["text"].append(local.astype("<u2").tobytes())
+                    out["rows"].append(rows.astype("<u4").tobytes())
+                    out["low"].append((key & 0xFFFF).astype("<u2").tobytes())
+                    out["high"].append((key >> 16 & 0xFF).astype("<u1").tobytes())
                     out["first"].append(np.packbits(k["first"][mine]).tobytes())
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "part" else pa.binary()) for c, v in out.items()})
 
@@ -156,11 +159,12 @@ class _Part:
         self.buffers = (np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint8), np.empty((tile, tile), np.uint8), np.empty((tile, tile), bool))
 
     def add(self, batch: pa.RecordBatch) -> None:
-        kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "key": "<u4", "text": "<u2"}
+        kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "rows": "<u4", "low": "<u2", "high": "<u1"}
         for i in range(batch.num_rows):
             got = {c: np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in kinds.items()}
-            self.held["first"].append(np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(got["key"])).astype(bool))
-            got["text"] = got["text"].astype(np.int64) + self.texts
+            got["key"] = got.pop("low").astype(np.uint32) | got.pop("high").astype(np.uint32) << 16
+            got["first"] = np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(got["key"])).astype(bool)
+            got["text"] = np.repeat(np.arange(self.texts, self.texts + len(got["uid"])), got.pop("rows"))
             self.texts += len(got["uid"])
             for c, v in got.items():
                 self.held[c].append(v)
