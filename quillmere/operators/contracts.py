@@ -77,32 +77,30 @@ def kind(v: Column) -> Column:
     )
 
 
-def _is(v: Column, names: str | list[str]) -> Column:
+def _is(t: Column, names: str | list[str]) -> Column:
     wanted = [names] if isinstance(names, str) else list(names)
     if "number" in wanted:
         wanted.append("integer")
-    return F.coalesce(kind(v).isin(*wanted), F.lit(False))
+    return F.coalesce(t.isin(*wanted), F.lit(False))
 
 
-def _equals(v: Column, value: object) -> Column:
+def _equals(v: Column, t: Column, value: object) -> Column:
     if isinstance(value, bool):
-        return _is(v, "boolean") & (F.try_variant_get(v, "$", "boolean") == F.lit(value))
+        return _is(t, "boolean") & (F.try_variant_get(v, "$", "boolean") == F.lit(value))
     if isinstance(value, (int, float)):
-        return _is(v, "number") & (F.try_variant_get(v, "$", "double") == F.lit(float(value)))
+        return _is(t, "number") & (F.try_variant_get(v, "$", "double") == F.lit(float(value)))
     if value is None:
-        return _is(v, "null")
-    return _is(v, "string") & (F.try_variant_get(v, "$", "string") == F.lit(value))
+        return _is(t, "null")
+    return _is(t, "string") & (F.try_variant_get(v, "$", "string") == F.lit(value))
 
 
 def _key(name: str) -> str:
     return f"$['{name}']"
 
 
-def compile_schema(schema: dict, v: Column, at: str = "", text: Column | None = None) -> Column:
-    """Errors of the VARIANT ``v``, which must not be null; ``text`` is its JSON text (used to list its keys)."""
-    if schema is True:
-        return _none()
-    faults = [f for f in lint(schema) if f[1] != "UNSUPPORTED_KEYWORD" or True]
+def compile_schema(schema: dict, v: Column, at: str = "") -> Column:
+    """Errors of the VARIANT ``v``, which must not be null."""
+    faults = lint(schema)
     if faults:
         raise ValueError(f"bad schema: {faults}")
     return _compile(schema, v, at)
@@ -113,17 +111,27 @@ def _keys(v: Column) -> Column:
 
 
 def _compile(schema: dict, v: Column, at: str) -> Column:
+    """Errors of one node.  Its type, and its keys if they matter, are bound to a variable, so they are found once."""
+    keyed = bool({"required", "minProperties"} & schema.keys()) or schema.get("additionalProperties", True) is not True
+    t = kind(v)
+    fields = [v.alias("v"), t.alias("t")]
+    if keyed:
+        fields.append(F.when(t == "object", _keys(v)).alias("k"))
+    return F.transform(F.array(F.struct(*fields)), lambda s: _node(schema, s["v"], s["t"], s["k"] if keyed else None, at))[0]
+
+
+def _node(schema: dict, v: Column, t: Column, keys: Column | None, at: str) -> Column:
     loc = at or "/"
     checks: list[Column] = []
     string = F.try_variant_get(v, "$", "string")
     if "const" in schema:
-        checks.append(_when(~_equals(v, schema["const"]), loc, "CONST_MISMATCH"))
+        checks.append(_when(~_equals(v, t, schema["const"]), loc, "CONST_MISMATCH"))
     if "enum" in schema:
         hit = F.lit(False)
         for x in schema["enum"]:
-            hit = hit | F.coalesce(_equals(v, x), F.lit(False))
+            hit = hit | F.coalesce(_equals(v, t, x), F.lit(False))
         checks.append(_when(~hit, loc, "ENUM_MISMATCH"))
-    text = _is(v, "string")
+    text = _is(t, "string")
     if "minLength" in schema:
         checks.append(_when(text & (F.length(string) < schema["minLength"]), loc, "MIN_LENGTH"))
     if "maxLength" in schema:
@@ -131,7 +139,7 @@ def _compile(schema: dict, v: Column, at: str) -> Column:
     if "pattern" in schema:
         checks.append(_when(text & ~string.rlike("(?U)" + schema["pattern"]), loc, "PATTERN_MISMATCH"))
     items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-    array = _is(v, "array")
+    array = _is(t, "array")
     if "minItems" in schema:
         checks.append(_when(array & (F.size(items) < schema["minItems"]), loc, "MIN_ITEMS"))
     if "maxItems" in schema:
@@ -142,10 +150,9 @@ def _compile(schema: dict, v: Column, at: str) -> Column:
     if "items" in schema and schema["items"] is not True:
         each = F.transform(items, lambda x, i: F.transform(_compile(schema["items"], x, ""), lambda e: F.struct(F.concat(F.lit(f"{at}/"), i.cast("string"), F.when(e["loc"] != "/", e["loc"]).otherwise(F.lit(""))).alias("loc"), e["code"].alias("code"))))
         checks.append(F.when(array, F.flatten(each)).otherwise(_none()))
-    whole = _is(v, "object")
+    whole = _is(t, "object")
     properties = schema.get("properties", {})
-    if {"required", "minProperties"} & schema.keys() or schema.get("additionalProperties", True) is not True:
-        keys = _keys(v)
+    if keys is not None:
         for name in schema.get("required", []):
             checks.append(_when(whole & ~F.array_contains(keys, name), f"{at}/{name}", "MISSING_REQUIRED"))
         if schema.get("additionalProperties") is False:
@@ -173,7 +180,7 @@ def _compile(schema: dict, v: Column, at: str) -> Column:
         checks.append(F.when(holds, yes).otherwise(no))
     rest = _all(checks)
     if "type" in schema:
-        return F.when(_is(v, schema["type"]), rest).otherwise(F.array(_error(loc, "TYPE_MISMATCH")))
+        return F.when(_is(t, schema["type"]), rest).otherwise(F.array(_error(loc, "TYPE_MISMATCH")))
     return rest
 
 
