@@ -21,11 +21,11 @@ def audit_similar_labels(spark: SparkSession, sf: str) -> DataFrame:
     return similar_pairs(groups, None, "row_id", "label", 0.78, 24).select("a", "b", F.bround("similarity", 4).alias("similarity"))
 
 
-def audit_probe_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    """Route cases close to a frozen probe."""
-    probes = table(spark, sf, "frozen_probes")
-    cases = table(spark, sf, "agent_route_pairwise_v5").select(F.col("row_id").cast("string").alias("id"), "query")
-    return similar_pairs(probes.select("id", "query"), cases, "id", "query", 0.33).select(F.col("a").alias("probe"), F.col("b").alias("row_id"), F.bround("similarity", 4).alias("similarity"))
+def audit_title_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a title close to the label of a template group."""
+    groups = table(spark, sf, "groups_clarify").select(F.col("row_id").alias("id"), F.col("label").alias("words"))
+    titles = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("title").alias("words"))
+    return similar_pairs(groups, titles, "id", "words", 0.6).select(F.col("a").alias("group_row"), F.col("b").alias("doc_id"), F.bround("similarity", 4).alias("similarity"))
 
 
 def audit_shapes(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _digest(name: str, columns: list[str]) -> str:
 
 SQL = {
     "audit_similar_labels": f"with s as ({_sets('groups_clarify', 'row_id', 'label')}) select x.id as a, y.id as b, {_J} as similarity from s x join s y on x.id < y.id and abs(len(x.g) - len(y.g)) <= 24 where {_JL} >= 0.78 - 1e-12",
-    "audit_probe_leakage": f"with p as ({_sets('frozen_probes', 'id', 'query')}), c as ({_sets('agent_route_pairwise_v5', 'row_id', 'query')}) select x.id as probe, cast(y.id as varchar) as row_id, {_J} as similarity from p x, c y where {_JL} >= 0.33 - 1e-12",
+    "audit_title_overlap": f"with p as ({_sets('groups_clarify', 'row_id', 'label')}), c as ({_sets('documents', 'doc_id', 'title')}) select x.id as group_row, y.id as doc_id, {_J} as similarity from p x, c y where {_JL} >= 0.6 - 1e-12",
     "audit_shapes": f"with s as (select row_id as id, sha256(array_to_string(list_sort(regexp_extract_all({_NORMAL}, '(?s).')), '')) as h from handwritten_v0 where user_request is not null) select id, class, members from (select id, min(id) over (partition by h) as class, count(*) over (partition by h) as members from s) where members > 1",
     "audit_exact_duplicates": f"select k, count(*) as n, array_to_string(list_sort(list_distinct(list(split))), '|') as splits from (select split, sha256({_NORMAL}) as k from handwritten_v0 where user_request is not null and split is not null) group by 1 having count(distinct split) > 1",
     "audit_leaked_names": f"select name, count(*) as documents, min(doc_id) as first_doc from documents, (select unnest({FORBIDDEN}) as name) where contains(text, name) group by 1",
@@ -115,4 +115,4 @@ SQL = {
     "generate_doubled": "select row_id, unnest([query, '麻烦' || query]) as query from agent_route_pairwise_v5",
     "generate_labels": "select row_id, cast(length(user_request) + len(tags) as int) as n, array_to_string((list_transform(range(greatest(0, 3 - len(tags))), lambda x: '-100') || list_transform(tags, lambda t: cast(length(t) as varchar)))[-3:], ',') as tail, cast(length(user_request) as int) as masked from handwritten_v0 where user_request is not null and tags is not null and length(user_request) + len(tags) >= 3",
 }
-QUERIES = {f.__name__: f for f in (audit_similar_labels, audit_probe_leakage, audit_shapes, audit_exact_duplicates, audit_leaked_names, audit_review_closure, audit_manifest, generate_samples, generate_product, generate_doubled, generate_labels)}
+QUERIES = {f.__name__: f for f in (audit_similar_labels, audit_title_overlap, audit_shapes, audit_exact_duplicates, audit_leaked_names, audit_review_closure, audit_manifest, generate_samples, generate_product, generate_doubled, generate_labels)}

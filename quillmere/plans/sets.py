@@ -63,10 +63,10 @@ def x1_union_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def x2_except(spark: SparkSession, sf: str) -> DataFrame:
-    """Categories of template groups' tags that no request has, both ways."""
-    a = table(spark, sf, "groups_clarify").select(F.explode("tags").alias("tag")).distinct()
-    b = table(spark, sf, "handwritten_v0").select(F.explode("tags").alias("tag")).distinct()
-    return a.exceptAll(b).select("tag", F.lit("groups").alias("only_in")).unionAll(b.exceptAll(a).select("tag", F.lit("requests").alias("only_in")))
+    """Categories that only requests or only route cases have."""
+    a = table(spark, sf, "handwritten_v0").select("category").distinct()
+    b = table(spark, sf, "agent_route_pairwise_v5").select("category").distinct()
+    return a.exceptAll(b).select("category", F.lit("requests").alias("only_in")).unionAll(b.exceptAll(a).select("category", F.lit("routes").alias("only_in")))
 
 
 def x3_intersect(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +99,7 @@ SQL = {
     "j9_forbidden_tools": "select clarify_target.tool as tool, count(*) as n from handwritten_v0 where clarify_target is not null and list_has_any(available_tools, ['create_event', clarify_target.tool]) group by 1",
     "j10_contains_join": "with p as (select id as probe, unnest([id, query]) as needle from frozen_probes), t as (select 'case' as kind, query as text from agent_route_pairwise_v5 union all select 'document', text from documents), h as (select probe, kind, count(*) as n from t join p on contains(text, needle) group by 1, 2) select d.probe, coalesce(kind, 'none') as kind, coalesce(n, 0) as n from (select distinct probe from p) d left join h on d.probe = h.probe",
     "x1_union_all": "select 'requests' as part, count(*) as n, count(user_request) as texts, count(split) as splits from handwritten_v0 union all select 'routes', count(*), count(query), 0 from agent_route_pairwise_v5 union all select 'probes', count(*), count(query), 0 from frozen_probes",
-    "x2_except": "with a as (select distinct unnest(tags) as tag from groups_clarify), b as (select distinct unnest(tags) as tag from handwritten_v0) select tag, 'groups' as only_in from (select * from a except select * from b) union all select tag, 'requests' from (select * from b except select * from a)",
+    "x2_except": "select category, 'requests' as only_in from (select category from handwritten_v0 except select category from agent_route_pairwise_v5) union all select category, 'routes' from (select category from agent_route_pairwise_v5 except select category from handwritten_v0)",
     "x3_intersect": "select user_request from handwritten_v0 where split = 'train' and user_request is not null intersect select user_request from handwritten_v0 where split = 'test'",
     "x4_set_equality": "select list_sort(routes) = list_sort(calls) as same, correct, count(*) as n from route_rows group by 1, 2",
     "x5_repeated_ids": "select id, count(*) as n from agent_route_pairwise_v5 group by 1 having count(*) > 1",
