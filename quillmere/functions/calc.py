@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 #: The longest expression, and the largest operand and result.
 LONGEST, LARGEST = 80, Decimal("1e12")
-LEXEME = re.compile(r"\s*(?:(?P<number>[0-9]+(?:\.[0-9]+)?)|(?P<mark>[-+*/()%]))", re.ASCII)
+LEXEMES = re.compile(r"([0-9]+(?:\.[0-9]+)?)|([-+*/()%.])").findall
 ALLOWED = re.compile(r"[0-9+\-*/().%\s]*")
 BINDING = {"+": 1, "-": 1, "*": 2, "/": 2}
 
@@ -49,18 +49,13 @@ def calculate(text: str | None) -> tuple[str | None, str | None]:
         return None, "expression_unsupported_char"
     values: list[Decimal] = []
     marks: list[str] = []
-    operand_next, at, end = True, 0, len(text.rstrip())
+    operand_next = True
     try:
-        while at < end:
-            found = LEXEME.match(text, at)
-            if not found:
-                raise _Fault("expression_syntax")
-            at = found.end()
-            mark = found["mark"]
-            if mark is None:
+        for number, mark in LEXEMES(text):  # what is between them is white space
+            if number:
                 if not operand_next:
                     raise _Fault("expression_syntax")
-                value = Decimal(found["number"])
+                value = Decimal(number)
                 if value > LARGEST:
                     raise _Fault("value_out_of_range")
                 values.append(value)
