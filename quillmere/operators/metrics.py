@@ -25,12 +25,3 @@ def summary_sets(df: DataFrame, sets: Sequence[Sequence[str]], measures: Sequenc
     columns = list(dict.fromkeys(c for s in sets for c in s))
     grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
     return grouped.agg(F.grouping_id().alias("level"), *measures)
-
-
-def histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-
-
-def confusion(df: DataFrame, expected: str, actual: str) -> DataFrame:
-    """Counts of each pair of expected and actual value, with the share of the expected value's rows."""
-    return histogram(df, [expected], actual)
