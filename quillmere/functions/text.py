@@ -26,10 +26,18 @@ def normalize_words(c: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """Distinct pieces of two characters without white space; an empty array for shorter texts."""
-    s = strip_space(c)
-    n = F.length(s)
-    return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    """Distinct pieces of two characters without white space; an empty array for shorter texts.
+
+    The characters are split once and bound to a variable, so the time is linear in the length of the text.
+    """
+    none = F.array().cast("array<string>")
+    letters = F.regexp_extract_all(strip_space(c), F.lit("(?s)."), F.lit(0))
+
+    def pieces(x: Column) -> Column:
+        n = F.size(x)
+        return F.when(n > 1, F.zip_with(F.slice(x, F.lit(1), F.greatest(n - 1, F.lit(1))), F.slice(x, F.lit(2), F.greatest(n - 1, F.lit(1))), lambda p, q: F.concat(p, q))).otherwise(none)
+
+    return F.coalesce(F.array_distinct(F.transform(F.array(letters), pieces)[0]), none)
 
 
 def jaccard(a: Column, b: Column) -> Column:
