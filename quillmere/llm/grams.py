@@ -7,8 +7,8 @@ features speed that up:
   one of two sets flips one bit, so the Hamming distance of two sketches never exceeds the
   number of pieces in which the sets differ: too great a distance rules a pair out for certain.
 * ``fingerprints``: winnowed hashes of four adjacent characters.
-* ``rarest``: of each text the fingerprints that the corpus has least often, by a count-min
-  row of fixed width over all rows, so what every task gets to know of the corpus has one size.
+* ``Commonness``: how often the corpus has a feature, by a count-min row of fixed width over all
+  rows, so what every task gets to know of the corpus has one size.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def fingerprints(cps: np.ndarray, lens: np.ndarray, k: int = PIECE, window: int
             keep = after | np.concatenate([[True], ~after[:-1]])
             h = np.where(after, np.minimum(h, np.concatenate([h[1:], h[-1:]])), h)[keep]
             row = row[keep]
-    # neighbours often have the same smallest hash; what repeats further apart is left to ``rarest``
+    # neighbours often have the same smallest hash; what repeats further apart stays
     if len(h):
         new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
         row, h = row[new], h[new]
@@ -163,22 +163,6 @@ class Commonness:
         return cls(cls.scale(counts, rows[0]["texts"], rare).tobytes(), rows[0]["texts"], rare)
 
 
-def rarest(row: np.ndarray, h: np.ndarray, common: Commonness, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row the ``most`` least common fingerprints, ties by hash: row, fingerprint, class.  At most CHUNK rows."""
-    kind = common.of(h)
-    # a repeated fingerprint has the same class and hash, so its rows are neighbours after the sort
-    packed = row.astype(np.uint64) << np.uint64(50) | kind.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)
-    order = np.argsort(packed)
-    row, h, kind = row[order], h[order], kind[order]
-    if len(row):
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
-        row, h, kind = row[new], h[new], kind[new]
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-    keep = place < most
-    return row[keep], h[keep], kind[keep]
-
-
 def jaccard(a: list[str], b: list[str]) -> np.ndarray:
     """Similarity of the texts at the same place of both lists, exactly, by sets of two adjacent characters.
 

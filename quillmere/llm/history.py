@@ -1,11 +1,13 @@
-"""New batches against everything accepted before (problem 2): Bloom filters, then a store of fingerprints.
+"""New batches against everything accepted before (problem 2): Bloom filters, then a store of rare pieces.
 
-The history is a table of fingerprints on disk, bucketed by fingerprint, and a small Bloom filter for each
-bucket and batch.  A new batch is fingerprinted (the rarest winnowed fingerprints of each text), each bucket's
-filters say which fingerprints can be known at all, and only those are looked up; the store is read in its
-buckets and never shuffled or compared with itself.  Rows that share a fingerprint with an accepted text and
-whose sketches leave room for the wanted coverage are verified on the whole texts.  Then the batch's own
-fingerprints and filters are appended.  What is rare is counted once, over all of the first load.
+The history is a table of rare pieces on disk, bucketed by piece, and a small Bloom filter for each bucket and
+batch.  Of each text of a new batch the rarest pieces of two characters are taken, as many as the prefix filter
+needs to lose no pair (``rare_pieces``); each bucket's filters say which of them can be known at all, and only
+those are looked up; the store is read in its buckets and never shuffled or compared with itself.  A new text may
+be the smaller or the larger of a pair: of the smaller the index pieces count, of the larger the probe pieces.
+Rows that share such a piece with an accepted text and whose sketches leave room for the wanted coverage are
+verified on the whole texts.  Then the batch's own pieces and filters are appended.  What is rare is counted once,
+over all of the first load; a different order of pieces would cost comparisons, no pairs.
 
 Defined results: null, empty and blank texts neither match nor are stored; copies within one batch match the
 same earlier rows; rows without a batch number take no part; an empty history matches nothing; other columns
@@ -22,18 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.canon import canonical_dense
-from quillmere.llm.grams import Commonness, mix
-from quillmere.llm.neartext import SIMILARITY, fingerprint_rows, hashed_classes, representatives, verified
+from quillmere.llm.grams import Commonness, hashed_bigrams, mix
+from quillmere.llm.neartext import RARE_PIECE, SIMILARITY, hashed_classes, piece_rows, representatives, verified
 from quillmere.session import scratch, settle
 
 #: Buckets of the store, and so partitions of the Bloom filters.
 BUCKETS = 32
-#: Fingerprints of a text that are stored and looked up.
-KEYS = 10
-#: Bits and hash functions of a filter for each fingerprint in it.
+#: Bits and hash functions of a filter for each piece in it.
 BITS, HASHES = 12, 5
 
-ROWS = "key long, uid long, size int, s0 long, s1 long, known boolean, bits binary"
+ROWS = "key long, uid long, size int, s0 long, s1 long, first boolean, known boolean, bits binary"
 
 
 def bloom_bits(keys: np.ndarray) -> np.ndarray:
@@ -56,7 +56,7 @@ def bloom_has(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class History:
-    """Fingerprints and filters of all accepted batches."""
+    """Rare pieces and filters of all accepted batches."""
 
     def __init__(self, spark: SparkSession, common: Commonness, least: float = SIMILARITY):
         self.spark, self.common, self.least = spark, common, least
@@ -70,7 +70,7 @@ class History:
     def accept(self, batch: int, texts: DataFrame) -> DataFrame | None:
         """(uid, text) of a new batch -> its pairs (a, b), b accepted before, that may be nearly the same; then the batch is stored."""
         common, least = self.common, self.least
-        rows = fingerprint_rows(texts, common, KEYS)
+        rows = piece_rows(texts, common, least)
         part = F.pmod(F.hash("key"), F.lit(BUCKETS))  # the bucket in which a bucketed table has the key
         rows = rows.withColumn("part", part)
         if self.batches:
@@ -80,15 +80,15 @@ class History:
 
         def screen(_, rows: pa.Table, filters: pa.Table) -> pa.Table:
             if not rows.num_rows:
-                return pa.Table.from_pydict({n: pa.array([], t) for n, t in zip(("key", "uid", "size", "s0", "s1", "known", "bits"), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)})
+                return pa.Table.from_pydict({n: pa.array([], t) for n, t in zip(("key", "uid", "size", "s0", "s1", "first", "known", "bits"), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)})
             keys = rows.column("key").to_numpy().view(np.uint64)
             known = np.zeros(len(keys), bool)
             for bits in filters.column("bits"):
                 known |= bloom_has(np.frombuffer(bits.as_py(), np.uint8), keys)
             own = bloom_bits(np.unique(keys)).tobytes()
             n = len(keys)
-            one = pa.table({"key": rows.column("key").slice(0, 1), "uid": pa.array([None], pa.int64()), "size": pa.array([None], pa.int32()), "s0": pa.array([None], pa.int64()), "s1": pa.array([None], pa.int64()), "known": pa.array([False]), "bits": pa.array([own], pa.binary())})
-            return pa.concat_tables([pa.table({**{c: rows.column(c) for c in ("key", "uid", "size", "s0", "s1")}, "known": pa.array(known), "bits": pa.nulls(n, pa.binary())}), one])
+            one = pa.table({"key": rows.column("key").slice(0, 1), "uid": pa.array([None], pa.int64()), "size": pa.array([None], pa.int32()), "s0": pa.array([None], pa.int64()), "s1": pa.array([None], pa.int64()), "first": pa.array([None], pa.bool_()), "known": pa.array([False]), "bits": pa.array([own], pa.binary())})
+            return pa.concat_tables([pa.table({**{c: rows.column(c) for c in ("key", "uid", "size", "s0", "s1", "first")}, "known": pa.array(known), "bits": pa.nulls(n, pa.binary())}), one])
 
         screened = rows.groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(screen, ROWS).withColumn("batch", F.lit(batch))
         writer = screened.write.option("compression", "zstd").partitionBy("batch").bucketBy(BUCKETS, "key")
@@ -99,11 +99,12 @@ class History:
         earlier, self.batches = list(self.batches), [*self.batches, batch]
         if not earlier:
             return None
-        new = self._store().where((F.col("batch") == batch) & F.col("known")).select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "size", "s0", "s1"))).hint("shuffle_hash")
+        new = self._store().where((F.col("batch") == batch) & F.col("known")).select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "size", "s0", "s1", "first"))).hint("shuffle_hash")
         # rows that hold a filter have no sketch and so never lie near; a condition on them would read one more column
-        old = self._store().where(F.col("batch").isin(earlier)).select("key", "uid", "size", "s0", "s1")
+        old = self._store().where(F.col("batch").isin(earlier)).select("key", "uid", "size", "s0", "s1", "first")
         apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_a"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_a")))
-        near = new.join(old, "key").where(apart <= F.floor((1 - least) / (1 + least) * (F.col("size") + F.col("size_a")) + 1e-9))
+        fits = F.when(F.col("size_a") <= F.col("size"), F.col("first_a")).otherwise(F.col("first"))
+        near = new.join(old, "key").where(fits & (apart <= F.floor((1 - least) / (1 + least) * (F.col("size") + F.col("size_a")) + 1e-9)))
         return settle(near.select(F.col("uid_a").alias("a"), F.col("uid").alias("b")).distinct(), f"candidates_{batch}")
 
 
@@ -117,7 +118,7 @@ def already_accepted(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     if len(loads) < 2:
         return spark.createDataFrame([], "uid long, match long")
     chosen = settle(rows.select("uid", "text").join(reps.select(F.col("rep").alias("uid"), "batch"), "uid"), "incoming", ["batch"])
-    history = History(spark, Commonness.fit(chosen.where(F.col("batch") == loads[0]), "text"), least)
+    history = History(spark, Commonness.fit(chosen.where(F.col("batch") == loads[0]), "text", hashed_bigrams, RARE_PIECE), least)
     found = [history.accept(b, chosen.where(F.col("batch") == b)) for b in loads]
     pairs = found[1]
     for more in found[2:]:

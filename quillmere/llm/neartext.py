@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.session import settle
-from quillmere.llm.grams import CHUNK, M1, Commonness, bigrams, dense_points, fingerprints, jaccard, mix, parity_sketch, rarest
+from quillmere.llm.grams import CHUNK, M1, M2, Commonness, bigrams, dense_points, jaccard, mix, parity_sketch
 
 #: Two texts are nearly the same from this share of common pieces on.
 SIMILARITY = 0.70
@@ -84,21 +84,25 @@ def in_cells(at: np.ndarray, key: np.ndarray, first: np.ndarray, cells: np.ndarr
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(flags)
 
 
-def fingerprint_rows(texts: DataFrame, common: Commonness, keys: int) -> DataFrame:
-    """(uid, text) -> one row for each of the rarest winnowed fingerprints of each text, with size and sketch of its pieces."""
+def piece_rows(texts: DataFrame, common: Commonness, least: float) -> DataFrame:
+    """(uid, text) -> one row for each rare piece of each text that the prefix filter needs, with size and sketch of all its pieces.
+
+    A text of one character has no piece; the character takes its place, so that equal ones meet.
+    """
 
     def make(batches):
         for batch in batches:
             uid, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i in range(0, len(values), CHUNK):
-                cps, lens = dense_points(values[i : i + CHUNK])
-                row, code = bigrams(cps, lens)
-                size = np.bincount(row, minlength=len(lens))
-                sketch = parity_sketch(row, code, len(lens))
-                at, h, _ = rarest(*fingerprints(cps, lens), common, keys)
-                yield pa.RecordBatch.from_pydict({"key": h.view(np.int64), "uid": uid[at + i].astype(np.int64), "size": size[at].astype(np.int32), "s0": sketch[at, 0].view(np.int64), "s1": sketch[at, 1].view(np.int64)})
-
-    return texts.select("uid", "text").mapInArrow(make, "key long, uid long, size int, s0 long, s1 long")
+                some = values[i : i + CHUNK]
+                k = rare_pieces(some, common, least)
+                cps, lens = dense_points(some)
+                single = np.flatnonzero(lens == 1)
+                alone = mix(cps[(np.cumsum(lens) - lens)[single]].astype(np.uint64) + M2) >> np.uint64(20)
+                at, key, first = np.concatenate([k["row"], single]), np.concatenate([k["key"], alone]), np.concatenate([k["first"], np.ones(len(single), bool)])
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "uid": uid[at + i].astype(np.int64), "size": k["size"][at].astype(np.int32), "s0": k["sketch"][at, 0].view(np.int64), "s1": k["sketch"][at, 1].view(np.int64), "first": first})
+
+    return texts.select("uid", "text").mapInArrow(make, "key long, uid long, size int, s0 long, s1 long, first boolean")
 
 
 def _labels(spark: SparkSession, parts: int) -> list[int]:

@@ -156,6 +156,28 @@ def test_history_equals_brute_force(spark):
     assert already_accepted(rows.where("false")).count() == 0
 
 
+def test_history_finds_variants_of_one_hot_template(spark):
+    """Each text edits one template, which is in most rows, at four places of its own: all that two share is the template."""
+    rng = random.Random(23)
+    base = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
+    texts = []
+    for i in range(40):
+        body = list(base)
+        for at in rng.sample(range(5, 115), 4):
+            body[at] = chr(0x6000 + rng.randrange(9000))
+        # both directions of size: later texts are shorter or longer than earlier ones
+        texts.append("".join(body) + "".join(chr(0x6000 + rng.randrange(9000)) for _ in range(rng.randrange(12))))
+    made = [grams(t) for t in texts]
+    batch = [i * 4 // len(texts) for i in range(len(texts))]
+    want = {}
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if batch[i] < batch[j] and near(made[i], made[j]):
+            want[j] = min(want.get(j, 1 << 40), i)
+    assert len(want) > 20
+    rows = spark.createDataFrame([(i, batch[i], t) for i, t in enumerate(texts)], "uid long, batch int, text string")
+    assert {r["uid"]: r["match"] for r in already_accepted(rows).collect()} == want
+
+
 def test_bloom_filters_forget_nothing():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
     bits = bloom_bits(keys[:2500])
