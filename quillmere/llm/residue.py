@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices (problem 9): character n-gram models and likelihood-ratio windows.
 
-Natural prose is modelled by the n-grams of the whole corpus, counted in tables of fixed width by every task and
-added up; unfilled fields, filler, random letters and notices by material written for the purpose
+Natural prose is modelled by the n-grams of the whole corpus, counted in tables of fixed width by every task and added
+up: in how many different texts each is, so neither copies nor length give a text weight; unfilled fields, filler, random letters and notices by material written for the purpose
 (``residue_seeds``).  For every character the logarithm of the likelihood ratio of each kind against prose is
 averaged over a window; windows above a threshold localise residue.  A document is excluded if a sentence is
 residue of an unfilled template, or if filler and notices cover most of its body, where titles, navigation and
@@ -40,7 +40,7 @@ LETTER, SLOT = 0.2, 2.0
 TOLD, OTHER = 1.0, 0.3
 #: Additive smoothing of the counts.
 ALPHA = 0.02
-#: Longer pieces tell which wording is the corpus's own: those that occur once in so many documents are familiar, and a
+#: Longer pieces tell which wording is the corpus's own: those that so many different documents have are familiar, and a
 #: prose sentence has at least a share OWN of them.
 LONG, LONG_WIDTH, FAMILIAR, OWN = 6, 1 << 20, 0.0015, 0.45
 #: In a document without prose, a line of which less than this share of pieces of four characters is in so many documents
@@ -90,10 +90,42 @@ def grams(cps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the n-grams of texts, one row for each order, and of their pieces, one row for each length."""
-    cps, _ = simplified(["\n" + x + "\n" for x in texts])
+    """Counts of the n-grams of texts, one row for each order, and in how many texts each of their pieces is, one row for each length."""
+    cps, lens = simplified(["\n" + x + "\n" for x in texts])
     cells, long = grams(cps)
-    return np.stack([np.bincount(g, minlength=WIDTH) for g in cells]), np.stack([np.bincount(p, minlength=LONG_WIDTH) for p in long])
+    return np.stack([np.bincount(g, minlength=WIDTH) for g in cells]), np.stack([_holders(p, lens, LONG_WIDTH) for p in long])
+
+
+def held(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """In how many of some simplified texts each n-gram is, one row for each order, and each piece, one row for each length."""
+    cps, lens = code_points(["\n" + x + "\n" for x in forms])
+    cells, long = grams(cps)
+    return np.stack([_holders(g, lens, WIDTH) for g in cells]), np.stack([_holders(p, lens, LONG_WIDTH) for p in long])
+
+
+def _holders(cells: np.ndarray, lens: np.ndarray, width: int) -> np.ndarray:
+    """In how many texts each cell is: a text counts once, however often it has the cell, so no long text outweighs the others."""
+    packed = np.repeat(np.arange(len(lens), dtype=np.uint64), lens) * np.uint64(width) | cells.astype(np.uint64)
+    packed.sort()
+    if len(packed):
+        packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+    return np.bincount((packed & np.uint64(width - 1)).astype(np.int64), minlength=width)
+
+
+def distinct_forms(docs: DataFrame, text: str) -> DataFrame:
+    """(form): the simplified texts, each once, so a page with many copies weighs as one; found by hash, combined on the map side."""
+
+    def simplify(batches):
+        for batch in batches:
+            for part in _parts([x for x in batch.column(0).to_pylist() if x]):
+                cps, lens = simplified(part)
+                ends = np.cumsum(lens)
+                whole = cps.astype("<u4").tobytes().decode("utf-32-le")
+                yield pa.RecordBatch.from_pydict({"form": pa.array([whole[e - n : e] for e, n in zip(ends.tolist(), lens.tolist(), strict=True)], pa.string())})
+
+    forms = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(simplify, "form string")
+    keys = (F.xxhash64("form").alias("h1"), F.xxhash64(F.lit(7), "form").alias("h2"))
+    return forms.where("form <> ''").select(*keys, "form").groupBy("h1", "h2").agg(F.first("form").alias("form")).select("form")
 
 
 class ResidueModel:
@@ -117,7 +149,7 @@ class ResidueModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str) -> ResidueModel:
-        """Prose counts over all documents: one set of tables per task, slices of them added in a shuffle."""
+        """In how many different documents each n-gram and piece is: one set of tables per task, slices of them added in a shuffle."""
         step, long_step = WIDTH // SLICES, LONG_WIDTH // SLICES
 
         def packed(total: np.ndarray, long: np.ndarray) -> bytes:
@@ -130,8 +162,8 @@ class ResidueModel:
         def count(batches):
             total, long, seen = np.zeros((len(ORDERS), WIDTH), np.int64), np.zeros((2, LONG_WIDTH), np.int64), 0
             for batch in batches:
-                for part in _parts([x for x in batch.column(0).to_pylist() if x]):
-                    mine, my_long = counted(part)
+                for part in _parts(batch.column(0).to_pylist()):
+                    mine, my_long = held(part)
                     total += mine
                     long += my_long
                     seen += len(part)
@@ -150,7 +182,7 @@ class ResidueModel:
             yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "texts": pa.array([seen], pa.int64()), "counts": pa.array([packed(total, long)], pa.binary())})
 
         schema = "slice int, texts long, counts binary"
-        rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
+        rows = distinct_forms(docs, text).mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
         prose, long, texts = np.zeros((len(ORDERS), WIDTH), np.int64), np.zeros((2, LONG_WIDTH), np.int64), 0
         for r in rows.toLocalIterator():  # 16 rows, 23 MB in all, one at a time
             i, texts = r["slice"], r["texts"]

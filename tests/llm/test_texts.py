@@ -125,3 +125,15 @@ def test_unknown_notices_are_found(spark):
     texts = [*prose, "会议记录\n存储卷掉线，节点七无应答", "会议记录\n" + PROSE[0]]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in residue_documents(rows, "doc_id", "text").collect()} == {1500}
+
+
+def test_copies_and_length_make_nothing_familiar(spark):
+    """A notice that a third of all rows hold, whatever its number, and a filler text longer than all others together are found."""
+    rng = random.Random(6)
+    prose = ["会议记录\n" + "\n".join(rng.choice(PROSE) for _ in range(12)) for _ in range(1500)]
+    notice = ["存储卷掉线，节点七无应答。请联系机房" + f" {i % 5}" for i in range(750)]
+    filler = ["示例文字占位文字此处填写内容。" * 60_000, "示例文字占位文字此处填写内容。" * 2]
+    rows = spark.createDataFrame(list(enumerate(prose + notice + filler)), "doc_id long, text string")
+    assert {r["doc_id"] for r in residue_documents(rows, "doc_id", "text").collect()} == set(range(1500, 2252))
+    both, one = counted(["示例文字" * 9, "示例文字"])[1], counted(["示例文字" * 9])[1]
+    assert one.max() == 1 and both.max() == 2
