@@ -56,6 +56,17 @@ def f11_ungrounded_clocks(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("row_id", F.size(X.ungrounded_clocks(F.concat_ws(" ", "rationale", F.substring("user_request", 1, 40)), F.substring("user_request", 20, 400))).alias("ungrounded"))
 
 
+def f11_ungrounded_times(spark: SparkSession, sf: str) -> DataFrame:
+    """How many clock times of each rationale neither the request nor the context has, all of them read whole."""
+    return ungrounded_rationales(_cases(spark, sf, "rationale", "context"))
+
+
+def ungrounded_rationales(cases: DataFrame) -> DataFrame:
+    """(row_id, ungrounded): clock times of each rationale without ground; a missing request or context grounds nothing."""
+    source = F.concat_ws("|", REQUEST, F.to_json("context"))
+    return cases.where("rationale is not null").select("row_id", F.size(X.ungrounded_clocks(F.col("rationale"), source)).alias("ungrounded"))
+
+
 def f12_space_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _cases(spark, sf).select("row_id", X.space_edges(F.col(REQUEST)).alias("spaced"))
 
@@ -138,4 +149,4 @@ SQL = {
     "f27_feature_counts": "select row_id, cast(len(regexp_extract_all(user_request, '[0-9]{1,2}:[0-9]{2}')) as int) as clocks, regexp_matches(user_request, '(DD|FP|HT|SH)[0-9]{6}') as has_record_id from handwritten_v0 where user_request is not null",
     "f28_parse_decision": "select case when json_valid(expected_decision) then json_extract_string(expected_decision, '$.action') end as action, coalesce(json_valid(expected_decision), false) as parsed, count(*) as n from handwritten_v0 group by 1, 2",
 }
-QUERIES = {f.__name__: f for f in (f1_strip_space, f2_normalize_request, f3_normalize_words, f4_bigram_count, f6_shape_mask, f8_token_estimate, f9_hit_terms, f10_same_value, f11_ungrounded_clocks, f12_space_edges, f13_fill_template, f14_surface_forms, f15_resolve_time, f16_relative_date, f17_time_literals, f22_parse_time, f24_two_tasks, f27_feature_counts, f28_parse_decision)}
+QUERIES = {f.__name__: f for f in (f1_strip_space, f2_normalize_request, f3_normalize_words, f4_bigram_count, f6_shape_mask, f8_token_estimate, f9_hit_terms, f10_same_value, f11_ungrounded_clocks, f11_ungrounded_times, f12_space_edges, f13_fill_template, f14_surface_forms, f15_resolve_time, f16_relative_date, f17_time_literals, f22_parse_time, f24_two_tasks, f27_feature_counts, f28_parse_decision)}

@@ -108,3 +108,20 @@ def test_canonical_json():
     assert canonical_text('{"a":860}') != canonical_text('{"a":860.0}')
     assert canonical_text('{"expression":"1 + 2"}') == canonical_text('{"expression":"1+2"}')
     assert canonical_text("{") is None and canonical_text(None) is None
+
+
+def test_ungrounded_times_read_whole_texts(spark):
+    from quillmere.plans.texts import ungrounded_rationales
+
+    far = "长" * 500
+    cases = [
+        (1, "改到 09:30", "09:30 开会", "2026-06-15T16:47"),  # in the first characters of the request
+        (2, "改到 10:45", far + "10:45", "2026-06-15T16:47"),  # far behind in it
+        (3, "改到 16:47", "开会", "2026-06-15T16:47"),  # in the context
+        (4, far + "改到 11:15 或 12:20", "11:15 开会", "2026-06-15T16:47"),  # one without ground, far behind in the rationale
+        (5, "改到 11:15", None, None),
+        (6, None, "11:15", None),
+        (7, "不改", "11:15", None),
+    ]
+    rows = spark.createDataFrame([(i, r, q, None if n is None else (n,)) for i, r, q, n in cases], "row_id long, rationale string, user_request string, context struct<now string>")
+    assert {r["row_id"]: r["ungrounded"] for r in ungrounded_rationales(rows).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 7: 0}
