@@ -35,3 +35,19 @@ def review_closure(sampled: DataFrame, log: DataFrame) -> DataFrame:
     seen = log.groupBy("id").agg(F.max("checked").alias("checked"))
     state = F.when(F.col("_s").isNull(), "PHANTOM").when(F.col("checked").isNull(), "MISSING").when(~F.col("checked"), "UNCHECKED")
     return s.join(seen, "id", "full_outer").select("id", state.alias("code")).where("code is not null")
+
+
+def manifest_check(frozen: DataFrame, now: DataFrame) -> DataFrame:
+    """(name, code) of tables whose rows or digest (name, n, digest) are no longer those frozen, that are gone, or that were never frozen."""
+    f = frozen.select("name", F.struct("n", "digest").alias("_frozen"))
+    both = f.join(now.select("name", F.struct("n", "digest").alias("_now")), "name", "full_outer")
+    code = F.when(F.col("_now").isNull(), "FROZEN_MISSING").when(F.col("_frozen").isNull(), "NOT_FROZEN").when(~F.col("_frozen").eqNullSafe(F.col("_now")), "FROZEN_DRIFT")
+    return both.select("name", code.alias("code")).where("code is not null")
+
+
+def input_drift(stored: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(id, code) where a stored input (id, input) isn't what its sample renders to now, or only one side has the id."""
+    s = stored.select("id", F.struct("input").alias("_stored"))
+    both = s.join(rendered.select("id", F.struct("input").alias("_now")), "id", "full_outer")
+    code = F.when(F.col("_stored").isNull(), "INPUT_MISSING").when(F.col("_now").isNull(), "INPUT_ID_DRIFT").when(~F.col("_stored").eqNullSafe(F.col("_now")), "INPUT_DRIFT")
+    return both.select("id", code.alias("code")).where("code is not null")

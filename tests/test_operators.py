@@ -185,3 +185,31 @@ def test_labels(spark):
     assert ok == [-100, -100, 7]
     with pytest.raises(Exception, match="sequence too long"):
         spark.range(1).select(response_labels(F.array(F.lit(5), F.lit(6)), F.array(F.lit(7)), 2)).collect()
+
+
+def test_json_paths_and_differences_at_any_depth(spark):
+    from quillmere.operators.setops import json_differences, json_paths
+
+    a = '{"a": {"b": {"c": {"d": 1, "e": "x, \\"}{[ y"}}}, "k/~": [1, {"z": 2, "y": []}], "o": {}, "n": null, "only": {"left": true}}'
+    b = '{"n": null, "o": {"p": 1}, "k/~": [1, {"y": [], "z": 2}], "a": {"b": {"c": {"d": "1", "e": "x, \\"}{[ y"}}}}'
+    made = [(1, a), (2, "[1, {}]"), (3, "7"), (4, "{"), (5, None), (6, "{}")]
+    rows = spark.createDataFrame(made, "id int, doc string")
+    got = {r["id"]: {x["path"]: x["value"] for x in r["p"]} for r in rows.select("id", json_paths(rows["doc"]).alias("p")).collect()}
+    assert got[1] == {"/a/b/c/d": "1", "/a/b/c/e": '"x, \\"}{[ y"', "/k~1~0": '[1,{"y":[],"z":2}]', "/o": "{}", "/n": "null", "/only/left": "true"}
+    assert [got[i] for i in range(2, 7)] == [{"": "[1,{}]"}, {"": "7"}, {}, {}, {"": "{}"}]
+    long = '{"q": "' + 'w\\"' * 20_000 + '"}'
+    left = spark.createDataFrame([(1, a), (2, long), (3, '{"g": 1}')], "id int, doc string")
+    right = spark.createDataFrame([(1, b), (2, long)], "id int, doc string")
+    different = {r[:] for r in json_differences(left, right, ["id"], "doc").collect()}
+    assert different == {(1, "/a/b/c/d", "1", '"1"'), (1, "/o", "{}", None), (1, "/o/p", None, "1"), (1, "/only/left", "true", None), (3, "/g", "1", None)}
+
+
+def test_manifest_and_input_drift(spark):
+    from quillmere.operators.audit import input_drift, manifest_check
+
+    frozen = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z"), ("e", 4, "w")], "name string, n long, digest string")
+    now = spark.createDataFrame([("a", 1, "x"), ("b", 2, "q"), ("d", 3, "z"), ("e", 5, "w")], "name string, n long, digest string")
+    assert {r[:] for r in manifest_check(frozen, now).collect()} == {("b", "FROZEN_DRIFT"), ("c", "FROZEN_MISSING"), ("d", "NOT_FROZEN"), ("e", "FROZEN_DRIFT")}
+    stored = spark.createDataFrame([("1", "p"), ("2", "q"), ("3", None), ("4", "s")], "id string, input string")
+    rendered = spark.createDataFrame([("1", "p"), ("2", "r"), ("3", None), ("5", "t")], "id string, input string")
+    assert {r[:] for r in input_drift(stored, rendered).collect()} == {("2", "INPUT_DRIFT"), ("4", "INPUT_ID_DRIFT"), ("5", "INPUT_MISSING")}
