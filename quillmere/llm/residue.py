@@ -1,8 +1,8 @@
 """Template residue, filler, error pages and script notices (problem 9): character n-gram models and likelihood-ratio windows.
 
 Natural prose is modelled by the n-grams of the whole corpus, counted in tables of fixed width by every task and added
-up: in how many different texts each is, so neither copies nor length give a text weight; unfilled fields, filler, random letters and notices by material written for the purpose
-(``residue_seeds``).  For every character the logarithm of the likelihood ratio of each kind against prose is
+up: in how many different texts each is, so neither copies nor length give a text weight; unfilled fields, filler, random letters and notices by material much of which
+stands in the test tables (``residue_seeds``).  For every character the logarithm of the likelihood ratio of each kind against prose is
 averaged over a window; windows above a threshold localise residue.  A document is excluded if a sentence is
 residue of an unfilled template, or if filler and notices cover most of its body, where titles, navigation and
 other lines without a sentence are not body.  Prose must have wording that the corpus has often, and a document without
