@@ -99,96 +99,6 @@ def x6_group_differences(spark: SparkSession, sf: str) -> DataFrame:
     return json_differences(before, later.select("row_id", "expected_decision"), ["row_id"], "expected_decision")
 
 
-_ROUTES = {"consult_technical_expert": "technical", "search_realtime_information": "realtime", "query_service_station_and_navigate": "service", "manage_support_ticket": "ticket", "handle_general_conversation": "general"}
-
-
-def j1_id_set_equality(spark: SparkSession, sf: str) -> DataFrame:
-    """Case ids that only results or only cases and probes have."""
-    results = table(spark, sf, "route_rows").where("case_id is not null").select(F.col("case_id").alias("id"))
-    cases = table(spark, sf, "agent_route_pairwise_v5").select("id").unionAll(table(spark, sf, "frozen_probes").select("id")).where("id is not null")
-    return key_differences(results, cases, ["id"])
-
-
-def j2_resume_anti(spark: SparkSession, sf: str) -> DataFrame:
-    """Cases that version v3 hasn't answered yet."""
-    done = table(spark, sf, "route_rows").where("adapter_version = 'v3'").select(F.col("case_id").alias("id"))
-    return unseen(table(spark, sf, "agent_route_pairwise_v5"), done, ["id"]).select("row_id", "id")
-
-
-def j3_dimension_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Tools of decisions with their route, by a small map."""
-    routes = F.create_map(*(F.lit(x) for kv in TOOL_ROUTES.items() for x in kv))
-    tool = F.get_json_object("expected_decision", "$.tool")
-    return table(spark, sf, "handwritten_v0").select(tool.alias("tool"), F.coalesce(routes[tool], F.lit("none")).alias("route")).groupBy("tool", "route").agg(F.count(F.lit(1)).alias("n"))
-
-
-def j8_positional_zip(spark: SparkSession, sf: str) -> DataFrame:
-    """Phrasings and questions of a group side by side, as far as the shorter list goes."""
-    pairs = F.posexplode(F.slice(F.arrays_zip("phrasings", "questions"), F.lit(1), F.least(F.size("phrasings"), F.size("questions"))))
-    return table(spark, sf, "groups_clarify").select("row_id", pairs.alias("place", "z")).select("row_id", "place", F.col("z.phrasings").alias("phrasing"), F.col("z.questions").alias("question"))
-
-
-def j9_forbidden_tools(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that offer a tool which writes or one that their own clarify target names."""
-    rows = table(spark, sf, "handwritten_v0")
-    hit = F.arrays_overlap("available_tools", F.array(F.lit("create_event"), F.col("clarify_target.tool")))
-    return rows.where(hit & F.col("clarify_target").isNotNull()).groupBy("clarify_target.tool").agg(F.count(F.lit(1)).alias("n"))
-
-
-def j10_contains_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Probes whose id or query stands inside a request, document or case: none should."""
-    probes = table(spark, sf, "frozen_probes").select(F.col("id").alias("probe"), F.explode(F.array("id", "query")).alias("needle"))  # 40 rows at every scale
-    texts = table(spark, sf, "agent_route_pairwise_v5").select(F.lit("case").alias("kind"), F.col("query").alias("text")).unionAll(table(spark, sf, "documents").select(F.lit("document").alias("kind"), "text"))
-    hits = texts.join(F.broadcast(probes), F.contains("text", "needle")).groupBy("probe", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return probes.select("probe").distinct().join(hits, "probe", "left").select("probe", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def x1_union_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests, route cases and probes under one schema, missing columns null."""
-    a = table(spark, sf, "handwritten_v0").select(F.lit("requests").alias("part"), F.col("id"), F.col("user_request").alias("text"), "split")
-    b = table(spark, sf, "agent_route_pairwise_v5").select(F.lit("routes").alias("part"), "id", F.col("query").alias("text"))
-    c = table(spark, sf, "frozen_probes").select(F.lit("probes").alias("part"), "id", F.col("query").alias("text"))
-    all_rows = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
-    return all_rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("texts"), F.count("split").alias("splits"))
-
-
-def x2_except(spark: SparkSession, sf: str) -> DataFrame:
-    """Categories that only requests or only route cases have."""
-    a = table(spark, sf, "handwritten_v0").select("category").distinct()
-    b = table(spark, sf, "agent_route_pairwise_v5").select("category").distinct()
-    return a.exceptAll(b).select("category", F.lit("requests").alias("only_in")).unionAll(b.exceptAll(a).select("category", F.lit("routes").alias("only_in")))
-
-
-def x3_intersect(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests that stand in train and in test as the same string."""
-    rows = table(spark, sf, "handwritten_v0").where("user_request is not null")
-    return rows.where("split = 'train'").select("user_request").intersect(rows.where("split = 'test'").select("user_request"))
-
-
-def x4_set_equality(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "route_rows")
-    return rows.groupBy(same_members(F.col("routes"), F.col("calls")).alias("same"), "correct").agg(F.count(F.lit(1)).alias("n"))
-
-
-def x5_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated(table(spark, sf, "agent_route_pairwise_v5"), ["id"])
-
-
-def x6_decision_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaves of decisions at any depth: how often each path occurs and how many values it has."""
-    leaves = table(spark, sf, "handwritten_v0").select(F.explode(json_paths(F.col("expected_decision"))).alias("leaf"))
-    return leaves.groupBy(F.regexp_replace("leaf.path", "^/", "").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("leaf.value").alias("values"))
-
-
-def x6_delivery_differences(spark: SparkSession, sf: str) -> DataFrame:
-    """Where the decision of a case delivered again differs from the case's first delivery, path by path."""
-    rows = table(spark, sf, "handwritten_v0").where("id is not null").select("id", "row_id", "expected_decision")
-    first = rows.groupBy("id").agg(F.min("row_id").alias("first_row"), F.min_by("expected_decision", "row_id").alias("first_decision"))
-    again = rows.join(first, "id").where("row_id > first_row")
-    before = again.select("id", "row_id", F.col("first_decision").alias("expected_decision"))
-    return json_differences(before, again, ["id", "row_id"], "expected_decision")
-
-
 _ROUTES = " ".join(f"when '{k}' then '{v}'" for k, v in TOOL_ROUTES.items())
 SQL = {
     "j1_id_set_equality": "with r as (select distinct case_id as id from route_rows where case_id is not null), c as (select distinct id from (select id from agent_route_pairwise_v5 union all select id from frozen_probes) where id is not null) select coalesce(r.id, c.id) as id, case when c.id is null then 'left' else 'right' end as only_in from r full outer join c on r.id = c.id where r.id is null or c.id is null",
