@@ -1,15 +1,20 @@
 """Template residue, filler, error pages and script notices (problem 9): character n-gram models and likelihood-ratio windows.
 
-Natural prose is modelled by the n-grams of the whole corpus, counted in tables of fixed width by every task and added
-up: in how many different texts each is, so neither copies nor length give a text weight; unfilled fields, filler, random letters and notices by material much of which
-stands in the test tables (``residue_seeds``).  For every character the logarithm of the likelihood ratio of each kind against prose is
-averaged over a window; windows above a threshold localise residue.  A document is excluded if a sentence is
-residue of an unfilled template, or if filler and notices cover most of its body, where titles, navigation and
+Natural prose is modelled by the n-grams of the whole corpus, counted in tables by every task and added up: in how many
+different texts each is, where a text weighs by its length up to PAGE characters, so neither copies nor length give a text
+weight, and the wording of short pages doesn't become prose.  Unfilled fields, filler, random letters and notices are
+modelled on material made by rule (``residue_seeds``), no line of which comes from a table.  For every character the
+logarithm of the likelihood ratio of each kind against prose is averaged over a window; windows above a threshold localise
+residue.  Unfilled fields are looked for once more in the shape of the text, where every run of letters, of ideographs or
+of digits is one sign, so that a field counts whatever its name.  A document is excluded if a sentence that hasn't the
+corpus's own wording has an unfilled field, or if filler and notices cover most of its body, where titles, navigation and
 other lines without a sentence are not body.  Prose must have wording that the corpus has often, and a document without
 any prose is excluded for one line that reads like a notice, so messages that no material shows are found as well.
 
 Defined results: null, empty and blank texts are no case; code blocks are the document's own content; long texts
-are scored whole; copies are scored alike; an empty table gives no rows; other columns aren't read.
+are scored whole; copies are scored alike; an empty table gives no rows; other columns aren't read.  Wording is told from
+pieces that FAMILIAR of all texts have, so in a corpus of under some 700 texts a text's own weight makes its pieces familiar, and
+only the material and, for fields, wording that several texts share count.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from quillmere.llm.residue_seeds import material
 ORDERS = (2, 3, 4)  # each made of the one before and the next character
 WIDTH = 1 << 18
 KINDS = ("field", "slot", "filler", "noise", "notice")
+#: Lengths of the n-grams of shapes and width of their tables; shapes have few signs.
+SHAPES, SHAPE_WIDTH = (3, 4, 5), 1 << 16
 #: Characters in a window, and the mean log-likelihood ratio from which a window is residue.
 WINDOW = 8
 LEAST = 0.6
@@ -38,14 +45,22 @@ SENTENCE, BODY = 0.6, 0.5
 LETTER, SLOT = 0.2, 2.0
 #: A sentence that talks about a template has more than a share OTHER of windows that are prose by a ratio of TOLD.
 TOLD, OTHER = 1.0, 0.3
-#: Additive smoothing of the counts.
-ALPHA = 0.02
-#: Longer pieces tell which wording is the corpus's own: those that so many different documents have are familiar, and a
+#: Ratio from which a place has the shape of an unfilled field, and the share of the corpus's own wording from which a sentence tells of it.
+SIGN, TELLS = 2.5, 0.6
+#: Additive smoothing of the counts, for material, prose and shapes; and the bounds of a ratio.  The material is a small sample,
+#: so that it lacks an n-gram counts less than that it has it.
+ALPHA, BETA, GAMMA = 0.02, 0.4, 0.5
+LOW, HIGH = -3, 6
+#: A text weighs as many parts of PARTS as it has characters of PAGE, at most all.
+PAGE, PARTS = 2000, 64
+#: Longer pieces tell which wording is the corpus's own: those that texts of such a share of all weight have are familiar, and a
 #: prose sentence has at least a share OWN of them.
-LONG, LONG_WIDTH, FAMILIAR, OWN = 6, 1 << 20, 0.0015, 0.45
+LONG, FAMILIAR, OWN = 6, 0.0015, 0.45
 #: In a document without prose, a line of which less than this share of pieces of four characters is in so many documents
 #: is no title or navigation of this corpus either.
 SHORT, KNOWN, STRANGE = 4, 0.003, 0.35
+#: Cells of the piece tables for each piece that may be familiar: these are at most the mean length of a text / FAMILIAR.
+ROOM = 2
 SLICES = 16
 #: Characters scored at once.
 CHARS = 1_000_000
@@ -78,7 +93,7 @@ def simplified(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(body, np.uint32(48), cps)[keep], np.bincount(doc[keep], minlength=len(lens)).astype(np.int64)
 
 
-def grams(cps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def grams(cps: np.ndarray, widths: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each character the table cells of the n-grams that end there, by order, and of the pieces of LONG and SHORT characters; one mix for each."""
     wide = cps.astype(np.uint64) + np.uint64(1)
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -86,30 +101,71 @@ def grams(cps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     for _ in ORDERS:
         made.append(mix(_after(made[-1], 1) * step + wide))
     long = mix(_after(made[3], 2) * step + made[1])  # four characters and the two after them
-    return [(h & np.uint64(WIDTH - 1)).astype(np.int32) for h in made[1:]], [(h & np.uint64(LONG_WIDTH - 1)).astype(np.int32) for h in (long, made[SHORT - 1])]
+    return [(h & np.uint64(WIDTH - 1)).astype(np.int32) for h in made[1:]], [(h & np.uint64(w - 1)).astype(np.int32) for h, w in zip((long, made[SHORT - 1]), widths, strict=True)]
 
 
-def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the n-grams of texts, one row for each order, and in how many texts each of their pieces is, one row for each length."""
-    cps, lens = simplified(["\n" + x + "\n" for x in texts])
-    cells, long = grams(cps)
-    return np.stack([np.bincount(g, minlength=WIDTH) for g in cells]), np.stack([_holders(p, lens, LONG_WIDTH) for p in long])
+def shapes(cps: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signs of simplified texts, their number in each text and where each begins: runs of Latin letters, of ideographs,
+    of underscores and of two or more x are one sign each."""
+    doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    before = _after(cps, 1) == cps
+    beside = before | np.concatenate([before[1:], [False]]) if len(cps) else before
+    out = np.where((cps >= 97) & (cps <= 122) | (cps >= 0xC0) & (cps < 0x250), np.uint32(97), cps)
+    out = np.where((cps >= 0x3400) & (cps < 0xA000), np.uint32(0x4E00), out)
+    out = np.where(((cps == 120) | (cps == 0xD7)) & beside, np.uint32(120), out)
+    run = (out == 97) | (out == 0x4E00) | (out == 120) | (out == 95)
+    keep = ~(run & (out == _after(out, 1)) & (doc == _after(doc, 1)))
+    return out[keep], np.bincount(doc[keep], minlength=len(lens)).astype(np.int64), np.flatnonzero(keep)
+
+
+def shape_grams(signs: np.ndarray) -> list[np.ndarray]:
+    """For each sign the table cells of the n-grams of shapes that end there."""
+    wide = signs.astype(np.uint64) + np.uint64(1)
+    made = [mix(wide)]
+    for _ in range(SHAPES[-1] - 1):
+        made.append(mix(_after(made[-1], 1) * np.uint64(0x9E3779B97F4A7C15) + wide))
+    return [(made[k - 1] & np.uint64(SHAPE_WIDTH - 1)).astype(np.int32) for k in SHAPES]
+
+
+def apart(texts: list[str]) -> list[str]:
+    """Texts with so many line breaks before each that no n-gram reaches into the text before, whatever stands there."""
+    return ["\n" * max(*ORDERS, *SHAPES, LONG) + x + "\n" for x in texts]
+
+
+def counted(texts: list[str]) -> np.ndarray:
+    """Counts of the n-grams of lines of material, one row for each order."""
+    cps, _ = simplified(apart(texts))
+    return np.stack([np.bincount(g, minlength=WIDTH) for g in grams(cps, (2, 2))[0]])
+
+
+def counted_shapes(texts: list[str]) -> np.ndarray:
+    """In how many lines of material each n-gram of shapes is, one row for each order."""
+    signs, lens, _ = shapes(*simplified(apart(texts)))
+    return np.stack([_holders(g, lens, np.ones(len(lens), np.int64), SHAPE_WIDTH) for g in shape_grams(signs)])
 
 
-def held(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """In how many of some simplified texts each n-gram is, one row for each order, and each piece, one row for each length."""
-    cps, lens = code_points(["\n" + x + "\n" for x in forms])
-    cells, long = grams(cps)
-    return np.stack([_holders(g, lens, WIDTH) for g in cells]), np.stack([_holders(p, lens, LONG_WIDTH) for p in long])
+def weights(lens: np.ndarray) -> np.ndarray:
+    """What each text counts, by its length: from 1 to PARTS."""
+    return np.minimum(PARTS, -(-lens * PARTS // PAGE)).astype(np.int64)
 
 
-def _holders(cells: np.ndarray, lens: np.ndarray, width: int) -> np.ndarray:
-    """In how many texts each cell is: a text counts once, however often it has the cell, so no long text outweighs the others."""
+def held(forms: list[str], widths: tuple[int, int]) -> tuple[list[np.ndarray], int]:
+    """Weight of the simplified texts that have each n-gram, one table for each order, each n-gram of shapes, and each piece, one table for each length; and of all."""
+    cps, lens = code_points(apart(forms))
+    w = weights(lens)
+    cells, long = grams(cps, widths)
+    signs, short, _ = shapes(cps, lens)
+    made = [_holders(g, lens, w, WIDTH) for g in cells] + [_holders(g, short, w, SHAPE_WIDTH) for g in shape_grams(signs)]
+    return made + [_holders(p, lens, w, width) for p, width in zip(long, widths, strict=True)], int(w.sum())
+
+
+def _holders(cells: np.ndarray, lens: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+    """Weight of the texts that have each cell: a text counts once, however often it has the cell, so no long text outweighs the others."""
     packed = np.repeat(np.arange(len(lens), dtype=np.uint64), lens) * np.uint64(width) | cells.astype(np.uint64)
     packed.sort()
     if len(packed):
         packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-    return np.bincount((packed & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.bincount((packed & np.uint64(width - 1)).astype(np.int64), weights=weight[(packed // np.uint64(width)).astype(np.int64)], minlength=width).astype(np.int64)
 
 
 def distinct_forms(docs: DataFrame, text: str) -> DataFrame:
@@ -128,76 +184,98 @@ def distinct_forms(docs: DataFrame, text: str) -> DataFrame:
     return forms.where("form <> ''").select(*keys, "form").groupBy("h1", "h2").agg(F.first("form").alias("form")).select("form")
 
 
+def often(counts: np.ndarray, least: float) -> np.ndarray:
+    """Which cells of a piece table hold a weight of ``least`` or more beyond what falls into every cell by chance."""
+    usual = counts[counts < least]
+    return counts >= least + (usual.mean() if len(usual) else 0.0)
+
+
 class ResidueModel:
-    """Log-likelihood ratios of each kind against prose, and which pieces are familiar; 17 tables of one fixed size."""
-
-    def __init__(self, prose: np.ndarray, long: np.ndarray, texts: int):
-        self.ratio: dict[str, np.ndarray] = {}
-        self.familiar, self.known = long[0] >= max(1.0, FAMILIAR * texts), long[1] >= max(1.0, KNOWN * texts)
-        counts = {kind: counted(lines)[0] for kind, lines in material().items()}
-        filled = counts.pop("filled")
-        share = {kind: (c + ALPHA) / (c.sum(1, keepdims=True) + ALPHA * WIDTH) for kind, c in counts.items()}
-        common = (prose + ALPHA * 20) / (prose.sum(1, keepdims=True) + ALPHA * 20 * WIDTH)
-        for kind, s in share.items():
-            self.ratio[kind] = np.clip(np.log(s / common), -6, 6)
+    """Log-likelihood ratios of each kind against prose, and which pieces are familiar.
+
+    Tables of one fixed size (some 20 MB), and three of marks whose width follows the mean length of the texts, not their number.
+    """
+
+    def __init__(self, prose: np.ndarray, shape: np.ndarray, familiar: np.ndarray, shared: np.ndarray, known: np.ndarray, lines: dict[str, list[str]] | None = None):
+        self.familiar, self.shared, self.known = familiar, shared, known
+        lines = lines or material()
+        share = {}
+        for kind in ("field", "filled", "filler", "noise", "notice"):
+            c = counted(lines[kind])
+            share[kind] = (c + ALPHA) / (c.sum(1, keepdims=True) + ALPHA * WIDTH)
+        filled = share.pop("filled")
+        common = (prose + BETA) / (prose.sum(1, keepdims=True) + BETA * WIDTH)
+        ratio = {kind: np.clip(np.log(s / common), LOW, HIGH) for kind, s in share.items()}
         # what only an unfilled letter has: against letters of the same wording that are filled, and against prose
-        letters = (filled + ALPHA) / (filled.sum(1, keepdims=True) + ALPHA * WIDTH)
-        self.ratio["slot"] = np.clip(np.log(share["field"] / np.maximum(letters, common)), -6, 6)
+        ratio["slot"] = np.clip(np.log(share["field"] / np.maximum(filled, common)), -HIGH, HIGH)
         # the kinds of one cell lie side by side, so a character takes one lookup for each order
-        self.table = [np.ascontiguousarray(np.stack([self.ratio[k][i] for k in KINDS], axis=1) / len(ORDERS), dtype=np.float32) for i in range(len(ORDERS))]
-        del self.ratio
+        self.table = [np.ascontiguousarray(np.stack([ratio[k][i] for k in KINDS], axis=1) / len(ORDERS), dtype=np.float32) for i in range(len(ORDERS))]
+        signs, plain, usual = ((c + GAMMA) / (c.sum(1, keepdims=True) + GAMMA * 2000) for c in (counted_shapes(lines["signs"]), counted_shapes(lines["filled"]), shape))
+        self.sign = (np.clip(np.log(signs / np.maximum(plain, usual)), -HIGH, HIGH) / len(SHAPES)).astype(np.float32)
+
+    @staticmethod
+    def widths(mean: float) -> tuple[int, int]:
+        """Cells of the two piece tables for texts of so many characters in the mean: powers of two up to 2^26."""
+        return tuple(1 << int(np.clip(np.ceil(np.log2(max(1.0, ROOM * mean / least))), 18, 26)) for least in (FAMILIAR, KNOWN))
 
     @classmethod
-    def fit(cls, docs: DataFrame, text: str) -> ResidueModel:
+    def fit(cls, docs: DataFrame, text: str, lines: dict[str, list[str]] | None = None) -> ResidueModel:
         """In how many different documents each n-gram and piece is: one set of tables per task, slices of them added in a shuffle."""
-        step, long_step = WIDTH // SLICES, LONG_WIDTH // SLICES
-
-        def packed(total: np.ndarray, long: np.ndarray) -> bytes:
-            return total.astype("<i8").tobytes() + long.astype("<i8").tobytes()
-
-        def opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-            flat = np.frombuffer(data, "<i8")
-            return flat[: len(ORDERS) * step].reshape(len(ORDERS), step), flat[len(ORDERS) * step :].reshape(2, long_step)
+        mean = docs.select(F.avg(F.length(F.col(text).cast("string"))).alias("m")).where("m is not null").collect()  # one row
+        widths = cls.widths(mean[0]["m"] if mean else 0.0)
+        sizes = [WIDTH] * len(ORDERS) + [SHAPE_WIDTH] * len(SHAPES) + list(widths)
+        steps = [w // SLICES for w in sizes]
+        marks = np.cumsum([0, *steps])
+        marked = ("familiar", "shared", "known")
 
         def count(batches):
-            total, long, seen = np.zeros((len(ORDERS), WIDTH), np.int64), np.zeros((2, LONG_WIDTH), np.int64), 0
+            total, seen = [np.zeros(w, np.int64) for w in sizes], 0
             for batch in batches:
                 for part in _parts(batch.column(0).to_pylist()):
-                    mine, my_long = held(part)
-                    total += mine
-                    long += my_long
-                    seen += len(part)
+                    mine, weight = held(part, widths)
+                    for t, m in zip(total, mine, strict=True):
+                        t += m
+                    seen += weight
             if seen:
-                slices = [packed(total[:, i * step : (i + 1) * step], long[:, i * long_step : (i + 1) * long_step]) for i in range(SLICES)]
-                yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "texts": pa.array([seen] * SLICES, pa.int64()), "counts": pa.array(slices, pa.binary())})
+                for i in range(SLICES):
+                    flat = np.concatenate([t[i * k : (i + 1) * k] for t, k in zip(total, steps, strict=True)])
+                    at = np.flatnonzero(flat)
+                    data = at.astype("<u4").tobytes() + flat[at].astype("<i8").tobytes()
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "weight": pa.array([seen], pa.int64()), "counts": pa.array([data], pa.binary())})
 
         def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, long, seen = np.zeros((len(ORDERS), step), np.int64), np.zeros((2, long_step), np.int64), 0
+            total, seen = np.zeros(marks[-1], np.int64), 0
             for batch in batches:
-                for c, n in zip(batch.column("counts"), batch.column("texts"), strict=True):
-                    mine, my_long = opened(c.as_py())
-                    total += mine
-                    long += my_long
-                    seen += n.as_py()
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "texts": pa.array([seen], pa.int64()), "counts": pa.array([packed(total, long)], pa.binary())})
-
-        schema = "slice int, texts long, counts binary"
-        rows = distinct_forms(docs, text).mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
-        prose, long, texts = np.zeros((len(ORDERS), WIDTH), np.int64), np.zeros((2, LONG_WIDTH), np.int64), 0
-        for r in rows.toLocalIterator():  # 16 rows, 23 MB in all, one at a time
-            i, texts = r["slice"], r["texts"]
-            prose[:, i * step : (i + 1) * step], long[:, i * long_step : (i + 1) * long_step] = opened(bytes(r["counts"]))
-        return cls(prose, long, texts)
+                for c, w in zip(batch.column("counts"), batch.column("weight"), strict=True):
+                    data = c.as_py()
+                    n = len(data) // 12
+                    total[np.frombuffer(data, "<u4", n)] += np.frombuffer(data, "<i8", n, 4 * n)
+                    seen += w.as_py()
+            fixed = total[: marks[-3]].astype("<i8").tobytes()
+            bits = [np.packbits(often(total[marks[i] : marks[i + 1]], least)).tobytes() for i, least in ((-3, FAMILIAR * seen), (-3, max(FAMILIAR * seen, PARTS + 1)), (-2, KNOWN * seen))]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([fixed], pa.binary()), **{name: pa.array([b], pa.binary()) for name, b in zip(marked, bits, strict=True)}})
+
+        rows = distinct_forms(docs, text).mapInArrow(count, "slice int, weight long, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary, familiar binary, shared binary, known binary")
+        total = [np.zeros(w, np.int64) for w in sizes[:-2]]
+        pieces = [np.zeros(w, bool) for w in (widths[0], *widths)]
+        for r in rows.toLocalIterator():  # 16 rows, some 8 MB in all, one at a time
+            i = r["slice"]
+            flat = np.frombuffer(bytes(r["counts"]), "<i8")
+            for t, k, at in zip(total, steps, marks, strict=False):
+                t[i * k : (i + 1) * k] = flat[at : at + k]
+            for b, k, name in zip(pieces, (steps[-2], *steps[-2:]), marked, strict=True):
+                b[i * k : (i + 1) * k] = np.unpackbits(np.frombuffer(bytes(r[name]), np.uint8), count=k).astype(bool)
+        return cls(np.stack(total[: len(ORDERS)]), np.stack(total[len(ORDERS) :]), *pieces, lines)
 
     def judge(self, texts: list[str]) -> dict[str, np.ndarray]:
         """Of each text: sentences that are template residue, characters of filler and notices, characters of prose sentences,
         and lines that read more like filler or a notice than like the corpus, or unlike its titles and navigation."""
         n = len(texts)
-        cps, lens = simplified(texts)
+        cps, lens = simplified(apart(texts))
         doc = np.repeat(np.arange(n), lens)
         if not len(cps):
             return {k: np.zeros(n, np.int64) for k in ("field", "waste", "prose", "odd")}
-        cells, long = grams(cps)
+        cells, long = grams(cps, (len(self.familiar), len(self.known)))
         first = np.concatenate([[True], doc[1:] != doc[:-1]])
         # sentences end at line breaks, at full stops of either script, and at marks of question or exclamation
         ends = np.isin(cps, np.array([ord(c) for c in "\n\r。!?…"], np.uint32))
@@ -238,6 +316,7 @@ class ResidueModel:
         inside = np.arange(len(cps)) - start[seg] >= LONG - 1
         own = np.add.reduceat((inside & self.familiar[long[0]]).astype(np.int64), start)
         own_share = own / np.maximum(1, size - LONG + 1)
+        shared_share = np.add.reduceat((inside & self.shared[long[0]]).astype(np.int64), start) / np.maximum(1, size - LONG + 1)
         within = np.arange(len(cps)) - start[seg] >= SHORT - 1
         known_share = np.add.reduceat((within & self.known[long[1]]).astype(np.int64), start) / np.maximum(1, size - SHORT + 1)
         mean = np.add.reduceat(np.where(free, best, 0.0), start) / np.maximum(1, solid)
@@ -246,7 +325,14 @@ class ResidueModel:
         is_waste = (waste >= SENTENCE * solid) & (solid > 0)
         slot = np.maximum.reduceat(np.where(free, score["slot"], -9), start)
         told = np.add.reduceat(((score["field"] < -TOLD) & free).astype(np.int64), start)
-        is_field = (field >= LETTER * solid) & (told <= OTHER * solid) & (slot > SLOT) & (solid >= 4) & ~in_code
+        # the same in the shape of the text
+        signs, _, where = shapes(cps, lens)
+        from_sign = np.searchsorted(where, start)
+        whole = np.arange(len(signs)) - from_sign[seg[where]] >= 1
+        likely = sum(self.sign[i][g] for i, g in enumerate(shape_grams(signs)))
+        sign = np.maximum.reduceat(np.where(whole & free[where], likely, -HIGH), np.minimum(from_sign, max(0, len(signs) - 1)))
+        is_field = ((field >= LETTER * solid) & (told <= OTHER * solid) & (slot > SLOT)) | ((sign > SIGN) & (shared_share < TELLS))
+        is_field &= (solid >= 4) & ~in_code
         is_prose = ~is_waste & ~is_field & ((stop & (solid >= LONG) & (own_share >= OWN)) | (in_code & (solid > 0)))
         of = doc[start]
         return {
@@ -270,10 +356,10 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def residue_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+def residue_documents(docs: DataFrame, key: str, text: str, lines: dict[str, list[str]] | None = None) -> DataFrame:
     """(key, field sentences, waste and prose characters) of the documents that are residue."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(ResidueModel.fit(docs, text))  # 18 MB whatever the corpus
+    model = spark.sparkContext.broadcast(ResidueModel.fit(docs, text, lines))  # some 20 MB, whatever the number of texts
     kind = docs.schema[key].dataType.simpleString()
 
     def judge(batches):
