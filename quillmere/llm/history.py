@@ -1,13 +1,18 @@
-"""New batches against everything accepted before (problem 2): Bloom filters, then a store of rare pieces.
+"""New batches against everything accepted before (problem 2): Bloom filters, then a persistent store of rare pieces.
 
-The history is a table of rare pieces on disk, bucketed by piece, and a small Bloom filter for each bucket and
-batch.  Of each text of a new batch the rarest pieces of two characters are taken, as many as the prefix filter
-needs to lose no pair (``rare_pieces``); each bucket's filters say which of them can be known at all, and only
-those are looked up; the store is read in its buckets and never shuffled or compared with itself.  A new text may
-be the smaller or the larger of a pair: of the smaller the index pieces count, of the larger the probe pieces.
-Rows that share such a piece with an accepted text and whose sketches leave room for the wanted coverage are
-verified on the whole texts.  Then the batch's own pieces and filters are appended.  What is rare is counted once,
-over all of the first load; a different order of pieces would cost comparisons, no pairs.
+The history is a table of blocks in the shared folder: for each batch and each part of the keys one row with the rarest
+pieces of the batch's texts, as many as the prefix filter needs to lose no pair (``rare_pieces``), sorted by key and set
+size, with a Bloom filter of the keys beside them.  The table is bucketed by part, so it is read in its buckets and never
+shuffled or compared with itself.  A new batch is cut into blocks; the filters, which alone are read for that, say which
+parts of which batches can know one of its keys; only those are read, and in each part the new texts are compared with
+the old ones of the same key, by exclusive-or and bit counts of sketches, tile by tile, within the range of sizes that
+leaves room for the wanted coverage.  A new text may be the smaller or the larger of a pair: of the smaller the index
+pieces count, of the larger the probe pieces.  Pairs that pass are verified on the whole texts.  The batch's blocks and
+filters are appended; when there are MERGE of them, they are merged part by part into one level, so a part's filters stay
+few.  ``History.open`` goes on with a store that an earlier session left.
+
+What is rare is counted once, over all of the first load; a different order of pieces would cost comparisons, no pairs.
+Keys are dealt out to cells for as many texts as the store is made for (``expected``).
 
 Defined results: null, empty and blank texts neither match nor are stored; copies within one batch match the
 same earlier rows; rows without a batch number take no part; an empty history matches nothing; other columns
@@ -16,7 +21,8 @@ aren't read.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+from typing import Iterator  # noqa: UP035
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +31,18 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.canon import canonical_dense
 from quillmere.llm.grams import Commonness, hashed_bigrams, mix
-from quillmere.llm.neartext import RARE_PIECE, SIMILARITY, hashed_classes, piece_rows, representatives, verified
+from quillmere.llm.neartext import RARE_PIECE, ROWS_PER_PART, SIMILARITY, TILE, bucket_blocks, hashed_classes, opened_blocks, radius, representatives, verified
 from quillmere.session import scratch, settle
 
-#: Buckets of the store, and so partitions of the Bloom filters.
-BUCKETS = 32
-#: Bits and hash functions of a filter for each piece in it.
+#: Bits and hash functions of a filter for each key in it.
 BITS, HASHES = 12, 5
+#: Batches that are merged into one level.
+MERGE = 16
+#: Ranges of up to so many old rows are laid out pair by pair, longer ones compared in tiles; and pairs laid out at once.
+FEW, PAIRS = 48, 2_000_000
 
-ROWS = "key long, uid long, size int, s0 long, s1 long, first boolean, known boolean, bits binary"
+LEVEL = "part int, keys binary, texts binary, first binary, uid binary, size binary, s0 binary, s1 binary, bits binary"
+_KINDS = {"keys": "<u4", "texts": "<u4", "uid": "<i8", "size": "<u4", "s0": "<u8", "s1": "<u8"}
 
 
 def bloom_bits(keys: np.ndarray) -> np.ndarray:
@@ -55,57 +64,191 @@ def bloom_has(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
+def level_of(held: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Bucket rows of one part in the order of the store: texts by size, rows by key and size."""
+    order = np.lexsort((held["uid"], held["size"]))
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    at = np.argsort(held["key"].astype(np.uint64) << np.uint64(32) | rank[held["text"]].astype(np.uint64))
+    return {"keys": held["key"][at], "texts": rank[held["text"]][at], "first": held["first"][at], **{c: held[c][order] for c in ("uid", "size", "s0", "s1")}}
+
+
+def packed_level(part: int, level: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row of the store."""
+    row = {c: level[c].astype(k).tobytes() for c, k in _KINDS.items()} | {"first": np.packbits(level["first"]).tobytes(), "bits": bloom_bits(np.unique(level["keys"]).astype(np.uint64)).tobytes()}
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), **{c.split()[0]: pa.array([row[c.split()[0]]], pa.binary()) for c in LEVEL.split(", ")[1:]}})
+
+
+def opened_level(row: dict) -> dict[str, np.ndarray]:
+    level = {c: np.frombuffer(row[c], k) for c, k in _KINDS.items()}
+    return level | {"first": np.unpackbits(np.frombuffer(row["first"], np.uint8), count=len(level["keys"])).astype(bool)}
+
+
+def across(x: dict[str, np.ndarray], y: dict[str, np.ndarray], least: float, larger: bool, tile: int = TILE):
+    """Pairs (index in x's texts, in y's) with one key, of an index row of x and any row of y whose set isn't smaller (is larger, with ``larger``) and near enough."""
+    size_x, size_y = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    rows = np.flatnonzero(x["first"])
+    key = x["keys"][rows].astype(np.uint64) << np.uint64(32)
+    text = x["texts"][rows].astype(np.int64)
+    of = size_x[text]
+    packed = y["keys"].astype(np.uint64) << np.uint64(32) | size_y[y["texts"]].astype(np.uint64)
+    low = np.searchsorted(packed, key | (of + larger).astype(np.uint64))
+    high = np.searchsorted(packed, key | np.minimum(np.floor(of / least + 1e-9), (1 << 32) - 1).astype(np.uint64), side="right")
+    n = np.maximum(0, high - low)
+
+    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.bitwise_count(x["s0"][a] ^ y["s0"][b]).astype(np.int64) + np.bitwise_count(x["s1"][a] ^ y["s1"][b])
+        ok = apart <= radius(size_x[a], size_y[b], least)
+        return a[ok], b[ok]
+
+    short = np.flatnonzero((n > 0) & (n <= FEW))
+    total = np.cumsum(n[short])
+    begin = 0
+    while begin < len(short):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, side="right")))
+        some = short[begin:end]
+        c = n[some]
+        at = np.repeat(low[some] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+        yield near(np.repeat(text[some], c), y["texts"][at].astype(np.int64))
+        begin = end
+    long = np.flatnonzero(n > FEW)
+    if not len(long):
+        return
+    # rows of one key stand together, by size: up to a tile of them is compared with all that any of them may meet
+    cuts = np.flatnonzero(np.concatenate([[True], key[long][1:] != key[long][:-1]]))
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(long)], strict=True):
+        for i in range(s, e, tile):
+            mine = long[i : min(i + tile, e)]
+            a, x0, x1 = text[mine], x["s0"][text[mine]][:, None], x["s1"][text[mine]][:, None]
+            for j in range(int(low[mine[0]]), int(high[mine[-1]]), 4 * tile):
+                other = y["texts"][j : min(j + 4 * tile, int(high[mine[-1]]))].astype(np.int64)
+                apart = np.bitwise_count(x0 ^ y["s0"][other][None, :]) + np.bitwise_count(x1 ^ y["s1"][other][None, :])
+                r, c = np.divmod(np.flatnonzero(apart <= radius(size_x[a[-1]], size_y[other[-1]], least)), len(other))
+                inside = (j + c >= low[mine[r]]) & (j + c < high[mine[r]])
+                yield near(a[r[inside]], other[c[inside]])
+
+
 class History:
-    """Rare pieces and filters of all accepted batches."""
+    """Blocks and filters of all accepted batches, in a folder that outlives the session."""
 
-    def __init__(self, spark: SparkSession, common: Commonness, least: float = SIMILARITY):
-        self.spark, self.common, self.least = spark, common, least
-        self.name = f"history_{uuid.uuid4().hex}"
-        self.path = scratch(spark, "history")
+    def __init__(self, spark: SparkSession, path: str, common: Commonness, least: float, parts: int):
+        self.spark, self.path, self.common, self.least, self.parts = spark, path, common, least, parts
         self.batches: list[int] = []
+        self.version = 0
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, common: Commonness, least: float = SIMILARITY, expected: int = 0) -> History:
+        """A new store, with parts and cells for so many texts, at least those of the first load."""
+        texts = max(expected, common.texts)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts * 24 // ROWS_PER_PART)
+        made = cls(spark, path, Commonness(common.classes, texts, common.rare), least, parts)
+        made._note()
+        return made
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The store that stands in a folder, with all that it has accepted."""
+        notes = spark.read.parquet(f"{path}/notes")
+        r = notes.orderBy(F.desc("version"), F.desc(F.size("batches"))).first()
+        made = cls(spark, path, Commonness(bytes(r["classes"]), r["texts"], r["rare"]), r["least"], r["parts"])
+        made.batches, made.version = list(r["batches"]), r["version"]
+        if made.batches:
+            made._table()
+        return made
+
+    def _note(self) -> None:
+        """What is needed to open the store; the newest row counts, so it is written last."""
+        row = (self.version, self.batches, self.parts, self.least, self.common.texts, self.common.rare, bytearray(self.common.classes))
+        self.spark.createDataFrame([row], "version int, batches array<int>, parts int, least double, texts long, rare double, classes binary").coalesce(1).write.mode("append").parquet(f"{self.path}/notes")
+
+    @property
+    def name(self) -> str:
+        return f"history_{hashlib.md5(self.path.encode()).hexdigest()}_{self.version}"
+
+    def _table(self) -> None:
+        """Make the folder known to the session as a bucketed table."""
+        self.spark.sql(f"create table if not exists {self.name} ({LEVEL}, batch int) using parquet partitioned by (batch) clustered by (part) into {self.parts} buckets location '{self.path}/level-{self.version}'")
+        self.spark.catalog.recoverPartitions(self.name)
 
     def _store(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _write(self, levels: DataFrame, batch: int) -> None:
+        writer = levels.withColumn("batch", F.lit(batch)).write.format("parquet").option("compression", "zstd").partitionBy("batch").bucketBy(self.parts, "part")
+        if self.spark.catalog.tableExists(self.name):
+            writer.mode("append").saveAsTable(self.name)
+        else:
+            writer.option("path", f"{self.path}/level-{self.version}").saveAsTable(self.name)
+
     def accept(self, batch: int, texts: DataFrame) -> DataFrame | None:
         """(uid, text) of a new batch -> its pairs (a, b), b accepted before, that may be nearly the same; then the batch is stored."""
-        common, least = self.common, self.least
-        rows = piece_rows(texts, common, least)
-        part = F.pmod(F.hash("key"), F.lit(BUCKETS))  # the bucket in which a bucketed table has the key
-        rows = rows.withColumn("part", part)
-        if self.batches:
-            filters = self._store().where("bits is not null").select("bits", F.pmod(F.hash("key"), F.lit(BUCKETS)).alias("part"))
-        else:
-            filters = self.spark.createDataFrame([], "bits binary, part int")
-
-        def screen(_, rows: pa.Table, filters: pa.Table) -> pa.Table:
-            if not rows.num_rows:
-                return pa.Table.from_pydict({n: pa.array([], t) for n, t in zip(("key", "uid", "size", "s0", "s1", "first", "known", "bits"), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)})
-            keys = rows.column("key").to_numpy().view(np.uint64)
-            known = np.zeros(len(keys), bool)
-            for bits in filters.column("bits"):
-                known |= bloom_has(np.frombuffer(bits.as_py(), np.uint8), keys)
-            own = bloom_bits(np.unique(keys)).tobytes()
-            n = len(keys)
-            one = pa.table({"key": rows.column("key").slice(0, 1), "uid": pa.array([None], pa.int64()), "size": pa.array([None], pa.int32()), "s0": pa.array([None], pa.int64()), "s1": pa.array([None], pa.int64()), "first": pa.array([None], pa.bool_()), "known": pa.array([False]), "bits": pa.array([own], pa.binary())})
-            return pa.concat_tables([pa.table({**{c: rows.column(c) for c in ("key", "uid", "size", "s0", "s1", "first")}, "known": pa.array(known), "bits": pa.nulls(n, pa.binary())}), one])
-
-        screened = rows.groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(screen, ROWS).withColumn("batch", F.lit(batch))
-        writer = screened.write.option("compression", "zstd").partitionBy("batch").bucketBy(BUCKETS, "key")
-        if not self.batches:
-            writer.option("path", self.path).saveAsTable(self.name)
-        else:
-            writer.mode("append").saveAsTable(self.name)
-        earlier, self.batches = list(self.batches), [*self.batches, batch]
-        if not earlier:
-            return None
-        new = self._store().where((F.col("batch") == batch) & F.col("known")).select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "size", "s0", "s1", "first"))).hint("shuffle_hash")
-        # rows that hold a filter have no sketch and so never lie near; a condition on them would read one more column
-        old = self._store().where(F.col("batch").isin(earlier)).select("key", "uid", "size", "s0", "s1", "first")
-        apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_a"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_a")))
-        fits = F.when(F.col("size_a") <= F.col("size"), F.col("first_a")).otherwise(F.col("first"))
-        near = new.join(old, "key").where(fits & (apart <= F.floor((1 - least) / (1 + least) * (F.col("size") + F.col("size_a")) + 1e-9)))
-        return settle(near.select(F.col("uid_a").alias("a"), F.col("uid").alias("b")).distinct(), f"candidates_{batch}")
+        least, earlier = self.least, list(self.batches)
+        if batch in earlier:
+            raise ValueError(f"batch {batch} was accepted before")
+        blocks = bucket_blocks(texts.withColumn("side", F.lit(0)), self.common, least, self.parts, True)
+
+        def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [opened_blocks(b) for b in batches]
+            merged: dict[str, np.ndarray] = {}
+            base = np.cumsum([0, *(len(h["uid"]) for h in held)])
+            for c in ("key", "first", "uid", "size", "s0", "s1"):
+                merged[c] = np.concatenate([h[c] for h in held])
+            merged["text"] = np.concatenate([h["text"] + b for h, b in zip(held, base, strict=False)])
+            yield packed_level(key[0].as_py(), level_of(merged))
+
+        self._write(blocks.groupBy("part").applyInArrow(gather, LEVEL), batch)
+        self.batches.append(batch)
+        self._note()
+        return self._look_up(batch, earlier) if earlier else None
+
+    def _look_up(self, batch: int, earlier: list[int]) -> DataFrame:
+        least = self.least
+        new = self._store().where(F.col("batch") == batch)
+        filters = self._store().where(F.col("batch").isin(earlier)).select("part", "batch", "bits")
+
+        def screen(_, new: pa.Table, old: pa.Table) -> pa.Table:
+            known = [False] * old.num_rows
+            if new.num_rows:
+                keys = np.unique(np.concatenate([np.frombuffer(k.as_py(), "<u4") for k in new.column("keys")])).astype(np.uint64)
+                known = [bool(bloom_has(np.frombuffer(b.as_py(), np.uint8), keys).any()) for b in old.column("bits")]
+            return old.select(["part", "batch"]).filter(pa.array(known, pa.bool_()))
+
+        found = new.select("part", "keys").groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(screen, "part int, batch int").collect()  # at most a row for each part and level
+        if not found:
+            return self.spark.createDataFrame([], "a long, b long")
+        where, when = {r["part"] for r in found}, {r["batch"] for r in found}
+        old = self._store().where(F.col("batch").isin(sorted(when)) & F.col("part").isin(sorted(where))).drop("bits", "batch")
+
+        def compare(_, new: pa.Table, old: pa.Table) -> pa.Table:
+            low, high = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for x in (opened_level(r) for r in new.to_pylist()):
+                for i in range(old.num_rows):
+                    y = opened_level(old.slice(i, 1).to_pylist()[0])
+                    both = np.concatenate([np.zeros(0, np.int64), *(a << 32 | b for a, b in across(x, y, least, False)), *(b << 32 | a for a, b in across(y, x, least, True))])
+                    both = np.unique(both)
+                    low.append(x["uid"][both >> 32])
+                    high.append(y["uid"][both & 0xFFFFFFFF])
+            return pa.table({"a": pa.array(np.concatenate(low).astype(np.int64)), "b": pa.array(np.concatenate(high).astype(np.int64))})
+
+        pairs = new.drop("bits", "batch").groupBy("part").cogroup(old.groupBy("part")).applyInArrow(compare, "a long, b long")
+        return settle(pairs, f"candidates_{batch}")
+
+    def merge(self) -> None:
+        """All levels of a part become one, in a new version of the table; the old one stays until the folder is cleaned."""
+
+        def together(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            levels = [opened_level(r) for b in batches for r in b.to_pylist()]
+            base = np.cumsum([0, *(len(x["uid"]) for x in levels)])
+            merged = {c: np.concatenate([x[c] for x in levels]) for c in ("first", "uid", "size", "s0", "s1")} | {"key": np.concatenate([x["keys"] for x in levels])}
+            merged["text"] = np.concatenate([x["texts"].astype(np.int64) + b for x, b in zip(levels, base, strict=False)])
+            yield packed_level(key[0].as_py(), level_of(merged))
+
+        levels = self._store().drop("bits", "batch").groupBy("part").applyInArrow(together, LEVEL)
+        self.version += 1
+        last = self.batches[-1]
+        self._write(levels, last)
+        self.batches = [last]
+        self._note()
 
 
 def already_accepted(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -114,15 +257,20 @@ def already_accepted(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = rows.where("batch is not null")
     hashed = hashed_classes(rows, canonical_dense(F.col("text")), ["batch"])
     reps = settle(representatives(hashed, F.first("batch").alias("batch")), "representatives")
-    loads = [r["batch"] for r in reps.select("batch").distinct().orderBy("batch").collect()]  # one row for each batch
+    loads = {r["batch"]: r["n"] for r in reps.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").collect()}  # one row for each batch
     if len(loads) < 2:
         return spark.createDataFrame([], "uid long, match long")
     chosen = settle(rows.select("uid", "text").join(reps.select(F.col("rep").alias("uid"), "batch"), "uid"), "incoming", ["batch"])
-    history = History(spark, Commonness.fit(chosen.where(F.col("batch") == loads[0]), "text", hashed_bigrams, RARE_PIECE), least)
-    found = [history.accept(b, chosen.where(F.col("batch") == b)) for b in loads]
+    common = Commonness.fit(chosen.where(F.col("batch") == next(iter(loads))), "text", hashed_bigrams, RARE_PIECE)
+    history = History.create(spark, scratch(spark, "history"), common, least, sum(loads.values()))
+    found = []
+    for b in loads:
+        found.append(history.accept(b, chosen.where(F.col("batch") == b)))
+        if len(history.batches) >= MERGE:
+            history.merge()
     pairs = found[1]
     for more in found[2:]:
         pairs = pairs.unionAll(more)
-    match = verified(pairs, chosen, least).groupBy("a").agg(F.min("b").alias("match"))
+    match = verified(pairs.distinct(), chosen, least).groupBy("a").agg(F.min("b").alias("match"))
     members = hashed.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("rep").alias("a"), "uid")
     return match.join(members, "a").select("uid", "match")

@@ -43,7 +43,8 @@ def rare_pieces(texts: list[str | None], common: Commonness, least: float, cell:
     """Of each text of a chunk the rarest pieces, rarest first: as many as the prefix filter needs to lose no pair.
 
     Any two sets with similarity ``least`` or more share one of the first ``index_length`` pieces of the smaller and the
-    first ``probe_length`` pieces of the larger, whatever order all texts' pieces are put in.
+    first ``probe_length`` pieces of the larger, whatever order all texts' pieces are put in.  A text of one character has no
+    piece; the character takes its place, so that equal ones meet.
     """
     cps, lens = dense_points(texts)
     row, code = bigrams(cps, lens)
@@ -65,6 +66,10 @@ def rare_pieces(texts: list[str | None], common: Commonness, least: float, cell:
     first = place < index_length(size, least)[row]
     if (cells > 1).any():
         row, key, first = in_cells(row, key, first, cells, sketch)
+    single = np.flatnonzero(lens == 1)
+    if len(single):
+        alone = mix(cps[(np.cumsum(lens) - lens)[single]].astype(np.uint64) + M2) >> np.uint64(20)
+        row, key, first = np.concatenate([row, single]), np.concatenate([key, alone]), np.concatenate([first, np.ones(len(single), bool)])
     return {"row": row, "key": key, "first": first, "size": size, "sketch": sketch}
 
 
@@ -84,27 +89,6 @@ def in_cells(at: np.ndarray, key: np.ndarray, first: np.ndarray, cells: np.ndarr
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(flags)
 
 
-def piece_rows(texts: DataFrame, common: Commonness, least: float) -> DataFrame:
-    """(uid, text) -> one row for each rare piece of each text that the prefix filter needs, with size and sketch of all its pieces.
-
-    A text of one character has no piece; the character takes its place, so that equal ones meet.
-    """
-
-    def make(batches):
-        for batch in batches:
-            uid, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for i in range(0, len(values), CHUNK):
-                some = values[i : i + CHUNK]
-                k = rare_pieces(some, common, least)
-                cps, lens = dense_points(some)
-                single = np.flatnonzero(lens == 1)
-                alone = mix(cps[(np.cumsum(lens) - lens)[single]].astype(np.uint64) + M2) >> np.uint64(20)
-                at, key, first = np.concatenate([k["row"], single]), np.concatenate([k["key"], alone]), np.concatenate([k["first"], np.ones(len(single), bool)])
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "uid": uid[at + i].astype(np.int64), "size": k["size"][at].astype(np.int32), "s0": k["sketch"][at, 0].view(np.int64), "s1": k["sketch"][at, 1].view(np.int64), "first": first})
-
-    return texts.select("uid", "text").mapInArrow(make, "key long, uid long, size int, s0 long, s1 long, first boolean")
-
-
 def _labels(spark: SparkSession, parts: int) -> list[int]:
     """For each of so many partitions an integer that Spark's hash puts there, so that parts are spread evenly."""
     found: dict[int, int] = {}
@@ -153,6 +137,18 @@ def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int
     return texts.select("uid", "side", "text").mapInArrow(make, BLOCKS)
 
 
+def opened_blocks(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns of the texts of some blocks of one part, and of their bucket rows: key, text (its place among the texts) and flag."""
+    kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "rows": "<u4", "low": "<u2", "high": "<u1"}
+    got = {c: [np.frombuffer(v.as_py(), t) for v in batch.column(c)] for c, t in kinds.items()}
+    first = [np.unpackbits(np.frombuffer(v.as_py(), np.uint8), count=len(k)).astype(bool) for v, k in zip(batch.column("first"), got["low"], strict=True)]
+    made = {c: np.concatenate(v) if v else np.zeros(0, kinds[c]) for c, v in got.items()}
+    made["key"] = made.pop("low").astype(np.uint32) | made.pop("high").astype(np.uint32) << 16
+    made["first"] = np.concatenate(first) if first else np.zeros(0, bool)
+    made["text"] = np.repeat(np.arange(len(made["uid"])), made.pop("rows"))
+    return made
+
+
 class _Part:
     """All bucket rows of one part of the keys, sorted by key and set size."""
 
@@ -163,15 +159,11 @@ class _Part:
         self.buffers = (np.empty((tile, tile), np.uint64), np.empty((tile, tile), np.uint8), np.empty((tile, tile), np.uint8), np.empty((tile, tile), bool))
 
     def add(self, batch: pa.RecordBatch) -> None:
-        kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "rows": "<u4", "low": "<u2", "high": "<u1"}
-        for i in range(batch.num_rows):
-            got = {c: np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in kinds.items()}
-            got["key"] = got.pop("low").astype(np.uint32) | got.pop("high").astype(np.uint32) << 16
-            got["first"] = np.unpackbits(np.frombuffer(batch.column("first")[i].as_py(), np.uint8), count=len(got["key"])).astype(bool)
-            got["text"] = np.repeat(np.arange(self.texts, self.texts + len(got["uid"])), got.pop("rows"))
-            self.texts += len(got["uid"])
-            for c, v in got.items():
-                self.held[c].append(v)
+        got = opened_blocks(batch)
+        got["text"] = got["text"] + self.texts
+        self.texts += len(got["uid"])
+        for c, v in got.items():
+            self.held[c].append(v)
 
     def pairs(self):
         if not self.texts:

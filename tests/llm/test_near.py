@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmere.llm import canon, neartext
 from quillmere.llm.crosssplit import cross_split
 from quillmere.llm.grams import Commonness, bigrams, fingerprints, hashed_bigrams, jaccard, parity_sketch
-from quillmere.llm.history import already_accepted, bloom_bits, bloom_has
+from quillmere.llm.history import History, across, already_accepted, bloom_bits, bloom_has, level_of
 from quillmere.llm.neardup import groups, near_duplicates, row_pairs
 
 PARTS = ["统计华东片区已完成的订单", "查一下合同HT482334走到哪一步", "时间大约2026-05-28 10:20", "有出入就对照FP709379", "结果发给外勤工程师就行", "给朗霖试点排一个碰头会", "核一核昱闳试点的到期日", "别按骏翡计划的旧表", "只看西北不看华南", "货在绍兴由嵘蒹霖园艺代收", "序号尾数是73E5034别认错", "对应的仓库在泉州编号E4424"]
@@ -184,3 +184,73 @@ def test_bloom_filters_forget_nothing():
     assert bloom_has(bits, keys[:2500]).all()
     assert bloom_has(bits, keys[2500:]).mean() < 0.02
     assert not bloom_has(bloom_bits(keys[:0]), keys).any()
+
+
+def _batches(n, each, seed=31):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(n * each):
+        if rng.random() < 0.6 or len(texts) < 3:
+            texts.append("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(30)))
+        else:
+            body = rng.choice(texts)
+            at = rng.randrange(len(body))
+            texts.append(body[:at] + "请" + body[at:])
+    return texts
+
+
+def test_a_store_is_opened_again_and_merged(spark, tmp_path):
+    """Half of the batches are accepted by one object, the rest by one that opens its folder, with a merge on the way; no pair is lost or found twice."""
+    texts = _batches(8, 30)
+    rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").withColumn("batch", (F.col("uid") / 30).cast("int"))
+    one = lambda b: rows.where(F.col("batch") == b).select("uid", "text")
+    store = History.create(spark, str(tmp_path / "store"), Commonness.fit(one(0), "text", hashed_bigrams, 0.002), 0.7, len(texts))
+    found = []
+    for b in range(4):
+        found.append(store.accept(b, one(b)))
+    store.merge()
+    again = History.open(spark, str(tmp_path / "store"))
+    assert again.batches == [3] and again.version == 1
+    for b in range(4, 8):
+        found.append(again.accept(b, one(b)))
+    assert found[0] is None
+    pairs = {r[:] for f in found[1:] for r in f.distinct().collect()}
+    made = [grams(t) for t in texts]
+    want = {(j, i) for i, j in itertools.combinations(range(len(texts)), 2) if i // 30 < j // 30 and near(made[i], made[j])}
+    assert len(want) > 40 and want <= pairs and all(b // 30 < a // 30 for a, b in pairs)
+    with pytest.raises(ValueError):
+        again.accept(7, one(7))
+
+
+def test_parts_without_a_known_key_are_not_read(spark, tmp_path):
+    """A batch of which the filters know nothing reads no block of the history."""
+    store = History.create(spark, str(tmp_path / "store"), Commonness(bytes(1 << 18), 1000), 0.7)
+    store.accept(0, spark.createDataFrame([(i, t) for i, t in enumerate(_batches(1, 50))], "uid long, text string"))
+    fresh = spark.createDataFrame([(100, "αβγδεζηθικλμνξοπρστυφχψω")], "uid long, text string")
+    assert store.accept(1, fresh).count() == 0
+    plan = store.accept(2, fresh.select((F.col("uid") + 1).alias("uid"), "text"))
+    assert {r[:] for r in plan.collect()} == {(101, 100)}
+
+
+def test_comparison_across_levels_equals_brute_force():
+    """Long and short ranges, tiles and single pairs give what all pairs by the definition give."""
+    rng = np.random.default_rng(5)
+
+    def level(n, base):
+        size = rng.integers(3, 40, n)
+        s = rng.integers(0, 1 << 6, (n, 2)).astype(np.uint64)
+        text = np.repeat(np.arange(n), 4)
+        return level_of({"uid": np.arange(base, base + n), "size": size, "s0": s[:, 0], "s1": s[:, 1], "key": rng.integers(0, 5, 4 * n).astype(np.uint32), "text": text, "first": rng.random(4 * n) < 0.4})
+
+    x, y = level(400, 0), level(900, 1000)
+    for larger in (False, True):
+        got = {(int(a), int(b)) for p in across(x, y, 0.7, larger, 16) for a, b in zip(*p, strict=True)}
+        want = set()
+        for i in np.flatnonzero(x["first"]):
+            for j in np.flatnonzero(y["keys"] == x["keys"][i]):
+                a, b = int(x["texts"][i]), int(y["texts"][j])
+                p, q = int(x["size"][a]), int(y["size"][b])
+                apart = bin(int(x["s0"][a] ^ y["s0"][b])).count("1") + bin(int(x["s1"][a] ^ y["s1"][b])).count("1")
+                if p + larger <= q <= p / 0.7 + 1e-9 and apart <= neartext.radius(p, q, 0.7):
+                    want.add((a, b))
+        assert got == want and len(want) > 1000
