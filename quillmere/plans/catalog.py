@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("records", "texts", "metrics", "sets", "windows", "contracts", "decisions", "audits", "states", "files", "extras")
+MODULES = ("records", "texts", "metrics", "sets", "windows", "contracts", "chain", "decisions", "audits", "states", "files", "extras")
 
 
 def _modules():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions.jsonvalue import strict_json
-from quillmere.operators.contracts import compile_schema, interval_faults
+from quillmere.operators.contracts import compile_schema
 from quillmere.session import table
 
 #: Actions, and tools of decisions.
@@ -29,7 +29,6 @@ DECISION = {
     ],
 }
 PROPERTIES = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "enum": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]}}, "additionalProperties": False}
-INTERVALS = [("a", "2026-05-01T10:00", "2026-05-01T11:00"), ("b", "2026-05-01T10:00", "2026-05-01T10:00"), ("c", "2026-02-30T10:00", "2026-05-01T11:00"), ("d", "2026-05-01T10:00", "2026-05-02T11:00"), ("e", "2025-05-01T10:00", "2025-05-01T11:00"), ("f", "2025-05-01T10:00", "2025-04-30T11:00")]
 
 
 def v_decision_errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,28 +43,6 @@ def v_event_properties(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.explode(compile_schema(PROPERTIES, F.col("v"))).alias("e")).select("event_id", "e.loc", "e.code")
 
 
-def v18_interval_semantics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(INTERVALS, "id string, s string, e string")
-    return rows.select("id", F.array_join(interval_faults(F.col("s"), F.col("e"), F.lit("2026-01-01T00:00"), 480), ",").alias("codes"))
-
-
-def v20_case_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules across the fields of a case, one code each."""
-    c = table(spark, sf, "handwritten_v0")
-    action, tool = F.get_json_object("expected_decision", "$.action"), F.get_json_object("expected_decision", "$.tool")
-    record = F.get_json_object("expected_decision", "$.arguments.record_id")
-    rules = [
-        F.when((action == "call") & ~F.coalesce(F.array_contains("available_tools", tool), F.lit(False)), "TOOL_NOT_AVAILABLE"),
-        F.when(record.isNotNull() & ~F.contains("user_request", record), "FABRICATED_ID"),
-        F.when((action == "clarify") & F.col("clarify_target").isNull(), "CLARIFY_TARGET_MISSING"),
-        F.when((action == "refuse") & F.col("refuse_code").isNull(), "REFUSE_CODE_MISSING"),
-        F.when((action != "refuse") & F.col("refuse_code").isNotNull(), "REFUSE_CODE_MISUSED"),
-        F.when(F.length("user_request") > 200, "REQUEST_TOO_LONG"),
-        F.when(F.size(F.array_distinct("tags")) < F.size("tags"), "DUPLICATE_ITEM"),
-    ]
-    return c.select(F.explode(F.array_compact(F.array(*rules))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-
-
 def v22_table_lint(spark: SparkSession, sf: str) -> DataFrame:
     """Constraints of tables: rows that break each of them."""
     parts = [
@@ -124,14 +101,17 @@ _RULES = [
     ("/question", "MISSING_REQUIRED", f"{_ACT} = 'clarify' and not " + _HAS.format("question")),
     ("/", "FIELD_NOT_ALLOWED", f"{_ACT} = 'clarify' and " + _HAS.format("tool")),
 ]
+def decision_rules() -> list[tuple[str, str, str]]:
+    """(place, code, condition) of the decision contract over a column d, null where the decision isn't JSON; extra fields are asked for apart."""
+    return list(_RULES)
+
+
 _EXTRA = f"select '/' || k as loc, 'EXTRA_FIELD' as code, count(*) as n from (select unnest(json_keys(d)) as k from {_D} where d is not null) where k not in ('action', 'tool', 'arguments', 'question', 'reason') group by 1"
 SQL = {
     "v_decision_errors": "select loc, code, n from (" + " union all ".join(f"select '{loc}' as loc, '{code}' as code, count(*) filter (coalesce({rule}, false)) as n from {_D}" for loc, code, rule in _RULES) + f") where n > 0 union all {_EXTRA}",
     "v_event_properties": "select event_id, '/k' as loc, case when not list_contains(json_keys(props), 'k') then 'MISSING_REQUIRED' when json_type(props, '$.k') not in ('BIGINT', 'UBIGINT') then 'TYPE_MISMATCH' else 'ENUM_MISMATCH' end as code from events where json_valid(props) and (not list_contains(json_keys(props), 'k') or json_type(props, '$.k') not in ('BIGINT', 'UBIGINT') or cast(json_extract(props, '$.k') as bigint) not between 0 and 9) union all select event_id, '/' || k, 'EXTRA_FIELD' from (select event_id, unnest(json_keys(props)) as k from events where json_valid(props)) where k <> 'k'",
-    "v18_interval_semantics": "select id, array_to_string(list_filter([case when a is null or b is null then 'BAD_TIME_VALUE' end, case when b <= a then 'SEMANTIC_TIME_ORDER' end, case when date_diff('minute', a, b) > 480 then 'SEMANTIC_DURATION' end, case when a < timestamp '2026-01-01' then 'SEMANTIC_PAST_START' end], lambda x: x is not null), ',') as codes from (select id, try_strptime(s, '%Y-%m-%dT%H:%M') as a, try_strptime(e, '%Y-%m-%dT%H:%M') as b from (values " + ", ".join(str(x) for x in INTERVALS) + ") v(id, s, e))",
-    "v20_case_rules": "with c as (select *, case when json_valid(expected_decision) then expected_decision end as d from handwritten_v0), x as (select unnest(list_filter([case when json_extract_string(d, '$.action') = 'call' and not coalesce(list_contains(available_tools, json_extract_string(d, '$.tool')), false) then 'TOOL_NOT_AVAILABLE' end, case when json_extract_string(d, '$.arguments.record_id') is not null and not contains(user_request, json_extract_string(d, '$.arguments.record_id')) then 'FABRICATED_ID' end, case when json_extract_string(d, '$.action') = 'clarify' and clarify_target is null then 'CLARIFY_TARGET_MISSING' end, case when json_extract_string(d, '$.action') = 'refuse' and refuse_code is null then 'REFUSE_CODE_MISSING' end, case when json_extract_string(d, '$.action') <> 'refuse' and refuse_code is not null then 'REFUSE_CODE_MISUSED' end, case when length(user_request) > 200 then 'REQUEST_TOO_LONG' end, case when len(list_distinct(tags)) < len(tags) then 'DUPLICATE_ITEM' end], lambda v: v is not null)) as code from c) select code, count(*) as n from x group by 1",
     "v22_table_lint": "select 'orders.status' as rule, count(*) filter (o_orderstatus is null or o_orderstatus not in ('O', 'F', 'P')) as broken from orders union all select 'probes.id_pattern', count(*) filter (not coalesce(regexp_full_match(id, 'PB-[0-9]{4}'), false)) from frozen_probes union all select 'groups.two_phrasings', count(*) filter (len(phrasings) < 2) from groups_clarify union all select 'documents.n_chars', count(*) filter (n_chars <> length(text)) from documents union all select 'results.latency', count(*) filter (not coalesce(latency_ms >= model_latency_ms, false)) from route_rows union all select 'lineitem.order', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders)",
     "v25_provenance": "with g as (select id, min(category) as gc, min(split) as gs from groups_clarify group by 1) select row_id, unnest(list_filter([case when g.id is null then 'GROUP_UNKNOWN' end, case when category <> gc then 'CATEGORY_DRIFT' end, case when split <> gs then 'GROUP_SPLIT_DRIFT' end, case when seed is null or source is null then 'PROVENANCE_MISSING' end], lambda v: v is not null)) as code from handwritten_v0 h left join g on h.template_group = g.id",
     "v28_targets": "select b.split, coalesce(n, 0) as n, coalesce(n, 0) / (select count(*) from handwritten_v0) between low and high as within from (values ('train', 0.5, 0.7), ('val', 0.1, 0.11), ('test', 0.1, 0.2), ('unseen_test', 0.2, 0.3)) b(split, low, high) left join (select split, count(*) as n from handwritten_v0 group by 1) s on b.split = s.split",
 }
-QUERIES = {f.__name__: f for f in (v_decision_errors, v_event_properties, v18_interval_semantics, v20_case_rules, v22_table_lint, v25_provenance, v28_targets)}
+QUERIES = {f.__name__: f for f in (v_decision_errors, v_event_properties, v22_table_lint, v25_provenance, v28_targets)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions.text import two_tasks
-from quillmere.operators.decide import covers_all, first_failure, merged_route, rewrite, route_of, verdict
+from quillmere.operators.decide import covers_all, merged_route, rewrite, route_of, verdict
 from quillmere.plans.sets import TOOL_ROUTES
 from quillmere.session import table
 
@@ -15,21 +15,6 @@ CUES = {"query": ["检索", "关键词", "查什么"], "record_id": ["编号", "
 D = "expected_decision"
 
 
-def gate_stages(spark: SparkSession, sf: str) -> DataFrame:
-    """Where decisions stop: form, offered tool, arguments, meaning; counted by stage."""
-    action, tool = F.get_json_object(D, "$.action"), F.get_json_object(D, "$.tool")
-    start, end = F.get_json_object(D, "$.arguments.start_time"), F.get_json_object(D, "$.arguments.end_time")
-    record = F.get_json_object(D, "$.arguments.record_id")
-    stages = [
-        ("decision_format", action.isin("call", "clarify", "refuse")),
-        ("not_executed", action == "call"),
-        ("tool_availability", F.array_contains("available_tools", tool)),
-        ("argument_schema", record.isNull() | record.rlike("^(DD|FP|HT|SH)[0-9]{6}$")),
-        ("semantic_constraint", start.isNull() | (start < end)),
-    ]
-    return table(spark, sf, "handwritten_v0").groupBy(first_failure(stages, "executed").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def score_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Each later delivery of a case scored against its first one, by verdict and category."""
     c = table(spark, sf, "handwritten_v0")
@@ -107,7 +92,6 @@ _SPLIT = r"string_split_regex(regexp_replace(trim(query), '[。！？!?]+$', '')
 _SECOND = "然后|同时|接着|顺便|再帮我|再查|另外还|并且|并帮|并创建|没解决就|修不好就|如果.{1,20}(解决不了|修不好|不行|没有用).{0,10}(找|联系|转|建)"
 _FIRST = "(select id, min(row_id) as row, min_by(expected_decision, row_id) as gold from handwritten_v0 group by id)"
 SQL = {
-    "gate_stages": f"select case when coalesce(a not in ('call', 'clarify', 'refuse'), true) then 'decision_format' when a <> 'call' then 'not_executed' when not coalesce(list_contains(available_tools, t), false) then 'tool_availability' when not (r is null or regexp_full_match(r, '(DD|FP|HT|SH)[0-9]{{6}}')) then 'argument_schema' when not coalesce(s is null or s < e, false) then 'semantic_constraint' else 'executed' end as stage, count(*) as n from (select available_tools, {_x('$.action')} as a, {_x('$.tool')} as t, {_x('$.arguments.record_id')} as r, {_x('$.arguments.start_time')} as s, {_x('$.arguments.end_time')} as e from handwritten_v0) group by 1",
     "score_verdicts": f"select category, case when ga is null then 'invalid' when a is distinct from ga then 'wrong' when a = 'call' and t is distinct from gt then 'wrong' when a = 'call' and r is distinct from gr then 'wrong' when a = 'call' and gq is not null then 'manual_review' when a <> 'call' and not same then 'wrong' else 'correct' end as verdict, count(*) as n from (select category, {_x('$.action')} as a, {_x('$.action', 'gold')} as ga, {_x('$.tool')} as t, {_x('$.tool', 'gold')} as gt, {_x('$.arguments')} as r, {_x('$.arguments', 'gold')} as gr, {_x('$.arguments.query', 'gold')} as gq, ({_x('$.question')}) is not distinct from ({_x('$.question', 'gold')}) and ({_x('$.reason')}) is not distinct from ({_x('$.reason', 'gold')}) as same from handwritten_v0 h join {_FIRST} f on h.id = f.id and h.row_id > f.row) group by 1, 2",
     "score_questions": f"select row_id, not (len(list_filter(f, lambda x: x not in ({', '.join(repr(k) for k in CUES)}))) > 0 or {_CALLS}) as covered from (select row_id, clarify_target.fields as f, {_x('$.question')} as q from handwritten_v0 where clarify_target is not null) where q is not null",
     "rule_rewrites": "select row_id, case when regexp_matches(user_request, '不用确认|直接写入|跳过确认') then 'bypass_confirmation' when len(regexp_extract_all(user_request, '[0-9]{1,2}:[0-9]{2}')) >= 2 then 'two_times' when regexp_matches(user_request, '单子|票据|发货单|合同') and not regexp_matches(user_request, '(DD|FP|HT|SH)[0-9]{6}') then 'missing_record_id' when regexp_matches(user_request, '统计|合计|平均') then 'aggregate' when regexp_matches(user_request, '[？?]$') then 'ask_result' else 'unchanged' end as code from handwritten_v0 where user_request is not null",
@@ -115,4 +99,4 @@ SQL = {
     "route_clauses": f"select row_id, coalesce(a, 'none') as first_route, coalesce(b, 'none') as second_route, case when a = b then a end as merged from (select row_id, {_WORDS.format('p[1]')} as a, {_WORDS.format('p[2]')} as b from (select row_id, {_SPLIT} as p from agent_route_pairwise_v5 where query is not null) where len(p) = 2 and length(p[1]) >= 5 and length(p[2]) >= 5)",
     "route_scores": "select adapter_version, coalesce(case when len(expected) > 1 and coalesce(len(routes), 0) = 0 then reason = 'multi_task' else list_sort(routes) = list_sort(expected) and error is null end, false) as right, correct, count(*) as n from route_rows r join (select id, arg_min_null(expected_routes, row_id) as expected from agent_route_pairwise_v5 group by 1) c on r.case_id = c.id group by 1, 2, 3",
 }
-QUERIES = {f.__name__: f for f in (gate_stages, score_verdicts, score_questions, rule_rewrites, route_decisions, route_clauses, route_scores)}
+QUERIES = {f.__name__: f for f in (score_verdicts, score_questions, rule_rewrites, route_decisions, route_clauses, route_scores)}
