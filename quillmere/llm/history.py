@@ -39,10 +39,10 @@ BITS, HASHES = 12, 5
 #: Batches that are merged into one level.
 MERGE = 16
 #: Ranges of up to so many old rows are laid out pair by pair, longer ones compared in tiles; and pairs laid out at once.
-FEW, PAIRS = 48, 2_000_000
+FEW, PAIRS = 512, 250_000
 
-LEVEL = "part int, keys binary, texts binary, first binary, uid binary, size binary, s0 binary, s1 binary, bits binary"
-_KINDS = {"keys": "<u4", "texts": "<u4", "uid": "<i8", "size": "<u4", "s0": "<u8", "s1": "<u8"}
+LEVEL = "part int, keys binary, texts binary, places binary, first binary, uid binary, size binary, s0 binary, s1 binary, bits binary"
+_KINDS = {"keys": "<u4", "texts": "<u4", "places": "<u1", "uid": "<i8", "size": "<u4", "s0": "<u8", "s1": "<u8"}
 
 
 def bloom_bits(keys: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ def level_of(held: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     at = np.argsort(held["key"].astype(np.uint64) << np.uint64(32) | rank[held["text"]].astype(np.uint64))
-    return {"keys": held["key"][at], "texts": rank[held["text"]][at], "first": held["first"][at], **{c: held[c][order] for c in ("uid", "size", "s0", "s1")}}
+    return {"keys": held["key"][at], "texts": rank[held["text"]][at], "places": held["place"][at], "first": held["first"][at], **{c: held[c][order] for c in ("uid", "size", "s0", "s1")}}
 
 
 def packed_level(part: int, level: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -85,16 +85,22 @@ def opened_level(row: dict) -> dict[str, np.ndarray]:
 
 
 def across(x: dict[str, np.ndarray], y: dict[str, np.ndarray], least: float, larger: bool, tile: int = TILE):
-    """Pairs (index in x's texts, in y's) with one key, of an index row of x and any row of y whose set isn't smaller (is larger, with ``larger``) and near enough."""
+    """Pairs (index in x's texts, in y's) with one key that are near enough, of an index row of x and a set of y that isn't
+    smaller, or (``larger``) of any row of x and an index row of a smaller set of y.  The work follows x, but for one look at y's rows."""
     size_x, size_y = x["size"].astype(np.int64), y["size"].astype(np.int64)
-    rows = np.flatnonzero(x["first"])
+    rows = np.arange(len(x["keys"])) if larger else np.flatnonzero(x["first"])
     key = x["keys"][rows].astype(np.uint64) << np.uint64(32)
     text = x["texts"][rows].astype(np.int64)
     of = size_x[text]
-    packed = y["keys"].astype(np.uint64) << np.uint64(32) | size_y[y["texts"]].astype(np.uint64)
-    low = np.searchsorted(packed, key | (of + larger).astype(np.uint64))
-    high = np.searchsorted(packed, key | np.minimum(np.floor(of / least + 1e-9), (1 << 32) - 1).astype(np.uint64), side="right")
-    n = np.maximum(0, high - low)
+    theirs = y["texts"][y["first"]] if larger else y["texts"]
+    packed = (y["keys"][y["first"]] if larger else y["keys"]).astype(np.uint64) << np.uint64(32) | size_y[theirs].astype(np.uint64)
+    least_of, most_of = (np.ceil(least * of - 1e-9), of - 1) if larger else (of, np.floor(of / least + 1e-9))
+    # at the first piece that two sets share, they have no more in common than what follows it
+    rest = of - x["places"][rows]
+    most_of = np.minimum(most_of, np.floor(rest * (1 + least) / least - of + 1e-6))
+    low = np.searchsorted(packed, key | least_of.astype(np.uint64))
+    high = np.searchsorted(packed, key | np.maximum(most_of, 0).astype(np.uint64), side="right")
+    n = np.where(most_of >= least_of, high - low, 0)
 
     def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         apart = np.bitwise_count(x["s0"][a] ^ y["s0"][b]).astype(np.int64) + np.bitwise_count(x["s1"][a] ^ y["s1"][b])
@@ -103,29 +109,46 @@ def across(x: dict[str, np.ndarray], y: dict[str, np.ndarray], least: float, lar
 
     short = np.flatnonzero((n > 0) & (n <= FEW))
     total = np.cumsum(n[short])
+    widest = np.minimum(128, radius(of, np.maximum(most_of, 0), least)).astype(np.uint8)
+    mine_0, mine_1, their_0, their_1 = x["s0"][text], x["s1"][text], y["s0"][theirs], y["s1"][theirs]
     begin = 0
     while begin < len(short):
         end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, side="right")))
         some = short[begin:end]
         c = n[some]
-        at = np.repeat(low[some] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-        yield near(np.repeat(text[some], c), y["texts"][at].astype(np.int64))
+        at = np.repeat((low[some] - (np.cumsum(c) - c)).astype(np.int32), c) + np.arange(int(c.sum()), dtype=np.int32)
+        apart = np.bitwise_count(np.repeat(mine_0[some], c) ^ their_0[at])
+        apart += np.bitwise_count(np.repeat(mine_1[some], c) ^ their_1[at])
+        # the radius for the largest set that a row may meet comes first, that for the pair's own sets after it
+        kept = np.flatnonzero(apart <= np.repeat(widest[some], c))
+        yield near(np.repeat(text[some], c)[kept], theirs[at[kept]].astype(np.int64))
         begin = end
     long = np.flatnonzero(n > FEW)
     if not len(long):
         return
     # rows of one key stand together, by size: up to a tile of them is compared with all that any of them may meet
     cuts = np.flatnonzero(np.concatenate([[True], key[long][1:] != key[long][:-1]]))
+    words, apart, other, close = np.empty((tile, 4 * tile), np.uint64), np.empty((tile, 4 * tile), np.uint8), np.empty((tile, 4 * tile), np.uint8), np.empty((tile, 4 * tile), bool)
     for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(long)], strict=True):
+        begin, last = int(low[long[s:e]].min()), int(high[long[s:e]].max())
+        every = theirs[begin:last].astype(np.int64)
+        s0, s1, sizes = y["s0"][every], y["s1"][every], size_y[every]
         for i in range(s, e, tile):
             mine = long[i : min(i + tile, e)]
-            a, x0, x1 = text[mine], x["s0"][text[mine]][:, None], x["s1"][text[mine]][:, None]
-            for j in range(int(low[mine[0]]), int(high[mine[-1]]), 4 * tile):
-                other = y["texts"][j : min(j + 4 * tile, int(high[mine[-1]]))].astype(np.int64)
-                apart = np.bitwise_count(x0 ^ y["s0"][other][None, :]) + np.bitwise_count(x1 ^ y["s1"][other][None, :])
-                r, c = np.divmod(np.flatnonzero(apart <= radius(size_x[a[-1]], size_y[other[-1]], least)), len(other))
-                inside = (j + c >= low[mine[r]]) & (j + c < high[mine[r]])
-                yield near(a[r[inside]], other[c[inside]])
+            a, m = text[mine], len(mine)
+            x0, x1, end = x["s0"][a][:, None], x["s1"][a][:, None], int(high[mine].max()) - begin
+            for j in range(int(low[mine].min()) - begin, end, 4 * tile):
+                k = min(4 * tile, end - j)
+                # buffers are kept: a tile's temporaries would cost more than its comparisons
+                w, p, q, ok = (buffer.reshape(-1)[: m * k].reshape(m, k) for buffer in (words, apart, other, close))
+                np.bitwise_count(np.bitwise_xor(x0, s0[None, j : j + k], out=w), out=p)
+                np.bitwise_count(np.bitwise_xor(x1, s1[None, j : j + k], out=w), out=q)
+                np.less_equal(np.add(p, q, out=p), np.uint8(min(128, radius(of[mine[-1]], sizes[j + k - 1], least))), out=ok)
+                if ok.any():
+                    r, c = np.divmod(np.flatnonzero(ok), k)
+                    at = begin + j + c
+                    inside = (at >= low[mine[r]]) & (at < high[mine[r]])
+                    yield near(a[r[inside]], every[j + c[inside]])
 
 
 class History:
@@ -185,13 +208,13 @@ class History:
         least, earlier = self.least, list(self.batches)
         if batch in earlier:
             raise ValueError(f"batch {batch} was accepted before")
-        blocks = bucket_blocks(texts.withColumn("side", F.lit(0)), self.common, least, self.parts, True)
+        blocks = bucket_blocks(texts.withColumn("side", F.lit(0)), self.common, least, self.parts, True, places=True)
 
         def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [opened_blocks(b) for b in batches]
             merged: dict[str, np.ndarray] = {}
             base = np.cumsum([0, *(len(h["uid"]) for h in held)])
-            for c in ("key", "first", "uid", "size", "s0", "s1"):
+            for c in ("key", "first", "place", "uid", "size", "s0", "s1"):
                 merged[c] = np.concatenate([h[c] for h in held])
             merged["text"] = np.concatenate([h["text"] + b for h, b in zip(held, base, strict=False)])
             yield packed_level(key[0].as_py(), level_of(merged))
@@ -224,7 +247,7 @@ class History:
             for x in (opened_level(r) for r in new.to_pylist()):
                 for i in range(old.num_rows):
                     y = opened_level(old.slice(i, 1).to_pylist()[0])
-                    both = np.concatenate([np.zeros(0, np.int64), *(a << 32 | b for a, b in across(x, y, least, False)), *(b << 32 | a for a, b in across(y, x, least, True))])
+                    both = np.concatenate([np.zeros(0, np.int64), *(a << 32 | b for a, b in across(x, y, least, False)), *(a << 32 | b for a, b in across(x, y, least, True))])
                     both = np.unique(both)
                     low.append(x["uid"][both >> 32])
                     high.append(y["uid"][both & 0xFFFFFFFF])
@@ -239,7 +262,7 @@ class History:
         def together(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             levels = [opened_level(r) for b in batches for r in b.to_pylist()]
             base = np.cumsum([0, *(len(x["uid"]) for x in levels)])
-            merged = {c: np.concatenate([x[c] for x in levels]) for c in ("first", "uid", "size", "s0", "s1")} | {"key": np.concatenate([x["keys"] for x in levels])}
+            merged = {c: np.concatenate([x[c] for x in levels]) for c in ("first", "uid", "size", "s0", "s1")} | {"key": np.concatenate([x["keys"] for x in levels]), "place": np.concatenate([x["places"] for x in levels])}
             merged["text"] = np.concatenate([x["texts"].astype(np.int64) + b for x, b in zip(levels, base, strict=False)])
             yield packed_level(key[0].as_py(), level_of(merged))
 

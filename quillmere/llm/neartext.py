@@ -19,7 +19,7 @@ CELL = 1 << 15
 #: Rows on a side of a tile.
 TILE = 256
 
-BLOCKS = "part int, uid binary, side binary, size binary, s0 binary, s1 binary, rows binary, low binary, high binary, first binary"
+BLOCKS = "part int, uid binary, side binary, size binary, s0 binary, s1 binary, rows binary, low binary, high binary, first binary, place binary"
 #: Bucket rows that one task compares; the number of parts follows from the number of texts.
 ROWS_PER_PART = 1_500_000
 
@@ -44,7 +44,7 @@ def rare_pieces(texts: list[str | None], common: Commonness, least: float, cell:
 
     Any two sets with similarity ``least`` or more share one of the first ``index_length`` pieces of the smaller and the
     first ``probe_length`` pieces of the larger, whatever order all texts' pieces are put in.  A text of one character has no
-    piece; the character takes its place, so that equal ones meet.
+    piece; the character takes its place, so that equal ones meet.  ``place`` is a piece's place in its text's order, 255 at most.
     """
     cps, lens = dense_points(texts)
     row, code = bigrams(cps, lens)
@@ -61,32 +61,34 @@ def rare_pieces(texts: list[str | None], common: Commonness, least: float, cell:
     place = np.arange(len(row)) - start[row]
     keep = place < probe_length(size, least)[row]
     row, packed, place = row[keep], packed[keep], place[keep]
+    near = np.minimum(place, 255).astype(np.uint8)
     key = packed & np.uint64((1 << 44) - 1)
     cells = common.cells((packed >> np.uint64(44) & np.uint64(63)).astype(np.int64), cell)
     first = place < index_length(size, least)[row]
     if (cells > 1).any():
-        row, key, first = in_cells(row, key, first, cells, sketch)
+        row, key, first, near = in_cells(row, key, first, near, cells, sketch)
     single = np.flatnonzero(lens == 1)
     if len(single):
         alone = mix(cps[(np.cumsum(lens) - lens)[single]].astype(np.uint64) + M2) >> np.uint64(20)
-        row, key, first = np.concatenate([row, single]), np.concatenate([key, alone]), np.concatenate([first, np.ones(len(single), bool)])
-    return {"row": row, "key": key, "first": first, "size": size, "sketch": sketch}
+        row, key, first, near = np.concatenate([row, single]), np.concatenate([key, alone]), np.concatenate([first, np.ones(len(single), bool)]), np.concatenate([near, np.zeros(len(single), np.uint8)])
+    return {"row": row, "key": key, "first": first, "place": near, "size": size, "sketch": sketch}
 
 
-def in_cells(at: np.ndarray, key: np.ndarray, first: np.ndarray, cells: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (text, key, flag) where a key with c cells becomes c keys: the text's own cell with each cell.
+def in_cells(at: np.ndarray, key: np.ndarray, first: np.ndarray, place: np.ndarray, cells: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (text, key, flag, place) where a key with c cells becomes c keys: the text's own cell with each cell.
 
     How many cells a key has follows from the corpus statistics, so all texts of the key agree, and any two meet in one bucket.
     """
     plain = cells <= 1
-    rows, keys, flags = [at[plain]], [key[plain]], [first[plain]]
+    rows, keys, flags, places = [at[plain]], [key[plain]], [first[plain]], [place[plain]]
     for i in np.flatnonzero(~plain).tolist():
         mine = np.uint64(int(mix(sketch[at[i] : at[i] + 1, 0] + np.uint64(1))[0]) % int(cells[i]))
         other = np.arange(cells[i], dtype=np.uint64)
         rows.append(np.full(cells[i], at[i]))
         keys.append(mix(key[i] ^ mix((np.minimum(other, mine) << np.uint64(20) | np.maximum(other, mine)) + np.uint64(1))) & np.uint64((1 << 44) - 1))
         flags.append(np.full(cells[i], first[i]))
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(flags)
+        places.append(np.full(cells[i], place[i]))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(flags), np.concatenate(places)
 
 
 def _labels(spark: SparkSession, parts: int) -> list[int]:
@@ -97,8 +99,8 @@ def _labels(spark: SparkSession, parts: int) -> list[int]:
     return [found.get(p, p) for p in range(parts)]
 
 
-def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int, crossing: bool, cell: int = CELL) -> DataFrame:
-    """(uid, side, text) -> blocks of bucket rows, in columns of bytes, one block for each chunk of texts and part of the keys.
+def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int, crossing: bool, cell: int = CELL, places: bool = False) -> DataFrame:
+    """(uid, side, text) -> blocks of bucket rows, in columns of bytes, one block for each chunk of texts and part of the keys; with the places of the pieces if they are asked for.
 
     Unless sides are to be crossed, texts of different sides get different keys and never meet.
     """
@@ -132,6 +134,7 @@ def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int
                     out["low"].append((key & 0xFFFF).astype("<u2").tobytes())
                     out["high"].append((key >> 16 & 0xFF).astype("<u1").tobytes())
                     out["first"].append(np.packbits(k["first"][mine]).tobytes())
+                    out["place"].append(k["place"][mine].tobytes() if places else b"")
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "part" else pa.binary()) for c, v in out.items()})
 
     return texts.select("uid", "side", "text").mapInArrow(make, BLOCKS)
@@ -139,7 +142,7 @@ def bucket_blocks(texts: DataFrame, common: Commonness, least: float, parts: int
 
 def opened_blocks(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """Columns of the texts of some blocks of one part, and of their bucket rows: key, text (its place among the texts) and flag."""
-    kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "rows": "<u4", "low": "<u2", "high": "<u1"}
+    kinds = {"uid": "<i8", "side": "<u1", "size": "<u4", "s0": "<u8", "s1": "<u8", "rows": "<u4", "low": "<u2", "high": "<u1", "place": "<u1"}
     got = {c: [np.frombuffer(v.as_py(), t) for v in batch.column(c)] for c, t in kinds.items()}
     first = [np.unpackbits(np.frombuffer(v.as_py(), np.uint8), count=len(k)).astype(bool) for v, k in zip(batch.column("first"), got["low"], strict=True)]
     made = {c: np.concatenate(v) if v else np.zeros(0, kinds[c]) for c, v in got.items()}
@@ -162,8 +165,8 @@ class _Part:
         got = opened_blocks(batch)
         got["text"] = got["text"] + self.texts
         self.texts += len(got["uid"])
-        for c, v in got.items():
-            self.held[c].append(v)
+        for c in self.held:
+            self.held[c].append(got[c])
 
     def pairs(self):
         if not self.texts:

@@ -240,17 +240,19 @@ def test_comparison_across_levels_equals_brute_force():
         size = rng.integers(3, 40, n)
         s = rng.integers(0, 1 << 6, (n, 2)).astype(np.uint64)
         text = np.repeat(np.arange(n), 4)
-        return level_of({"uid": np.arange(base, base + n), "size": size, "s0": s[:, 0], "s1": s[:, 1], "key": rng.integers(0, 5, 4 * n).astype(np.uint32), "text": text, "first": rng.random(4 * n) < 0.4})
+        return level_of({"uid": np.arange(base, base + n), "size": size, "s0": s[:, 0], "s1": s[:, 1], "key": rng.integers(0, 5, 4 * n).astype(np.uint32), "text": text, "first": rng.random(4 * n) < 0.4, "place": rng.integers(0, 4, 4 * n).astype(np.uint8)})
 
     x, y = level(400, 0), level(900, 1000)
     for larger in (False, True):
         got = {(int(a), int(b)) for p in across(x, y, 0.7, larger, 16) for a, b in zip(*p, strict=True)}
         want = set()
-        for i in np.flatnonzero(x["first"]):
+        for i in range(len(x["keys"])):
             for j in np.flatnonzero(y["keys"] == x["keys"][i]):
                 a, b = int(x["texts"][i]), int(y["texts"][j])
                 p, q = int(x["size"][a]), int(y["size"][b])
                 apart = bin(int(x["s0"][a] ^ y["s0"][b])).count("1") + bin(int(x["s1"][a] ^ y["s1"][b])).count("1")
-                if p + larger <= q <= p / 0.7 + 1e-9 and apart <= neartext.radius(p, q, 0.7):
+                fits = y["first"][j] and 0.7 * p - 1e-9 <= q < p if larger else x["first"][i] and p <= q <= p / 0.7 + 1e-9
+                room = (p - int(x["places"][i])) * 1.7 / 0.7 - p + 1e-6
+                if fits and q <= room and apart <= neartext.radius(p, q, 0.7):
                     want.add((a, b))
         assert got == want and len(want) > 1000
