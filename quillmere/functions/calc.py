@@ -39,6 +39,13 @@ def _apply(values: list[Decimal], mark: str) -> None:
         values.append(left + right if mark == "+" else left - right if mark == "-" else left * right)
 
 
+def _stopped(values: list[Decimal], marks: list[str]) -> _Fault:
+    """What a reader meets first where the syntax breaks after an operand: a division by a zero that it has just read, or the break."""
+    while marks and marks[-1] == "neg":
+        _apply(values, marks.pop())
+    return _Fault("division_by_zero" if marks and marks[-1] == "/" and values and values[-1] == 0 else "expression_syntax")
+
+
 def calculate(text: str | None) -> tuple[str | None, str | None]:
     """(value, code) of an expression; precedence is kept on two stacks, so depth costs no recursion."""
     if text is None:
@@ -54,7 +61,7 @@ def calculate(text: str | None) -> tuple[str | None, str | None]:
         for number, mark in LEXEMES(text):  # what is between them is white space
             if number:
                 if not operand_next:
-                    raise _Fault("expression_syntax")
+                    raise _stopped(values, marks)
                 value = Decimal(number)
                 if value > LARGEST:
                     raise _Fault("value_out_of_range")
@@ -81,9 +88,11 @@ def calculate(text: str | None) -> tuple[str | None, str | None]:
                 marks.append(mark)
                 operand_next = True
             else:
-                raise _Fault("expression_syntax")
-        if operand_next or "(" in marks:
+                raise _stopped(values, marks)
+        if operand_next:
             raise _Fault("expression_syntax")
+        if "(" in marks:
+            raise _stopped(values, marks)
         while marks:
             _apply(values, marks.pop())
         if abs(values[0]) > LARGEST:

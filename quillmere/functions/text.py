@@ -104,7 +104,7 @@ def ungrounded_clocks(text: Column, source: Column) -> Column:
 
 #: Marks of a second task, and the boundary between two tasks.
 SECOND_TASK = r"然后|同时|接着|顺便|再帮我|再查|另外还|并且|并帮|并创建|没解决就|修不好就|如果.{1,20}(解决不了|修不好|不行|没有用).{0,10}(找|联系|转|建)"
-BOUNDARY = r"\s*[，,；;]\s*(再|然后|接着|同时|并且|还要|另外)\s*"
+BOUNDARY = r"\s*[，,；;]\s*(?:再|然后|接着|同时|并且|还要|另外)\s*"
 
 
 def names_second_task(c: Column) -> Column:
@@ -120,3 +120,25 @@ def two_tasks(c: Column) -> Column:
 def time_value(c: Column) -> Column:
     """A minute timestamp, or null for anything that isn't one, 30 February and 25 o'clock included."""
     return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz"))
+
+
+#: Full-width letters, digits and signs, and their ordinary forms.
+WIDE, NARROW = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
+
+
+def plain_name(c: Column) -> Column:
+    """Ordinary instead of full-width characters, no outer space, lower case, one kind of separator."""
+    spaced = F.trim(F.regexp_replace(F.translate(c, WIDE, NARROW), r"(?U)\s+", " "))
+    return F.regexp_replace(F.lower(spaced), r"[ _\-\u2010\u2011]+", "_")
+
+
+def split_name(c: Column) -> Column:
+    """train, val, test or unseen_test, however it is written; null for anything else."""
+    name = plain_name(c)
+    return F.when(name.isin("valid", "validation", "dev"), "val").when(name.isin("train", "val", "test", "unseen_test"), name)
+
+
+def group_number(c: Column) -> Column:
+    """The last number of a template group's id without leading zeros; null if there is none."""
+    found = F.regexp_extract(F.translate(c, WIDE, NARROW), "0*([0-9]+)[^0-9]*$", 1)
+    return F.when(found != "", found)

@@ -51,3 +51,35 @@ def relative_date(phrase: Column, day: Column) -> Column:
         .when(phrase.rlike(full), made(part(full, 1), part(full, 2), part(full, 3)))
         .when(phrase.rlike(short), made(year, part(short, 1), part(short, 2)))
     )
+
+
+def resolved(now: Column, abs: Column | None = None, year: Column | None = None, month: Column | None = None, day: Column | None = None, edge: Column | None = None, weekday: Column | None = None, weeks: Column | None = None, days: Column | None = None, clock: Column | None = None) -> Column:
+    """The minute (``yyyy-MM-ddTHH:mm``) that a time slot means at a moment; the forms are tried in this order.
+
+    ``abs`` as it is; ``month`` with ``edge``: its first minute (start) or its last (end); ``month`` with ``day``; ``weekday`` (0 is Monday)
+    so many ``weeks`` from this one; so many ``days`` from today.  Years are this one unless given, clocks midnight.
+    What no calendar has (30 February, another edge) is null.
+    """
+    today = F.to_date(now)
+    at = clock if clock is not None else F.lit("00:00")
+    of_year = year if year is not None else F.year(today)
+
+    def date_of(m: Column, d: Column) -> Column:
+        return F.try_to_date(F.format_string("%04d-%02d-%02d", of_year.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd")
+
+    def written(d: Column, c: Column) -> Column:
+        return F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T"), c)
+
+    forms = []
+    if abs is not None:
+        forms.append(abs)
+    if month is not None and edge is not None:
+        first = date_of(month, F.lit(1))
+        forms.append(F.when(edge == "start", written(first, F.lit("00:00"))).when(edge == "end", written(F.last_day(first), F.lit("23:59"))))
+    elif month is not None and day is not None:
+        forms.append(written(date_of(month, day), at))
+    if weekday is not None:
+        forms.append(written(F.date_add(week_start(today), (7 * (weeks if weeks is not None else F.lit(0)) + weekday).cast("int")), at))
+    if days is not None:
+        forms.append(written(F.date_add(today, days.cast("int")), at))
+    return F.coalesce(*forms) if forms else F.lit(None).cast("string")

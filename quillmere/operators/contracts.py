@@ -33,16 +33,24 @@ def lint(schema: object, at: str = "#") -> list[tuple[str, str]]:
             re.compile(schema["pattern"])
         except (re.error, TypeError):
             out.append((f"{at}/pattern", "BAD_PATTERN"))
-    for k in ("items", "not", "if", "then", "else"):
-        if k in schema:
-            out += lint(schema[k], f"{at}/{k}")
+    for k, wanted in (("required", list), ("enum", list), ("allOf", list), ("anyOf", list), ("properties", dict)):
+        if not isinstance(schema.get(k, wanted()), wanted):
+            out.append((f"{at}/{k}", "BAD_SCHEMA_NODE"))
+    for where, node in nodes(schema):
+        out += lint(node, at + where)
+    return out
+
+
+def nodes(schema: dict) -> list[tuple[str, object]]:
+    """(place, schema) of the schemas directly inside one."""
+    out: list[tuple[str, object]] = [(f"/{k}", schema[k]) for k in ("items", "not", "if", "then", "else") if k in schema]
     if isinstance(schema.get("additionalProperties"), dict):
-        out += lint(schema["additionalProperties"], f"{at}/additionalProperties")
+        out.append(("/additionalProperties", schema["additionalProperties"]))
     for k in ("allOf", "anyOf"):
-        for i, s in enumerate(schema.get(k, [])):
-            out += lint(s, f"{at}/{k}/{i}")
-    for name, s in schema.get("properties", {}).items():
-        out += lint(s, f"{at}/properties/{name}")
+        if isinstance(schema.get(k), list):
+            out += [(f"/{k}/{i}", s) for i, s in enumerate(schema[k])]
+    if isinstance(schema.get("properties"), dict):
+        out += [(f"/properties/{k}", s) for k, s in schema["properties"].items()]
     return out
 
 
@@ -158,6 +166,11 @@ def _node(schema: dict, v: Column, t: Column, keys: Column | None, at: str) -> C
         if schema.get("additionalProperties") is False:
             extra = F.array_sort(F.array_except(keys, F.array(*(F.lit(k) for k in properties)).cast("array<string>")))
             checks.append(F.when(whole, F.transform(extra, lambda k: _error(F.concat(F.lit(f"{at}/"), k), "EXTRA_FIELD"))).otherwise(_none()))
+        elif isinstance(schema.get("additionalProperties"), dict):
+            # values of undeclared keys by one schema: the object as a map, each error below its key
+            others = F.map_filter(F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda k, _: ~k.isin(*properties) if properties else F.lit(True))
+            each = F.transform(F.map_entries(others), lambda e: F.transform(_compile(schema["additionalProperties"], e["value"], ""), lambda x: F.struct(F.concat(F.lit(f"{at}/"), e["key"], F.when(x["loc"] != "/", x["loc"]).otherwise(F.lit(""))).alias("loc"), x["code"].alias("code"))))
+            checks.append(F.when(whole, F.flatten(each)).otherwise(_none()))
         if "minProperties" in schema:
             checks.append(_when(whole & (F.size(keys) < schema["minProperties"]), loc, "MIN_PROPERTIES"))
     for name, sub in properties.items():

@@ -15,31 +15,36 @@ def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), grams.alias("grams")).where(F.size("grams") > 0)
 
 
+#: Rows of one piece that may meet in one task; a commoner piece's rows are dealt out to cells of about this size.
+CELL = 20_000
+
+
 def _prefixes(sets: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """The rarest pieces of each set, so many that two sets with similarity ``least`` share one of them."""
+    """The rarest pieces of each set, so many that two sets with similarity ``least`` share one of them, with the piece's cells."""
     n = F.size("grams")
     exact = F.lit(least).cast("decimal(6,4)")
-    keep = n - F.ceil(n * exact) + 1
-    ranked = sets.select("id", "grams", F.explode("grams").alias("gram")).join(frequency, "gram").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "gram")))
-    return ranked.where(F.col("place") <= keep).select("id", "gram", n.alias("n"))
+    each = sets.select("id", n.alias("n"), (n - F.ceil(n * exact) + 1).alias("keep"), F.explode("grams").alias("gram"))
+    ranked = each.join(frequency, "gram").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "gram")))
+    return ranked.where(F.col("place") <= F.col("keep")).select("id", "gram", "n", F.ceil(F.col("df") / CELL).cast("int").alias("cells"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None, key: str, text: str, least: float, most_apart: int | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs with similarity ``least`` or more; without ``right`` pairs within ``left``, a < b.
 
     Lossless: two such sets share one of their rarest ``n - ceil(least * n) + 1`` pieces under any common order.
-    ``most_apart`` leaves out pairs whose set sizes differ by more, as a leakage audit may define.
+    ``most_apart`` leaves out pairs whose set sizes differ by more, as a leakage audit may define.  A left row stands in
+    one cell of each of its pieces, a right row in all of them, so no task holds all rows of a common piece.
     """
     a = _prepared(left, key, text)
     b = a if right is None else _prepared(right, key, text)
     both = a if right is None else a.unionAll(b)
     frequency = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    pa = _prefixes(a, frequency, least).select("gram", F.col("id").alias("a"), F.col("n").alias("na"))
-    pb = _prefixes(b, frequency, least).select("gram", F.col("id").alias("b"), F.col("n").alias("nb"))
+    pa = _prefixes(a, frequency, least).select("gram", F.col("id").alias("a"), F.col("n").alias("na"), F.pmod(F.hash("id"), F.col("cells")).alias("cell"))
+    pb = _prefixes(b, frequency, least).select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
     fits = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9) & (F.lit(True) if right is not None else F.col("a") < F.col("b"))
     if most_apart is not None:
         fits = fits & (F.abs(F.col("na") - F.col("nb")) <= most_apart)
-    pairs = pa.join(pb, "gram").where(fits).select("a", "b").distinct()
+    pairs = pa.join(pb, ["gram", "cell"]).where(fits).select("a", "b").distinct()
     with_sets = pairs.join(a.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(b.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     return with_sets.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions.jsonvalue import strict_json
-from quillmere.functions.text import PUNCTUATION, time_value
+from quillmere.functions.text import PUNCTUATION, split_name, time_value
 from quillmere.operators.chain import case_codes, decision_errors, decision_parts, document_codes, execution_audit, gate
 from quillmere.operators.contracts import interval_faults
 from quillmere.plans.contracts import ACTIONS, DECISION, TOOLS
 from quillmere.plans.contracts import decision_rules as form_rules
+from quillmere.plans.contracts import split_sql
 from quillmere.session import table
 
 RECORD = "(DD|FP|HT|SH)[0-9]{6}"
@@ -106,7 +107,7 @@ def v28_coverage(spark: SparkSession, sf: str) -> DataFrame:
     get = lambda p: F.get_json_object("expected_decision", p)
     each = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("action", get("$.action")), ("tool", get("$.tool")), ("category", F.col("category")))))
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("value")))
-    seen = _cases(spark, sf).select("split", F.explode(F.concat(each, tags)).alias("e")).select("split", "e.kind", "e.value").distinct()
+    seen = _cases(spark, sf).select(split_name(F.col("split")).alias("split"), F.explode(F.concat(each, tags)).alias("e")).select("split", "e.kind", "e.value").distinct()
     wanted = spark.createDataFrame([(s, k, v) for s in SPLITS for k, vs in (("action", ACTIONS), ("tool", TOOLS), ("category", CATEGORIES), ("tag", TAGS)) for v in vs], "split string, kind string, value string")
     return wanted.join(seen, ["split", "kind", "value"], "left_anti")
 
@@ -238,6 +239,6 @@ SQL = {
             case when stage = 'executed' and list_contains(tags, 'normal_call') and not list_contains(tags, 'nonexistent_record') and st in ('not_found', 'no_data') then 'GOLD_EMPTY_RESULT' end, case when stage = 'executed' and st = 'rejected' then 'GOLD_REJECTED' end], lambda v: v is not null)) as code from y""",
     "v20_case_rules": _case_sql(),
     "v21_document_rules": _document_sql(),
-    "v28_coverage": f"select s.split, w.kind, w.value from (select unnest({SPLITS}) as split) s, (values {_WANTED}) w(kind, value) where not exists (select 1 from (select split, 'action' as kind, {_A} as value from handwritten_v0 union select split, 'tool', {_T} from handwritten_v0 union select split, 'category', category from handwritten_v0 union select split, 'tag', unnest(tags) from handwritten_v0) h where h.split = s.split and h.kind = w.kind and h.value = w.value)",
+    "v28_coverage": f"select s.split, w.kind, w.value from (select unnest({SPLITS}) as split) s, (values {_WANTED}) w(kind, value) where not exists (select 1 from (select {split_sql('split')} as split, 'action' as kind, {_A} as value from handwritten_v0 union select {split_sql('split')}, 'tool', {_T} from handwritten_v0 union select {split_sql('split')}, 'category', category from handwritten_v0 union select {split_sql('split')}, 'tag', unnest(tags) from handwritten_v0) h where h.split = s.split and h.kind = w.kind and h.value = w.value)",
 }
 QUERIES = {f.__name__: f for f in (v18_interval_semantics, v18_argument_intervals, v19_decision_chain, gate_stages, audit_executions, v20_case_rules, v21_document_rules, v28_coverage)}

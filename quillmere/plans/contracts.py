@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions.jsonvalue import strict_json
+from quillmere.functions.text import NARROW, WIDE, group_number, plain_name, split_name
 from quillmere.operators.contracts import compile_schema
 from quillmere.session import table
 
@@ -60,27 +61,50 @@ def v22_table_lint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v25_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    """Cases against their template group: unknown group, other category, other split, missing seed or source."""
-    groups = table(spark, sf, "groups_clarify").groupBy("id").agg(F.min("category").alias("g_category"), F.min("split").alias("g_split")).withColumnRenamed("id", "g_id")
-    c = table(spark, sf, "handwritten_v0").join(groups, F.col("template_group") == F.col("g_id"), "left")
+    """Cases against their template group, ways of writing unified: repeated id, unknown group, other category, other split, missing seed, source or group."""
+    g = table(spark, sf, "groups_clarify").select(group_number(F.col("id")).alias("g_id"), plain_name(F.col("category")).alias("g_category"), split_name(F.col("split")).alias("g_split"))
+    groups = g.where("g_id is not null").groupBy("g_id").agg(F.min("g_category").alias("g_category"), F.min("g_split").alias("g_split"))
+    cases = table(spark, sf, "handwritten_v0").withColumn("_group", group_number(F.col("template_group")))
+    # a repeated id is known by its first row, so ids are aggregated and not sorted in a window
+    first = cases.groupBy("id").agg(F.min("row_id").alias("_first")).withColumnRenamed("id", "_id")
+    c = cases.join(groups, F.col("_group") == F.col("g_id"), "left").join(first, F.col("id").eqNullSafe(F.col("_id")), "left")
     rules = [
-        F.when(F.col("g_id").isNull(), "GROUP_UNKNOWN"),
-        F.when(F.col("category") != F.col("g_category"), "CATEGORY_DRIFT"),
-        F.when(F.col("split") != F.col("g_split"), "GROUP_SPLIT_DRIFT"),
-        F.when(F.col("seed").isNull() | F.col("source").isNull(), "PROVENANCE_MISSING"),
+        F.when(F.col("row_id") > F.col("_first"), "DUPLICATE_ID"),
+        F.when(F.col("_group").isNotNull() & F.col("g_id").isNull(), "GROUP_UNKNOWN"),
+        F.when(plain_name(F.col("category")) != F.col("g_category"), "CATEGORY_DRIFT"),
+        F.when(split_name(F.col("split")) != F.col("g_split"), "GROUP_SPLIT_DRIFT"),
+        F.when(F.col("split").isNotNull() & split_name(F.col("split")).isNull(), "SPLIT_UNKNOWN"),
+        F.when(F.col("seed").isNull() | F.col("source").isNull() | F.col("_group").isNull(), "PROVENANCE_MISSING"),
     ]
     return c.select("row_id", F.explode(F.array_compact(F.array(*rules))).alias("code"))
 
 
 def v28_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Splits against the wanted shares of rows."""
+    """Splits, however written, against the wanted shares of rows."""
     bounds = spark.createDataFrame([("train", 0.5, 0.7), ("val", 0.1, 0.11), ("test", 0.1, 0.2), ("unseen_test", 0.2, 0.3)], "split string, low double, high double")
-    rows = table(spark, sf, "handwritten_v0")
+    rows = table(spark, sf, "handwritten_v0").select(split_name(F.col("split")).alias("split"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     shares = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     return bounds.join(shares, "split", "left").crossJoin(total).select("split", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).between(F.col("low"), F.col("high")).alias("within"))
 
 
+def plain_sql(c: str) -> str:
+    spaced = f"regexp_replace({narrow_sql(c)}, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')"
+    return f"regexp_replace(lower(trim({spaced})), '[ _\\-\\x{{2010}}\\x{{2011}}]+', '_', 'g')"
+
+
+def narrow_sql(c: str) -> str:
+    return f"translate({c}, '{WIDE}', '{NARROW.replace(chr(39), chr(39) * 2)}')"
+
+
+def split_sql(c: str) -> str:
+    return f"case when {plain_sql(c)} in ('valid', 'validation', 'dev') then 'val' when {plain_sql(c)} in ('train', 'val', 'test', 'unseen_test') then {plain_sql(c)} end"
+
+
+def group_sql(c: str) -> str:
+    return f"nullif(regexp_extract({narrow_sql(c)}, '0*([0-9]+)[^0-9]*$', 1), '')"
+
+
 _D = "(select case when json_valid(expected_decision) then expected_decision end as d from handwritten_v0)"
 _ACT = "json_extract_string(d, '$.action')"
 _HAS = "list_contains(json_keys(d), '{0}')"
@@ -111,7 +135,7 @@ SQL = {
     "v_decision_errors": "select loc, code, n from (" + " union all ".join(f"select '{loc}' as loc, '{code}' as code, count(*) filter (coalesce({rule}, false)) as n from {_D}" for loc, code, rule in _RULES) + f") where n > 0 union all {_EXTRA}",
     "v_event_properties": "select event_id, '/k' as loc, case when not list_contains(json_keys(props), 'k') then 'MISSING_REQUIRED' when json_type(props, '$.k') not in ('BIGINT', 'UBIGINT') then 'TYPE_MISMATCH' else 'ENUM_MISMATCH' end as code from events where json_valid(props) and (not list_contains(json_keys(props), 'k') or json_type(props, '$.k') not in ('BIGINT', 'UBIGINT') or cast(json_extract(props, '$.k') as bigint) not between 0 and 9) union all select event_id, '/' || k, 'EXTRA_FIELD' from (select event_id, unnest(json_keys(props)) as k from events where json_valid(props)) where k <> 'k'",
     "v22_table_lint": "select 'orders.status' as rule, count(*) filter (o_orderstatus is null or o_orderstatus not in ('O', 'F', 'P')) as broken from orders union all select 'probes.id_pattern', count(*) filter (not coalesce(regexp_full_match(id, 'PB-[0-9]{4}'), false)) from frozen_probes union all select 'groups.two_phrasings', count(*) filter (len(phrasings) < 2) from groups_clarify union all select 'documents.n_chars', count(*) filter (n_chars <> length(text)) from documents union all select 'results.latency', count(*) filter (not coalesce(latency_ms >= model_latency_ms, false)) from route_rows union all select 'lineitem.order', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders)",
-    "v25_provenance": "with g as (select id, min(category) as gc, min(split) as gs from groups_clarify group by 1) select row_id, unnest(list_filter([case when g.id is null then 'GROUP_UNKNOWN' end, case when category <> gc then 'CATEGORY_DRIFT' end, case when split <> gs then 'GROUP_SPLIT_DRIFT' end, case when seed is null or source is null then 'PROVENANCE_MISSING' end], lambda v: v is not null)) as code from handwritten_v0 h left join g on h.template_group = g.id",
-    "v28_targets": "select b.split, coalesce(n, 0) as n, coalesce(n, 0) / (select count(*) from handwritten_v0) between low and high as within from (values ('train', 0.5, 0.7), ('val', 0.1, 0.11), ('test', 0.1, 0.2), ('unseen_test', 0.2, 0.3)) b(split, low, high) left join (select split, count(*) as n from handwritten_v0 group by 1) s on b.split = s.split",
+    "v25_provenance": f"with g as (select g, min(c) as gc, min(s) as gs from (select {group_sql('id')} as g, {plain_sql('category')} as c, {split_sql('split')} as s from groups_clarify) where g is not null group by 1), h as (select row_id, seed, source, split, {group_sql('template_group')} as n, {plain_sql('category')} as c, {split_sql('split')} as s, min(row_id) over (partition by id) as f from handwritten_v0) select row_id, unnest(list_filter([case when row_id > f then 'DUPLICATE_ID' end, case when n is not null and g.g is null then 'GROUP_UNKNOWN' end, case when c <> gc then 'CATEGORY_DRIFT' end, case when s <> gs then 'GROUP_SPLIT_DRIFT' end, case when split is not null and s is null then 'SPLIT_UNKNOWN' end, case when seed is null or source is null or n is null then 'PROVENANCE_MISSING' end], lambda v: v is not null)) as code from h left join g on h.n = g.g",
+    "v28_targets": f"select b.split, coalesce(n, 0) as n, coalesce(n, 0) / (select count(*) from handwritten_v0) between low and high as within from (values ('train', 0.5, 0.7), ('val', 0.1, 0.11), ('test', 0.1, 0.2), ('unseen_test', 0.2, 0.3)) b(split, low, high) left join (select {split_sql('split')} as split, count(*) as n from handwritten_v0 group by 1) s on b.split = s.split",
 }
 QUERIES = {f.__name__: f for f in (v_decision_errors, v_event_properties, v22_table_lint, v25_provenance, v28_targets)}

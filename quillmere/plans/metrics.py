@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmere.operators.metrics import rate, summary_sets, thousandths_mean
+from quillmere.operators.metrics import ranked_percentiles, rate, summary_sets, thousandths_mean
 from quillmere.session import table
 
 
@@ -49,10 +49,14 @@ def a4_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a5_latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact percentiles with linear interpolation, for small groups; a ten-millionth is added so that ties round up."""
-    at = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    made = table(spark, sf, "route_rows").where("latency_ms between 0 and 100000").groupBy("adapter_version", "run_day").agg(F.count(F.lit(1)).alias("n"), at.alias("at"))
-    return made.select("adapter_version", "run_day", "n", F.round(F.col("at")[0] + 1e-7, 3).alias("p50"), F.round(F.col("at")[1] + 1e-7, 3).alias("p95"))
+    """Exact percentiles of all latencies of each version and day, with linear interpolation, unrounded."""
+    made = ranked_percentiles(table(spark, sf, "route_rows"), ["adapter_version", "run_day"], "latency_ms", "row_id", [0.5, 0.95])
+    return made.select("adapter_version", "run_day", "n", F.col("at")[0].alias("p50"), F.col("at")[1].alias("p95"))
+
+
+def a5_latency_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each version and whether it was right: rows, rows with a latency, and the mean in thousandths of a millisecond, rounded half up."""
+    return table(spark, sf, "route_rows").groupBy("adapter_version", "correct").agg(F.count(F.lit(1)).alias("n"), F.count("latency_ms").alias("timed"), thousandths_mean(F.col("latency_ms")).alias("mean_us"))
 
 
 def a6_tag_distribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +141,8 @@ SQL = {
     "a2_rollup": f"select category, cast(grouping(category) as bigint) as level, count(*) as n, round_even(count(*) filter (correct) / count(*), 4) as correct_rate, cast(max(len(routes)) as int) as most_routes from {_RESULTS} group by grouping sets ((), (category))",
     "a3_paired": "with l as (select case_id, adapter_version, arg_max_null(correct, row_id) as ok from route_rows where adapter_version in ('v2', 'v3') and case_id is not null group by 1, 2) select count(*) as cases, count(*) filter (a.ok) as right_a, count(*) filter (b.ok) as right_b, count(*) filter (a.ok and b.ok) as both, count(*) filter (a.ok <> b.ok) as changed from l a join l b on a.case_id = b.case_id and a.adapter_version = 'v2' and b.adapter_version = 'v3'",
     "a4_confusion": f"select array_to_string(list_sort(expected_routes), '+') as expected, coalesce(array_to_string(list_sort(routes), '+'), 'none') as actual, count(*) as n from {_RESULTS} where expected_routes is not null group by 1, 2",
-    "a5_latency_percentiles": "select adapter_version, run_day, count(*) as n, round(quantile_cont(latency_ms, 0.5) + 1e-7, 3) as p50, round(quantile_cont(latency_ms, 0.95) + 1e-7, 3) as p95 from route_rows where latency_ms between 0 and 100000 group by 1, 2",
+    "a5_latency_percentiles": "with r as (select adapter_version, run_day, latency_ms as v, row_number() over (partition by adapter_version, run_day order by latency_ms, row_id) - 1 as k, count(*) over (partition by adapter_version, run_day) as n from route_rows where latency_ms is not null), e as (select adapter_version, run_day, n, max(v) filter (k = floor((n - 1) * 0.5::double)) as l50, max(v) filter (k = ceil((n - 1) * 0.5::double)) as h50, max(v) filter (k = floor((n - 1) * 0.95::double)) as l95, max(v) filter (k = ceil((n - 1) * 0.95::double)) as h95 from r group by all) select adapter_version, run_day, n, l50 + (h50 - l50) * ((n - 1) * 0.5::double - floor((n - 1) * 0.5::double)) as p50, l95 + (h95 - l95) * ((n - 1) * 0.95::double - floor((n - 1) * 0.95::double)) as p95 from e",
+    "a5_latency_means": "select adapter_version, correct, count(*) as n, count(latency_ms) as timed, case when count(latency_ms) > 0 then cast(floor((2 * sum(cast(round(latency_ms * 1000) as bigint)) + count(latency_ms)) / (2 * count(latency_ms))) as bigint) end as mean_us from route_rows group by 1, 2",
     "a6_tag_distribution": "select split, tag, count(*) as n from (select split, unnest(tags) as tag from handwritten_v0) group by 1, 2",
     "a6_split_distribution": "select split, count(*) as samples, count(distinct template_group) as groups, count(distinct category) as categories, round_even(count(*) filter (json_valid(expected_decision) and json_extract_string(expected_decision, '$.action') = 'refuse') / count(*), 4) as refuse_ratio from handwritten_v0 group by 1",
     "a7_length_stats": "select lang, cast(min(length(text)) as int) as shortest, cast(max(length(text)) as int) as longest, cast(sum(length(text)) // count(text) as bigint) as floor_mean from documents group by 1",
@@ -153,4 +158,4 @@ SQL = {
     "a17_first_per_category": "select category, row_id as first_row, id as first_id from (select *, row_number() over (partition by category order by row_id) as rn from handwritten_v0) where rn = 1",
     "a18_actions_per_split": "select split, array_to_string(list_sort(list_distinct(list(case when json_valid(expected_decision) then json_extract_string(expected_decision, '$.action') end))), ',') as actions, count(*) as n from handwritten_v0 group by 1",
 }
-QUERIES = {f.__name__: f for f in (a1_summary, a2_rollup, a3_paired, a4_confusion, a5_latency_percentiles, a6_tag_distribution, a6_split_distribution, a7_length_stats, a8_over_budget, a9_top_reasons, a10_status_counts, a11_registry_coverage, a12_group_phrasings, a13_best_day, a14_delta, a15_check_tally, a16_longest_so_far, a17_first_per_category, a18_actions_per_split)}
+QUERIES = {f.__name__: f for f in (a1_summary, a2_rollup, a3_paired, a4_confusion, a5_latency_percentiles, a5_latency_means, a6_tag_distribution, a6_split_distribution, a7_length_stats, a8_over_budget, a9_top_reasons, a10_status_counts, a11_registry_coverage, a12_group_phrasings, a13_best_day, a14_delta, a15_check_tally, a16_longest_so_far, a17_first_per_category, a18_actions_per_split)}

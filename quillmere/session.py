@@ -28,10 +28,12 @@ def build_session(app: str = "quillmere", cpus: int | str = "*", memory: str = "
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Only where the setting is absent and the session is local, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quillmere-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quillmere/{uuid.uuid4().hex}/{name}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,6 +40,25 @@ def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").json(path)
 
 
+def write_documents(df: DataFrame, path: str, by: str, order: Sequence[str], field: str) -> None:
+    """One readable JSON document for each value of ``by``: ``{"field": [...]}``, rows in the order of ``order``, keys of a row in order of name, nulls named.
+
+    A document is one file below ``of_by=value``, so one task writes it, line by line from a sort that spills; documents are
+    for small and middling parts, ``write_lines`` for large ones.  An existing target is an error.
+    """
+
+    def text(c: str) -> Column:
+        whole = F.to_json(F.struct(F.col(c).alias("v")))
+        return F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.substr(whole, F.lit(6), F.length(whole) - 6))
+
+    row = F.concat(F.lit("    {"), F.concat_ws(", ", *(F.concat(F.lit(f'"{c}": '), text(c)) for c in sorted(df.columns))), F.lit("}"))
+    key = F.struct(*order)
+    ends = df.groupBy(F.col(by).alias("_by")).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    made = df.withColumn("_key", key).withColumn("_row", row).join(ends, F.col(by).eqNullSafe(F.col("_by")), "left")
+    line = F.concat(F.when(F.col("_key") == F.col("_first"), F.lit(f'{{\n  "{field}": [\n')).otherwise(F.lit("")), F.col("_row"), F.when(F.col("_key") == F.col("_last"), F.lit("\n  ]\n}")).otherwise(F.lit(",")))
+    made.select(F.coalesce(F.col(by).cast("string"), F.lit("null")).alias(f"of_{by}"), "_key", line.alias("value")).repartition(F.col(f"of_{by}")).sortWithinPartitions(f"of_{by}", "_key").drop("_key").write.partitionBy(f"of_{by}").mode("errorifexists").text(path)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of every file below a path."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

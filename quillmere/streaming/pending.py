@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed value: seconds in which a token can be confirmed.
 LIMIT = 600
+#: Seconds after its issue for which a token is known to a stream with a watermark.
+KEPT = 86400
 OUTCOMES = "user_id long, confirm_id long, token long, outcome string"
 
 
@@ -34,26 +36,48 @@ def confirmations(events: DataFrame, limit: int = LIMIT) -> DataFrame:
     return judged.select("user_id", "confirm_id", "token", outcome.alias("outcome"))
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    token, at, used = state.get if state.exists else (None, None, False)
-    rows = pd.concat(list(frames)).sort_values(["us", "event_id"])  # one user's events of one micro-batch
-    out = []
-    for event, us, kind in rows[["event_id", "us", "kind"]].itertuples(index=False):
-        if kind == "issue":
-            token, at, used = int(event), int(us), False
-        elif token is None:
-            out.append((key[0], int(event), None, "unknown"))
-        elif us - at > LIMIT * 1000000:
-            out.append((key[0], int(event), token, "expired"))
-        else:
-            out.append((key[0], int(event), token, "replayed" if used else "confirmed"))
-            used = True
-    if token is not None:
-        state.update((token, at, used))
-    yield pd.DataFrame(out, columns=["user_id", "confirm_id", "token", "outcome"]).astype({"token": "Int64"})
-
-
-def confirmations_stream(events: DataFrame) -> DataFrame:
-    """The same on a stream; only the latest token of each user is state."""
-    rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "kind")
-    return rows.groupBy("user_id").applyInPandasWithState(_advance, OUTCOMES, "token long, at long, used boolean", "append", GroupStateTimeout.NoTimeout)
+def _advancing(limit: int):
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        token, at, used = state.get if state.exists else (None, None, False)
+        none = pd.DataFrame([], columns=["user_id", "confirm_id", "token", "outcome"]).astype({"token": "Int64"})
+        if state.hasTimedOut:
+            # past the limit a token can only expire; its number and moment are all that a late confirm needs
+            state.remove()
+            yield none
+            return
+        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])  # one user's events of one micro-batch
+        out = []
+        for event, us, kind in rows[["event_id", "us", "kind"]].itertuples(index=False):
+            if kind == "issue":
+                token, at, used = int(event), int(us), False
+            elif token is None:
+                out.append((key[0], int(event), None, "unknown"))
+            elif us - at > limit * 1000000:
+                out.append((key[0], int(event), token, "expired"))
+            else:
+                out.append((key[0], int(event), token, "replayed" if used else "confirmed"))
+                used = True
+        if token is not None:
+            state.update((token, at, used))
+            if timed(state):
+                state.setTimeoutTimestamp(max(at // 1000 + KEPT * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=none.columns).astype({"token": "Int64"}) if out else none
+
+    def timed(state: GroupState) -> bool:
+        return state._timeout_conf == GroupStateTimeout.EventTimeTimeout
+
+    return advance
+
+
+def confirmations_stream(events: DataFrame, limit: int = LIMIT, delay: str | None = None) -> DataFrame:
+    """The same on a stream; only the latest token of each user is state.
+
+    With ``delay`` (how late events may come) the watermark drops a token KEPT seconds after its issue; a confirm after
+    that is unknown instead of expired.  Without it state stays, so that replays equal the batch form.  Events of one
+    user are in order within a micro-batch and across micro-batches as they come.
+    """
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    if delay:
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    rows = events.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "kind")
+    return rows.groupBy("user_id").applyInPandasWithState(_advancing(limit), OUTCOMES, "token long, at long, used boolean", "append", timeout)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from quillmere.functions import text as X
 from quillmere.functions.calc import calculate, evaluated
 from quillmere.functions.jsonvalue import canonical_text, strict_json
-from quillmere.functions.timeexpr import month_edges, relative_date, weekday_in_weeks
+from quillmere.functions.text import group_number, split_name, time_value
+from quillmere.functions.timeexpr import month_edges, relative_date, resolved, weekday_in_weeks
 
 
 def values(spark, rows, *columns):
@@ -125,3 +126,21 @@ def test_ungrounded_times_read_whole_texts(spark):
     ]
     rows = spark.createDataFrame([(i, r, q, None if n is None else (n,)) for i, r, q, n in cases], "row_id long, rationale string, user_request string, context struct<now string>")
     assert {r["row_id"]: r["ungrounded"] for r in ungrounded_rationales(rows).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 7: 0}
+
+
+@pytest.mark.parametrize("text, code", [("1/0 2", "division_by_zero"), ("1/0(", "division_by_zero"), ("1/(0)5", "division_by_zero"), ("1/-0 2", "division_by_zero"), ("1/2 3", "expression_syntax"), ("(1/0", "division_by_zero"), ("(1/2", "expression_syntax"), ("1/", "expression_syntax"), ("2*0 1", "expression_syntax")])
+def test_a_division_comes_before_the_break(text, code):
+    assert calculate(text) == (None, code)
+
+
+def test_names_however_written(spark):
+    rows = spark.createDataFrame([(" Ｖalid ", "TG-007"), ("UNSEEN-test", "tg＿０４２ x"), ("dev", "none"), (None, None), ("nope", "0")], "s string, g string")
+    got = [r[:] for r in rows.select(split_name(F.col("s")), group_number(F.col("g"))).collect()]
+    assert got == [("val", "7"), ("unseen_test", "42"), ("val", None), (None, None), (None, "0")]
+
+
+def test_resolved_time_slots(spark):
+    moment = time_value(F.lit("2026-02-18T10:00"))
+    slot = lambda **k: resolved(moment, **{n: F.lit(v) for n, v in k.items()})
+    got = spark.range(1).select(slot(abs="2026-01-01T00:00"), slot(month=2, edge="end"), slot(month=12, edge="start", year=2027), slot(month=2, day=30), slot(month=3, day=5, clock="08:15"), slot(weekday=2, weeks=1, clock="09:00"), slot(days=-3), slot(month=1, edge="middle")).first()
+    assert got[:] == ("2026-01-01T00:00", "2026-02-28T23:59", "2027-12-01T00:00", None, "2026-03-05T08:15", "2026-02-25T09:00", "2026-02-15T00:00", None)

@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.sources.files import file_digests, markdown_lines, markdown_rows, read_document, read_lines, read_tolerant, write_lines
+from quillmere.sources.files import file_digests, markdown_lines, markdown_rows, read_document, read_lines, read_tolerant, write_documents, write_lines
 from quillmere.streaming.pending import confirmations, confirmations_stream
-from quillmere.streaming.resume import append_new, run_once
+from quillmere.streaming.resume import append_new, first_of_each, run_once
 
 
 def test_documents_and_lines(spark, tmp_path):
@@ -60,3 +60,36 @@ def test_confirmations_in_batch_and_stream(spark, tmp_path):
     events.where("s >= 150").coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(events.schema).option("latestFirst", False).parquet(folder)
     assert sorted(r[:] for r in run_once(confirmations_stream(stream), "pending").collect()) == OUTCOMES
+
+
+def test_documents_are_readable_and_ordered(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(2, "b", 'x": ,"y', None), (1, "b", None, ["q"]), (3, None, "z", [])], "n int, part string, t string, l array<string>")
+    write_documents(rows, str(tmp_path / "out"), "part", ["n"], "samples")
+    texts = {f.parent.name: f.read_text() for f in (tmp_path / "out").rglob("part-*.txt")}
+    assert json.loads(texts["of_part=b"]) == {"samples": [{"l": ["q"], "n": 1, "part": "b", "t": None}, {"l": None, "n": 2, "part": "b", "t": 'x": ,"y'}]}
+    assert json.loads(texts["of_part=null"]) == {"samples": [{"l": [], "n": 3, "part": None, "t": "z"}]}
+    assert list(json.loads(texts["of_part=b"])["samples"][0]) == ["l", "n", "part", "t"]
+
+
+def test_a_log_goes_on_with_its_own_settings_only(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "id int")
+    append_new(rows, str(tmp_path / "log"), ["id"], {"model": "a", "seed": "1"})
+    append_new(rows, str(tmp_path / "log"), ["id"], {"seed": "1", "model": "a"})
+    with pytest.raises(ValueError, match="seed"):
+        append_new(rows, str(tmp_path / "log"), ["id"], {"model": "a", "seed": "2"})
+    assert spark.read.schema("id int").json(str(tmp_path / "log")).count() == 1
+
+
+def test_stream_limit_and_watermark(spark, tmp_path):
+    events = _events(spark)
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    shorter = {r["confirm_id"]: r["outcome"] for r in run_once(confirmations_stream(stream, 50), "short").collect()}
+    assert shorter == {r["confirm_id"]: r["outcome"] for r in confirmations(events, 50).collect()} and shorter[2] == "expired"
+    later = stream.withColumn("ts", F.col("ts") + F.expr("interval 400 days"))  # a watermark begins at the epoch
+    kept = sorted(r[:] for r in run_once(confirmations_stream(later, delay="1 hour"), "watermark").collect())
+    assert kept == OUTCOMES
+    firsts = run_once(first_of_each(later.withColumn("s", F.col("ts")), ["user_id", "kind"], "s", "1 hour"), "firsts")
+    assert firsts.count() == 4

@@ -213,3 +213,51 @@ def test_manifest_and_input_drift(spark):
     stored = spark.createDataFrame([("1", "p"), ("2", "q"), ("3", None), ("4", "s")], "id string, input string")
     rendered = spark.createDataFrame([("1", "p"), ("2", "r"), ("3", None), ("5", "t")], "id string, input string")
     assert {r[:] for r in input_drift(stored, rendered).collect()} == {("2", "INPUT_DRIFT"), ("4", "INPUT_ID_DRIFT"), ("5", "INPUT_MISSING")}
+
+
+def test_lint_of_odd_nodes():
+    from quillmere.operators.contracts import lint
+
+    assert lint({"properties": ["a"]}) == [("#/properties", "BAD_SCHEMA_NODE")]
+    assert lint({"required": "a", "enum": 3, "allOf": {}}) == [("#/required", "BAD_SCHEMA_NODE"), ("#/enum", "BAD_SCHEMA_NODE"), ("#/allOf", "BAD_SCHEMA_NODE")]
+    assert lint({"additionalProperties": {"minimum": 1}, "anyOf": [5]}) == [("#/additionalProperties/minimum", "UNSUPPORTED_KEYWORD"), ("#/anyOf/0", "BAD_SCHEMA_NODE")]
+
+
+def test_schema_of_undeclared_properties(spark):
+    from pyspark.sql import functions as F
+
+    from quillmere.functions.jsonvalue import strict_json
+    from quillmere.operators.contracts import compile_schema
+
+    schema = {"type": "object", "properties": {"a": {"type": "string"}}, "additionalProperties": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}}}}
+    rows = spark.createDataFrame([('{"a": "x", "b": {"n": 1}}',), ('{"a": 1, "b": {"n": "1"}, "c": 2}',), ("{}",), ('{"b": {}}',)], "d string")
+    got = [sorted(f"{e['loc']} {e['code']}" for e in r["e"]) for r in rows.select(compile_schema(schema, strict_json(F.col("d"))).alias("e")).collect()]
+    assert got == [[], ["/a TYPE_MISMATCH", "/b/n TYPE_MISMATCH", "/c TYPE_MISMATCH"], [], ["/b/n MISSING_REQUIRED"]]
+
+
+def test_percentiles_by_ranks(spark):
+    """A hot group, ties, null keys and null values give what linear interpolation over the sorted values gives."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillmere.operators.metrics import ranked_percentiles
+
+    rng = random.Random(3)
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else "cold", None if i % 11 == 0 else float(rng.choice([1, 2, 2, 5, rng.random() * 100, -3])), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, g string, v double, n long").repartition(7).withColumn("_v", F.lit("clash"))
+    got = {r["g"]: (r["n"], r["at"]) for r in ranked_percentiles(df, ["g"], "v", "i", [0.0, 0.5, 0.95, 1.0]).collect()}
+    for g in (None, "hot", "cold"):
+        values = [v for _, k, v, _ in rows if k == g and v is not None]
+        assert got[g][0] == len(values) and np.allclose(got[g][1], np.quantile(values, [0, 0.5, 0.95, 1]))
+    assert ranked_percentiles(df.where("false"), ["g"], "v", "i", [0.5]).count() == 0
+
+
+def test_similar_pairs_with_hot_pieces(spark, monkeypatch):
+    from quillmere.operators import similarity
+
+    rows = spark.createDataFrame([(i, "共同的开头文字" + "甲乙丙丁戊己庚辛"[i % 8] + str(i % 5)) for i in range(60)], "id int, t string")
+    whole = sorted(r[:] for r in similarity.similar_pairs(rows, None, "id", "t", 0.6).collect())
+    monkeypatch.setattr(similarity, "CELL", 7)
+    assert sorted(r[:] for r in similarity.similar_pairs(rows, None, "id", "t", 0.6).collect()) == whole and len(whole) > 100
