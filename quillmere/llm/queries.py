@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmere.llm.bytepairs import token_ids
+from quillmere.llm.canon import canonical_dense
 from quillmere.llm.components import components
 from quillmere.llm.crosssplit import cross_split
 from quillmere.llm.groupsplits import assign, record_components
@@ -97,7 +98,7 @@ def _group_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, links, splits = _group_links(spark, sf_dir)
     named = components(links)
-    torn = splits.join(named, splits["name"] == named["node"]).groupBy("component").agg(F.countDistinct("split").alias("splits")).where("splits > 1")
+    torn = splits.join(named.hint("merge"), splits["name"] == named["node"]).groupBy("component").agg(F.countDistinct("split").alias("splits")).where("splits > 1")
     return torn.select(F.col("component").alias("template_group"))
 
 
@@ -107,6 +108,18 @@ def p4_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(settle(record_components(cases.select("row_id", F.when(F.col("number").isNotNull(), F.col("name")).alias("name")), links), "components"))
 
 
+def p4_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its component and split where rows also belong together that have the same request under several groups: chains of any length."""
+    named = _group_links(spark, sf_dir)[0].select("row_id", F.when(F.col("number").isNotNull(), F.concat(F.lit("TG-"), "number")).alias("group"))
+    texts = table(spark, sf_dir, "handwritten_v0").select("row_id", canonical_dense(F.col("user_request").cast("string")).alias("form"))
+    keys = texts.where("form <> ''").select("row_id", F.concat(F.lit("text:"), F.hex(F.xxhash64("form")), F.hex(F.xxhash64(F.lit(7), "form"))).alias("text"))
+    rows = settle(named.join(keys, "row_id", "left"), "linked")
+    links = rows.where("group is not null and text is not null").select(F.col("group").alias("u"), F.col("text").alias("v"))
+    records = rows.select("row_id", F.coalesce("group", "text").alias("name"))
+    alone = records.where("name is not null").select(F.col("name").alias("u"), F.col("name").alias("v"))
+    return assign(settle(record_components(records, links.unionAll(alone)), "components"))
+
+
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and groups of each split, and its share."""
     done = p4_assign(spark, sf_dir)
@@ -160,7 +173,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_groups, p2_found, p3_ranks, p3_percentiles, p3_daily, p3_rank_error, p4_found, p4_assign, p4_report, p5_found, p5_report, p6_found, p7_ids, p8_mixture, p8_shares, p9_found)
+    every = (p1_found, p1_groups, p2_found, p3_ranks, p3_percentiles, p3_daily, p3_rank_error, p4_found, p4_assign, p4_linked, p4_report, p5_found, p5_report, p6_found, p7_ids, p8_mixture, p8_shares, p9_found)
     return {f.__name__: f for f in every}
 
 

@@ -79,16 +79,23 @@ def test_components_equal_union_find(spark):
 
 def test_subset_sums_are_the_closest():
     rng = random.Random(6)
-    for _ in range(200):
-        sizes = {rng.randint(1, 12): rng.randint(1, 5) for _ in range(rng.randint(1, 4))}
-        total = sum(s * c for s, c in sizes.items())
-        target = rng.randint(0, total)
+    cases = [({45: 16, 50: 17}, 785), ({50: 17, 45: 16, 1: 1}, 786), ({9: 40, 10: 3}, 179)]
+    for _ in range(3000):
+        sizes = {rng.randint(1, 60): rng.randint(1, 20) for _ in range(rng.randint(1, 4))}
+        cases.append((sizes, rng.randint(0, sum(s * c for s, c in sizes.items()))))
+    for sizes, target in cases:
         taken = closest_subset(sizes, target)
         reach = {0}
         for s, c in sizes.items():
             reach = {r + s * k for r in reach for k in range(c + 1)}
         assert all(0 <= taken[s] <= sizes[s] for s in sizes)
         assert abs(sum(s * n for s, n in taken.items()) - target) == min(abs(r - target) for r in reach)
+    # beyond the span: a proportional part first, and units if the rest is still too large
+    for sizes, target in (({1: 900_000, 3: 50_000, 40: 1000, 70_000: 2}, 109_000), ({100_003: 7, 90_001: 8, 77: 50}, 300_000)):
+        taken = closest_subset(sizes, target, 5000)
+        assert all(0 <= taken[s] <= sizes[s] for s in sizes) and abs(sum(s * n for s, n in taken.items()) - target) <= 20_000
+        assert closest_subset(sizes, 0) == dict.fromkeys(sizes, 0)
+    assert sum(s * n for s, n in closest_subset({1: 900_000, 3: 50_000, 40: 1000, 70_000: 2}, 109_000, 5000).items()) == 109_000
     plan = split_plan({1: 50_000, 7: 1000, 90_000: 1}, {"a": 0.8, "b": 0.1, "c": 0.1})
     assert all(abs(sum(s * n for s, n in plan[k].items()) - 14_700) <= 1 for k in ("b", "c"))
     assert closest_subset({}, 5) == {}
@@ -110,6 +117,21 @@ def test_assigned_groups_stay_whole(spark):
     assert assign(spark.createDataFrame([], "row_id long, component string")).count() == 0
 
 
+def test_linked_rows_through_chains(spark, tmp_path):
+    """Rows of one request under several groups, and of one group with several requests, are one component however long the chain."""
+    from quillmere.llm.queries import p4_linked
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    rows = [(i, f"TG-{i // 2:04d}", f"请求{(i + 1) // 2}") for i in range(40)] + [(40, None, "别的"), (41, None, "别 的"), (42, None, None), (43, "tg_0100", ""), (44, "TG-100", None)]
+    write("handwritten_v0", [(a, b, c, "train") for a, b, c in rows], "row_id long, template_group string, user_request string, split string")
+    write("groups_clarify", [("TG-1", "val")], "id string, split string")
+    got = {r["row_id"]: (r["component"], r["split"]) for r in p4_linked(spark, str(tmp_path)).collect()}
+    assert len(got) == 45 and len({got[i] for i in range(40)}) == 1
+    assert got[40] == got[41] and got[43] == got[44] and len({c for c, _ in got.values()}) == 4
+
+
 def test_ways_of_writing(spark):
     rows = spark.createDataFrame([("ｔｒａｉｎ", "TG‑000012"), (" Valid ", "tg_12"), ("Unseen Test", "ＴＧ－１２"), ("unseen-test", "TG"), ("other", None), (None, "TG-000")], "s string, g string")
     got = rows.select(split_name(F.col("s")), group_number(F.col("g")), plain_name(F.col("s"))).collect()
