@@ -13,12 +13,18 @@ counts; letter case, accents and other punctuation still count.
 
 from __future__ import annotations
 
+import glob
+import os
+import string
+import struct
 import sys
 import unicodedata
+import zipfile
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -26,9 +32,9 @@ from pyspark.sql.types import StringType
 #: Compatibility mappings that keep the look of a character.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<small>")
 
-#: Letters of other scripts with the shape of a Latin letter, of katakana with the shape of an
-#: ideograph, hyphens and minus signs of one shape, operators with the shape of a punctuation
-#: mark, and radicals with the shape of an ideograph that Unicode doesn't map itself.
+#: Beyond Unicode's table of confusable letters (below): letters that it lacks or that this mapping has to have where the
+#: table can't be read, katakana with the shape of an ideograph, hyphens and minus signs of one shape, operators with the
+#: shape of a punctuation mark, and radicals with the shape of an ideograph that Unicode doesn't map itself.
 LOOK_ALIKES = dict(
     zip(
         "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϹϲϳͿ" "АВЕЅІЈКМНОРСТХаеорсухѕіјԁһԛԝԚԜ" "エロカニハタトヘ" "‐−﹣" "∶∕⁄∗∼∣" "⺓⺠⺩⺬⺶⺻⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰",
@@ -38,6 +44,50 @@ LOOK_ALIKES = dict(
 )
 
 
+def confusable_table() -> dict[int, str]:
+    """Unicode's table of confusable characters (UTS 39), code point -> prototype, as the ICU library in Spark's own folder of jars has it; empty if there is none."""
+    homes = [os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)]
+    for jar in sorted(j for h in homes if h for j in glob.glob(os.path.join(h, "jars", "icu4j-*.jar"))):
+        with zipfile.ZipFile(jar) as pack:
+            name = next((n for n in pack.namelist() if n.endswith("confusables.cfu")), None)
+            data = pack.read(name) if name else b""
+        if not data:
+            continue
+        # a header of its own length, then offsets and lengths of the keys, the values and the strings, all big-endian
+        body = data[int.from_bytes(data[:2], "big") :]
+        key_at, keys, value_at, values, text_at, texts = struct.unpack(">6i", body[12:36])
+        strings = np.frombuffer(body, ">u2", texts, text_at)
+        table = {}
+        for key, value in zip(np.frombuffer(body, ">u4", keys, key_at).tolist(), np.frombuffer(body, ">u2", values, value_at).tolist(), strict=True):
+            units = (key >> 24) + 1  # one unit is the value itself, more are a place among the strings
+            table[key & 0x1FFFFF] = chr(value) if units == 1 else strings[value : value + units].astype("<u2").tobytes().decode("utf-16-le")
+        return table
+    return {}
+
+
+def confusable_letters() -> dict[str, str]:
+    """Letters of all alphabets -> the letter that they look like: an ASCII letter of the same case if there is one, else the prototype.
+
+    ASCII letters stay as they are, so 1, l and I or 0 and O are different; so do ideographs, kana and Hangul, and letters that
+    Unicode decomposes or whose prototype is several characters.
+    """
+    table = confusable_table()
+    ascii_of: dict[str, list[str]] = {}
+    for c in string.ascii_letters:
+        ascii_of.setdefault(table.get(ord(c), c), []).append(c)
+    out = {}
+    for cp, prototype in sorted(table.items()):
+        c = chr(cp)
+        if cp < 0x80 or 0x1100 <= cp < 0x1200 or 0x2E80 <= cp < 0xA000 or 0xA960 <= cp < 0xA980 or 0xAC00 <= cp < 0xD800 or cp >= 0x20000 or not unicodedata.category(c).startswith("L") or unicodedata.decomposition(c):
+            continue
+        known = ascii_of.get(prototype)
+        if known:
+            out[c] = next((x for x in known if x.isupper() == (unicodedata.category(c) == "Lu")), known[0])
+        elif len(prototype) == 1 and unicodedata.category(prototype).startswith("L") and ord(prototype) >= 0x80 and prototype not in table:
+            out[c] = prototype
+    return out
+
+
 def _ignorable(cp: int) -> bool:
     """Characters that leave no mark: format characters, joiners, variation selectors, fillers."""
     return cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180F or 0xE0100 <= cp <= 0xE01EF or (unicodedata.category(chr(cp)) == "Cf")
@@ -48,6 +98,7 @@ def tables() -> dict[str, object]:
     """The mapping as flat arrays: code point -> start and length in ``flat``, combining class, space flag, pairs to compose."""
     size = sys.maxunicode + 1
     cache: dict[int, tuple[int, ...]] = {}
+    look = confusable_letters() | LOOK_ALIKES
 
     def full(cp: int) -> tuple[int, ...]:
         if cp not in cache:
@@ -56,8 +107,8 @@ def tables() -> dict[str, object]:
                 cache[cp] = ()
             elif unicodedata.category(c) == "Zs" or cp == 9:
                 cache[cp] = (32,)
-            elif c in LOOK_ALIKES:
-                cache[cp] = (ord(LOOK_ALIKES[c]),)
+            elif c in look:
+                cache[cp] = (ord(look[c]),)
             else:
                 parts = unicodedata.decomposition(c).split()
                 if parts and parts[0][0] == "<":
@@ -74,7 +125,7 @@ def tables() -> dict[str, object]:
     more: list[int] = []
     pairs: dict[tuple[int, int], int] = {}
     for cp in range(0x80, 0xE01F0):
-        if 0x3400 <= cp < 0xA000 and cp not in (0x3164,) or 0xAC00 <= cp < 0xF900 or 0x20000 <= cp < 0x2F800 or 0x30000 <= cp < 0xE0000:
+        if 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xF900 or 0x20000 <= cp < 0x2F800 or 0x30000 <= cp < 0xE0000:
             continue  # ideographs, Hangul syllables, surrogates, private use: they stand for themselves
         c = chr(cp)
         ccc[cp] = unicodedata.combining(c)

@@ -14,7 +14,7 @@ from quillmere.llm.components import components
 from quillmere.llm.crosssplit import cross_split
 from quillmere.llm.groupsplits import assign, record_components
 from quillmere.llm.history import already_accepted
-from quillmere.llm.lookalike import look_alike_pairs
+from quillmere.llm.lookalike import look_alike_groups, look_alike_pairs
 from quillmere.llm.mixture import mixture
 from quillmere.llm.neardup import groups, near_duplicates, row_pairs
 from quillmere.llm.quantiles import merged, percentiles, ranked_rows, sketches
@@ -149,6 +149,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(table_name("ua").alias("tbl"), row_id("ua").alias("row_a"), row_id("ub").alias("row_b"))
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that looks like another one and is written differently, with its class."""
+    found = look_alike_groups(request_rows(spark, sf_dir))
+    return found.select(table_name("uid").alias("tbl"), row_id("uid").alias("row_id"), row_id("class").alias("class_id"), "members", "spellings")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -173,7 +179,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_groups, p2_found, p3_ranks, p3_percentiles, p3_daily, p3_rank_error, p4_found, p4_assign, p4_linked, p4_report, p5_found, p5_report, p6_found, p7_ids, p8_mixture, p8_shares, p9_found)
+    every = (p1_found, p1_groups, p2_found, p3_ranks, p3_percentiles, p3_daily, p3_rank_error, p4_found, p4_assign, p4_linked, p4_report, p5_found, p5_report, p6_found, p6_groups, p7_ids, p8_mixture, p8_shares, p9_found)
     return {f.__name__: f for f in every}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm import canon
 from quillmere.llm.bytepairs import VOCABULARY, BytePairs, token_counts, token_ids
-from quillmere.llm.lookalike import look_alike_pairs
+from quillmere.llm.lookalike import look_alike_groups, look_alike_pairs
 from quillmere.llm.residue import ResidueModel, held, often, residue_documents, weights
 
 
@@ -60,6 +60,28 @@ def test_look_alike_pairs(spark):
     assert look_alike_pairs(rows.where("false")).count() == 0
 
 
+def test_confusable_letters_of_the_public_table():
+    table = canon.confusable_table()
+    assert len(table) > 6000 and table[ord("а")] == "a"
+    letters = canon.confusable_letters()
+    assert all(letters[k] == v for k, v in {"ν": "v", "ι": "i", "ρ": "p", "α": "a", "ѵ": "v", "ɑ": "a", "ɡ": "g", "ı": "i", "օ": "o", "І": "I", "Ꭺ": "A"}.items())
+    assert letters["к"] == letters["κ"] == "ĸ" and len(letters) > 500
+    assert not any(c in letters for c in "lI1O0mwèéßよ二")
+    # a form is its own form, whatever the letter
+    every = [*letters, *canon.LOOK_ALIKES]
+    once = canon.canonical_texts(every)
+    assert canon.canonical_texts(once) == once
+    assert canon.canonical_texts(["раураl", "οrdеr ΑΒ", "pin 1lI0O"]) == ["paypal", "order AB", "pin 1lI0O"]
+
+
+def test_look_alike_groups(spark):
+    texts = ["訂單A1", "訂單Ａ1", "訂單A1", "訂單B2", "訂單B2", "ok", "оk", "  ", None, ""]
+    rows = spark.createDataFrame([(2 * i, 0, t) for i, t in enumerate(texts)] + [(1, 1, "ok")], "uid long, tbl int, text string").withColumn("raw", F.lit("clash"))
+    got = sorted(r[:] for r in look_alike_groups(rows).collect())
+    assert got == [(0, 0, 3, 2), (2, 0, 3, 2), (4, 0, 3, 2), (10, 10, 2, 2), (12, 10, 2, 2)]
+    assert look_alike_groups(rows.where("false")).count() == 0
+
+
 @pytest.fixture(scope="module")
 def coder():
     if not os.path.exists(VOCABULARY):
