@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmere.functions.text import hits_any, names_second_task
+from quillmere.functions.text import hits_any, names_second_task, ungrounded_clocks
 
 
 def first_failure(stages: Sequence[tuple[str, Column]], passed: str) -> Column:
@@ -48,6 +48,22 @@ def covers_all(text: Column, fields: Column, terms: dict[str, list[str]]) -> Col
     return out
 
 
+def content_fine(action: Column, said: Column, source: Column, multi_intent: Column, fields: Column, code: Column, terms: dict) -> Column:
+    """Whether a question or a reason is about what it should be about.
+
+    ``said`` names no clock time that its ``source`` (request and context) lacks.  A question of several intents hits a word
+    for their order, any other a cue of every missing field; a reason hits a word of its refusal code and one for the limit
+    of what can be done.  ``terms``: multi_intent, boundary (lists), fields, codes (dicts of lists).  Other actions: false.
+    """
+    grounded = F.size(ungrounded_clocks(said, source)) == 0
+    about = F.lit(False)
+    for name, words in terms["codes"].items():
+        about = about | ((code == name) & hits_any(said, words))
+    question = F.when(F.coalesce(multi_intent, F.lit(False)), hits_any(said, terms["multi_intent"])).otherwise(covers_all(said, F.coalesce(fields, F.array().cast("array<string>")), terms["fields"]))
+    fine = F.when(action == "clarify", grounded & question).when(action == "refuse", grounded & about & hits_any(said, terms["boundary"]))
+    return F.coalesce(fine, F.lit(False))
+
+
 def route_of(request: Column, action: Column, tool: Column, query: Column, only_query: Column, routes: dict[str, str]) -> Column:
     """(route, reason) of a delegation: one listed tool with a non-blank query and nothing else, and no second task."""
     known = F.create_map(*(F.lit(x) for kv in routes.items() for x in kv))

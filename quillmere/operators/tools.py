@@ -5,7 +5,7 @@ Every function takes tables and parameters and returns a DataFrame; filters and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,3 +85,37 @@ def next_id(ids: DataFrame, column: str, prefix: str, width: int = 4) -> DataFra
     """The identifier after the largest number that ids end in."""
     number = F.regexp_extract(column, r"([0-9]+)$", 1).try_cast("bigint")
     return ids.agg(F.concat(F.lit(prefix), F.lpad((F.coalesce(F.max(number), F.lit(0)) + 1).cast("string"), width, "0")).alias("next_id"))
+
+
+#: Which tools each profile of a service offers.
+PROFILES = {
+    "all": ["search_documents", "get_record", "calculate", "aggregate_data", "check_availability", "create_event"],
+    "query": ["search_documents", "get_record"],
+    "calculate": ["calculate", "aggregate_data"],
+    "calendar": ["check_availability", "create_event"],
+}
+
+
+def offered_tools(profile: Column, profiles: Mapping[str, Sequence[str]] = PROFILES) -> Column:
+    """The tools of a profile as an array, by a map literal; null for a profile that there isn't."""
+    known = F.create_map(*(x for k, v in profiles.items() for x in (F.lit(k), F.array(*(F.lit(t) for t in v)).cast("array<string>"))))
+    return F.try_element_at(known, profile)
+
+
+def contains_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str, most: int = 10_000, piece: int = 4) -> DataFrame:
+    """Rows of ``texts`` with each row of ``needles`` whose needle stands in their text.
+
+    Up to ``most`` needles are counted and sent to every task.  Beyond that texts and needles meet in pieces: a needle under
+    its first characters, a text under each different run of as many characters, and the needle is verified; needles
+    shorter than a piece are sent, and there may be ``most`` of them.
+    """
+    some = needles.where((F.col(needle).isNotNull()) & (F.col(needle) != ""))
+    if some.limit(most + 1).count() <= most:
+        return texts.join(F.broadcast(some), F.contains(F.col(text), F.col(needle)))
+    short, long = some.where(F.length(needle) < piece), some.where(F.length(needle) >= piece)
+    if short.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} needles of under {piece} characters")
+    letters = F.sequence(F.lit(1), F.greatest(F.length(text) - piece + 1, F.lit(1)))
+    runs = texts.where(F.col(text).isNotNull()).withColumn("_piece", F.explode(F.array_distinct(F.transform(letters, lambda i: F.substring(F.col(text), i, F.lit(piece))))))
+    far = runs.join(long.withColumn("_piece", F.substring(F.col(needle), 1, piece)), "_piece").where(F.contains(F.col(text), F.col(needle))).drop("_piece")
+    return far.unionByName(texts.join(F.broadcast(short), F.contains(F.col(text), F.col(needle))))

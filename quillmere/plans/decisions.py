@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.functions.text import two_tasks
-from quillmere.operators.decide import covers_all, merged_route, rewrite, route_of, verdict
+from quillmere.functions.text import SECOND_TASK, two_tasks
+from quillmere.operators.decide import content_fine, covers_all, merged_route, rewrite, route_of, verdict
 from quillmere.plans.sets import TOOL_ROUTES
 from quillmere.session import table
 
 #: Cue words by missing field.
 CUES = {"query": ["检索", "关键词", "查什么"], "record_id": ["编号", "单号"], "record_type": ["类型", "哪类", "检索词"], "start_time": ["时间", "几点", "开始"], "end_time": ["时间", "几点", "结束"], "title": ["标题", "主题"], "dataset": ["数据", "范围", "口径"], "operation": ["统计", "求和", "口径"]}
+#: Words of questions about several intents, of reasons by refusal code, and of limits.
+TERMS = {
+    "multi_intent": ["先", "两步", "还是", "顺序", "分别", "哪一步", "哪个", "逐步"],
+    "codes": {
+        "unsupported_record_type": ["记录", "类型", "体检报告", "档案"],
+        "unsupported_dataset": ["数据集", "人事", "数据范围", "库里"],
+        "unsupported_operation": ["统计", "标准差", "分位", "聚合", "均值"],
+        "infeasible_time": ["时间", "日期", "过去", "已经", "当前", "空闲"],
+        "unavailable_tool": ["工具", "排序", "导出", "Excel"],
+        "out_of_authority": ["修改", "改成", "篡改", "调整", "权限", "写入", "越权"],
+    },
+    "boundary": ["不支持", "只支持", "仅支持", "没有", "无法", "不能", "只能", "不属于", "超出", "不在"],
+}
 D = "expected_decision"
 
 
@@ -32,6 +45,16 @@ def score_questions(spark: SparkSession, sf: str) -> DataFrame:
     return c.where(question.isNotNull()).select("row_id", covers_all(question, F.col("clarify_target.fields"), CUES).alias("covered"))
 
 
+def score_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each question and each reason is about its target, by action and refusal code."""
+    c = table(spark, sf, "handwritten_v0")
+    action = F.get_json_object(D, "$.action")
+    said = F.coalesce(F.get_json_object(D, "$.question"), F.get_json_object(D, "$.reason"))
+    source = F.concat_ws("|", "user_request", F.to_json("context"))
+    fine = content_fine(action, said, source, F.array_contains("tags", "multi_intent"), F.col("clarify_target.fields"), F.col("refuse_code"), TERMS | {"fields": CUES})
+    return c.where(action.isin("clarify", "refuse")).groupBy(action.alias("action"), "refuse_code", fine.alias("fine")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def rule_rewrites(spark: SparkSession, sf: str) -> DataFrame:
     """The first rule that a request meets, of an ordered list."""
     r = F.col("user_request")
@@ -89,9 +112,14 @@ def _x(path: str, column: str = D) -> str:
 _CALLS = " or ".join(f"(list_contains(f, '{k}') and not ({' or '.join(f'contains(q, {chr(39)}{w}{chr(39)})' for w in ws)}))" for k, ws in CUES.items())
 _WORDS = "case when regexp_matches({0}, '报错|故障|重启|更新到') then 'technical' when regexp_matches({0}, '天气|成绩|几点入场|温度') then 'realtime' when regexp_matches({0}, '维修站|网点|售后|服务站') then 'service' when regexp_matches({0}, '工单|报修|催') then 'ticket' end"
 _SPLIT = r"string_split_regex(regexp_replace(trim(query), '[。！？!?]+$', ''), '[\t\n\x0B\f\r ]*[，,；;][\t\n\x0B\f\r ]*(?:再|然后|接着|同时|并且|还要|另外)[\t\n\x0B\f\r ]*')"
-_SECOND = "然后|同时|接着|顺便|再帮我|再查|另外还|并且|并帮|并创建|没解决就|修不好就|如果.{1,20}(解决不了|修不好|不行|没有用).{0,10}(找|联系|转|建)"
+_SECOND = SECOND_TASK
 _FIRST = "(select id, min(row_id) as row, min_by(expected_decision, row_id) as gold from handwritten_v0 group by id)"
+_HIT = lambda words: "(" + " or ".join(f"contains(q, '{w}')" for w in words) + ")"
+_ABOUT = " or ".join(f"(refuse_code = '{k}' and {_HIT(ws)})" for k, ws in TERMS["codes"].items())
+_COVERED = f"not (len(list_filter(f, lambda x: x not in ({', '.join(repr(k) for k in CUES)}))) > 0 or {_CALLS})"
+_GROUNDED = "len(list_filter(regexp_extract_all(q, '[0-9]{1,2}:[0-9]{2}'), lambda x: not contains(regexp_replace(concat_ws('|', user_request, cast(to_json(context) as varchar)), '[\\s\\x{3000}\\x{A0}]+', '', 'g'), x))) = 0"
 SQL = {
+    "score_content": f"select a as action, refuse_code, coalesce(case when a = 'clarify' then {_GROUNDED} and case when coalesce(list_contains(tags, 'multi_intent'), false) then {_HIT(TERMS['multi_intent'])} else {_COVERED} end when a = 'refuse' then {_GROUNDED} and ({_ABOUT}) and {_HIT(TERMS['boundary'])} end, false) as fine, count(*) as n from (select *, {_x('$.action')} as a, coalesce({_x('$.question')}, {_x('$.reason')}) as q, coalesce(clarify_target.fields, []) as f from handwritten_v0) where a in ('clarify', 'refuse') group by 1, 2, 3",
     "score_verdicts": f"select category, case when ga is null then 'invalid' when a is distinct from ga then 'wrong' when a = 'call' and t is distinct from gt then 'wrong' when a = 'call' and r is distinct from gr then 'wrong' when a = 'call' and gq is not null then 'manual_review' when a <> 'call' and not same then 'wrong' else 'correct' end as verdict, count(*) as n from (select category, {_x('$.action')} as a, {_x('$.action', 'gold')} as ga, {_x('$.tool')} as t, {_x('$.tool', 'gold')} as gt, {_x('$.arguments')} as r, {_x('$.arguments', 'gold')} as gr, {_x('$.arguments.query', 'gold')} as gq, ({_x('$.question')}) is not distinct from ({_x('$.question', 'gold')}) and ({_x('$.reason')}) is not distinct from ({_x('$.reason', 'gold')}) as same from handwritten_v0 h join {_FIRST} f on h.id = f.id and h.row_id > f.row) group by 1, 2",
     "score_questions": f"select row_id, not (len(list_filter(f, lambda x: x not in ({', '.join(repr(k) for k in CUES)}))) > 0 or {_CALLS}) as covered from (select row_id, clarify_target.fields as f, {_x('$.question')} as q from handwritten_v0 where clarify_target is not null) where q is not null",
     "rule_rewrites": "select row_id, case when regexp_matches(user_request, '不用确认|直接写入|跳过确认') then 'bypass_confirmation' when len(regexp_extract_all(user_request, '[0-9]{1,2}:[0-9]{2}')) >= 2 then 'two_times' when regexp_matches(user_request, '单子|票据|发货单|合同') and not regexp_matches(user_request, '(DD|FP|HT|SH)[0-9]{6}') then 'missing_record_id' when regexp_matches(user_request, '统计|合计|平均') then 'aggregate' when regexp_matches(user_request, '[？?]$') then 'ask_result' else 'unchanged' end as code from handwritten_v0 where user_request is not null",
@@ -99,4 +127,4 @@ SQL = {
     "route_clauses": f"select row_id, coalesce(a, 'none') as first_route, coalesce(b, 'none') as second_route, case when a = b then a end as merged from (select row_id, {_WORDS.format('p[1]')} as a, {_WORDS.format('p[2]')} as b from (select row_id, {_SPLIT} as p from agent_route_pairwise_v5 where query is not null) where len(p) = 2 and length(p[1]) >= 5 and length(p[2]) >= 5)",
     "route_scores": "select adapter_version, coalesce(case when len(expected) > 1 and coalesce(len(routes), 0) = 0 then reason = 'multi_task' else list_sort(routes) = list_sort(expected) and error is null end, false) as right, correct, count(*) as n from route_rows r join (select id, arg_min_null(expected_routes, row_id) as expected from agent_route_pairwise_v5 group by 1) c on r.case_id = c.id group by 1, 2, 3",
 }
-QUERIES = {f.__name__: f for f in (score_verdicts, score_questions, rule_rewrites, route_decisions, route_clauses, route_scores)}
+QUERIES = {f.__name__: f for f in (score_verdicts, score_questions, score_content, rule_rewrites, route_decisions, route_clauses, route_scores)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.operators.setops import json_differences, json_paths, key_differences, repeated, same_members, unseen
+from quillmere.operators.tools import contains_pairs
 from quillmere.session import table
 
 #: Fixed value: which route a tool leads to.
@@ -49,7 +50,7 @@ def j10_contains_join(spark: SparkSession, sf: str) -> DataFrame:
     """Probes whose id or query stands inside a request, document or case: none should."""
     probes = table(spark, sf, "frozen_probes").select(F.col("id").alias("probe"), F.explode(F.array("id", "query")).alias("needle"))  # 40 rows at every scale
     texts = table(spark, sf, "agent_route_pairwise_v5").select(F.lit("case").alias("kind"), F.col("query").alias("text")).unionAll(table(spark, sf, "documents").select(F.lit("document").alias("kind"), "text"))
-    hits = texts.join(F.broadcast(probes), F.contains("text", "needle")).groupBy("probe", "kind").agg(F.count(F.lit(1)).alias("n"))
+    hits = contains_pairs(texts, "text", probes, "needle").groupBy("probe", "kind").agg(F.count(F.lit(1)).alias("n"))
     return probes.select("probe").distinct().join(hits, "probe", "left").select("probe", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -100,7 +101,10 @@ def x6_group_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ROUTES = " ".join(f"when '{k}' then '{v}'" for k, v in TOOL_ROUTES.items())
+_D = "(select case when json_valid(expected_decision) then expected_decision end as d from handwritten_v0)"
 SQL = {
+    # decisions have no object below their arguments, which is never empty
+    "x6_decision_paths": f"select path, count(*) as n, count(distinct v) as values from (select k as path, cast(json_extract(d, '$.' || k) as varchar) as v from (select d, unnest(json_keys(d)) as k from {_D}) where k <> 'arguments' or json_type(d, '$.arguments') <> 'OBJECT' union all select 'arguments/' || k, cast(json_extract(d, '$.arguments.' || k) as varchar) from (select d, unnest(json_keys(d, '$.arguments')) as k from {_D} where json_type(d, '$.arguments') = 'OBJECT')) group by 1",
     "j1_id_set_equality": "with r as (select distinct case_id as id from route_rows where case_id is not null), c as (select distinct id from (select id from agent_route_pairwise_v5 union all select id from frozen_probes) where id is not null) select coalesce(r.id, c.id) as id, case when c.id is null then 'left' else 'right' end as only_in from r full outer join c on r.id = c.id where r.id is null or c.id is null",
     "j2_resume_anti": "select row_id, id from agent_route_pairwise_v5 a where not exists (select 1 from route_rows r where r.adapter_version = 'v3' and r.case_id is not distinct from a.id)",
     "j3_dimension_lookup": f"select tool, case tool {_ROUTES} else 'none' end as route, count(*) as n from (select case when json_valid(expected_decision) then json_extract_string(expected_decision, '$.tool') end as tool from handwritten_v0) group by 1, 2",

@@ -261,3 +261,69 @@ def test_similar_pairs_with_hot_pieces(spark, monkeypatch):
     whole = sorted(r[:] for r in similarity.similar_pairs(rows, None, "id", "t", 0.6).collect())
     monkeypatch.setattr(similarity, "CELL", 7)
     assert sorted(r[:] for r in similarity.similar_pairs(rows, None, "id", "t", 0.6).collect()) == whole and len(whole) > 100
+
+
+def test_contains_pairs_either_way(spark):
+    from quillmere.operators.tools import contains_pairs
+
+    texts = spark.createDataFrame([(1, "合同编号HT123456到期"), (2, "abcabcabcd"), (3, None), (4, ""), (5, "abc"), (6, "x" * 5000 + "HT123456")], "id int, text string")
+    needles = spark.createDataFrame([("HT123456",), ("abcd",), ("bc",), (None,), ("",), ("zzzz",)], "needle string")
+    want = {(1, "HT123456"), (2, "abcd"), (2, "bc"), (5, "bc"), (6, "HT123456")}
+    for most in (10, 2):
+        got = sorted((r["id"], r["needle"]) for r in contains_pairs(texts, "text", needles, "needle", most).collect())
+        assert got == sorted(want)
+
+
+def test_review_faults(spark):
+    from quillmere.operators.audit import review_faults
+
+    text = "# log\n## a\n- [x] A1\n- [ ] A2\n## b\n- [X] B1\n- [x] Z9\n## findings\n"
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text.split("\n"))], "file string, line_no int, line string")
+    sampled = spark.createDataFrame([("a", "A1"), ("a", "A2"), ("a", "A3"), ("b", "B1")], "section string, id string")
+    got = sorted(r[:] for r in review_faults(lines, sampled, 2, "findings").collect())
+    assert got == [("A2", "UNCHECKED"), ("A3", "MISSING"), ("Z9", "PHANTOM"), ("a", "SHORT"), ("findings", "FINDINGS_EMPTY")]
+    said = lines.unionAll(spark.createDataFrame([("f", 99, "two odd rows")], lines.schema))
+    assert "FINDINGS_EMPTY" not in {r["code"] for r in review_faults(said, sampled, 1, "findings").collect()}
+
+
+def test_projection_codes(spark):
+    from pyspark.sql import functions as F
+
+    from quillmere.operators.audit import projection_codes
+
+    rows = [(0, "tools\nrequest: 查", "查", ["t1", None, ""], "请补充", []), (1, "seed 7 查 t1", "查", ["t1"], None, ["GOLD_LEAK"]), (2, "rationale 查", "查", [], "查", ["GOLD_LEAK", "GOLD_ANSWER_LEAK"]), (3, "x", "查", None, None, ["REQUEST_MISSING"]), (4, None, None, None, None, [])]
+    df = spark.createDataFrame(rows, "i int, text string, request string, secrets array<string>, answer string, want array<string>")
+    for r in df.select("want", projection_codes(F.col("text"), F.col("request"), ["rationale"], F.col("secrets"), F.col("answer")).alias("got")).collect():
+        assert r["got"] == r["want"]
+
+
+def test_freeze_waits_for_errors(spark, tmp_path):
+    import pytest
+
+    from quillmere.operators.audit import freeze, manifest_check, table_digest
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "a", [1.5, None], None), (2, None, None, "x")], "id int, t string, d array<double>, u string")
+    now = table_digest(rows).select(F.lit("t").alias("name"), "n", "digest")
+    errors = spark.createDataFrame([("E",)], "code string")
+    with pytest.raises(ValueError, match="pending"):
+        freeze(now, errors, str(tmp_path / "m"))
+    freeze(now, errors.where("false"), str(tmp_path / "m"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        freeze(now, errors.where("false"), str(tmp_path / "m"))
+    frozen = spark.read.schema("name string, n long, digest string").json(str(tmp_path / "m"))
+    assert manifest_check(frozen, now).count() == 0
+    for changed in (rows.withColumn("d", F.array(F.lit(1.5), F.lit(2.0))), rows.withColumn("u", F.lit("x")), rows.where("id = 1")):
+        assert manifest_check(frozen, table_digest(changed).select(F.lit("t").alias("name"), "n", "digest")).first()["code"] == "FROZEN_DRIFT"
+
+
+def test_content_of_questions_and_reasons(spark):
+    from pyspark.sql import functions as F
+
+    from quillmere.operators.decide import content_fine
+
+    terms = {"multi_intent": ["先"], "boundary": ["不支持"], "fields": {"title": ["标题"], "start_time": ["几点"]}, "codes": {"bad_time": ["时间"]}}
+    rows = [("clarify", "标题是什么，几点开始", False, ["title", "start_time"], None, True), ("clarify", "标题是什么", False, ["title", "start_time"], None, False), ("clarify", "先做哪一步", True, None, None, True), ("clarify", "标题？09:30？", False, ["title"], None, False), ("clarify", "标题？10:00？", False, ["title"], None, True), ("refuse", "不支持过去的时间", False, None, "bad_time", True), ("refuse", "过去的时间", False, None, "bad_time", False), ("refuse", "不支持", False, None, "other", False), ("call", "时间", False, None, None, False), (None, None, None, None, None, False)]
+    df = spark.createDataFrame(rows, "action string, said string, multi boolean, fields array<string>, code string, want boolean")
+    for r in df.select("want", "said", content_fine(F.col("action"), F.col("said"), F.lit("十点 10:00 开会"), F.col("multi"), F.col("fields"), F.col("code"), terms).alias("got")).collect():
+        assert r["got"] == r["want"], r
