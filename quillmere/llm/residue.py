@@ -63,7 +63,7 @@ SHORT, KNOWN, STRANGE = 4, 0.003, 0.35
 ROOM = 2
 SLICES = 16
 #: Characters scored at once.
-CHARS = 1_000_000
+CHARS = 300_000
 
 
 def _after(x: np.ndarray, by: int) -> np.ndarray:
