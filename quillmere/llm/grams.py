@@ -122,7 +122,7 @@ class Commonness:
     def cells(self, kind: np.ndarray, cell: int) -> np.ndarray:
         """Into how many cells of at most ``cell`` rows the rows of a feature of this class are dealt; 1 for rare ones."""
         held = np.where(kind > 0, 2.0 ** (kind / 4.0) * self.rare * self.texts, 0)
-        return np.clip(np.ceil(held / cell), 1, 4096).astype(np.int64)
+        return np.clip(np.ceil(held / cell), 1, 1 << 20).astype(np.int64)
 
     @staticmethod
     def scale(counts: np.ndarray, texts: int, rare: float = RARE) -> np.ndarray:

@@ -117,6 +117,8 @@ def _land(rows: pa.Table) -> pa.Table:
 def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, source, text), targets (source, target_share, max_repeats) -> uses of texts, and the report of shares."""
     spark = docs.sparkSession
+    # ways of writing a source are one: its shares add up, its strictest cap counts
+    targets = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     aims = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.collect()}  # a table of targets, one row for each source
     wanted = docs.where(F.col("source").isin(list(aims)) & F.col("text").rlike(r"(?U)\S"))
     hashed = wanted.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")

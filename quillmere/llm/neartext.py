@@ -16,6 +16,8 @@ SIMILARITY = 0.70
 RARE_PIECE = 0.002
 #: Rows that one bucket may hold; a commoner piece's rows are dealt out to cells of this size, and every two cells meet.
 CELL = 1 << 15
+#: Pairs that a task holds, to give each once, before it hands them on.
+HELD = 8_000_000
 #: Rows on a side of a tile.
 TILE = 256
 
@@ -243,10 +245,19 @@ def candidates(blocks: DataFrame, parts: int, least: float = SIMILARITY, crossin
         part = _Part(least, crossing, tile)
         for batch in batches:
             part.add(batch)
-        made = [(np.minimum(a, b), np.maximum(a, b)) for a, b in part.pairs() if len(a)]
-        if not made:
-            return
-        low, high = np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made])
+        held, n = [], 0
+        for a, b in part.pairs():
+            if len(a):
+                held.append((np.minimum(a, b), np.maximum(a, b)))
+                n += len(a)
+            if n >= HELD:
+                yield from given(held)
+                held, n = [], 0
+        if held:
+            yield from given(held)
+
+    def given(held):
+        low, high = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
         order = np.lexsort((high, low))
         low, high = low[order], high[order]
         new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) & (low < high)
@@ -285,8 +296,8 @@ def representatives(hashed: DataFrame, *more: Column) -> DataFrame:
 def near_classes(rows: DataFrame, reps: DataFrame, common: Commonness, least: float = SIMILARITY, crossing: bool = False) -> DataFrame:
     """Pairs (a, b) of representatives with nearly the same text.  ``reps``: rep and side; ``rows``: uid and text of all rows."""
     spark = rows.sparkSession
-    texts = rows.select("uid", "text")
-    chosen = texts.join(reps.select(F.col("rep").alias("uid"), "side"), "uid")
+    # texts of representatives alone, written once: they are cut into blocks and looked up again twice to verify
+    chosen = settle(rows.select("uid", "text").join(reps.select(F.col("rep").alias("uid"), "side"), "uid"), "chosen")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.texts * 24 // ROWS_PER_PART)
     found = candidates(bucket_blocks(chosen, common, least, parts, crossing), parts, least, crossing)
-    return verified(found, texts, least)
+    return verified(found, chosen, least)

@@ -13,6 +13,7 @@ columns aren't read.
 
 from __future__ import annotations
 
+import zlib
 from typing import Iterator  # noqa: UP035
 
 import numpy as np
@@ -72,7 +73,7 @@ class RelativeRank:
                 keep = room // 2 + (sections - free) * size
                 cut = len(values) - keep
                 cut -= cut & 1
-                coin = (done * 2654435761 + level * 40503 + self.n) >> 7 & 1
+                coin = zlib.crc32(values.tobytes(), done << 8 ^ level) >> 7 & 1  # a hash of what is compacted: as good as random, and the same if a task runs again
                 self._grow(level + 2)
                 self.levels[level + 1] = np.concatenate([self.levels[level + 1], values[coin:cut:2]])
                 self.levels[level] = values[cut:]
