@@ -102,7 +102,9 @@ def x6_group_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 _ROUTES = " ".join(f"when '{k}' then '{v}'" for k, v in TOOL_ROUTES.items())
 _D = "(select case when json_valid(expected_decision) then expected_decision end as d from handwritten_v0)"
+_LEAVES = "(select row_id, '/' || k as path, cast(json_extract(d, '$.' || k) as varchar) as v from (select row_id, d, unnest(json_keys(d)) as k from j) where k <> 'arguments' or json_type(d, '$.arguments') <> 'OBJECT' union all select row_id, '/arguments/' || k, cast(json_extract(d, '$.arguments.' || k) as varchar) from (select row_id, d, unnest(json_keys(d, '$.arguments')) as k from j where json_type(d, '$.arguments') = 'OBJECT'))"
 SQL = {
+    "x6_group_differences": f"with j as (select row_id, case when json_valid(expected_decision) then expected_decision end as d from handwritten_v0), l as {_LEAVES}, f as (select template_group, min(row_id) as r from handwritten_v0 where template_group is not null group by 1), m as (select h.row_id, f.r from handwritten_v0 h join f on h.template_group = f.template_group where h.row_id > f.r), a as (select m.row_id, path, v from m join l on l.row_id = m.r), b as (select m.row_id, path, v from m join l on l.row_id = m.row_id) select coalesce(a.row_id, b.row_id) as row_id, coalesce(a.path, b.path) as path, a.v as left, b.v as right from a full outer join b on a.row_id = b.row_id and a.path = b.path where a.v is distinct from b.v",
     # decisions have no object below their arguments, which is never empty
     "x6_decision_paths": f"select path, count(*) as n, count(distinct v) as values from (select k as path, cast(json_extract(d, '$.' || k) as varchar) as v from (select d, unnest(json_keys(d)) as k from {_D}) where k <> 'arguments' or json_type(d, '$.arguments') <> 'OBJECT' union all select 'arguments/' || k, cast(json_extract(d, '$.arguments.' || k) as varchar) from (select d, unnest(json_keys(d, '$.arguments')) as k from {_D} where json_type(d, '$.arguments') = 'OBJECT')) group by 1",
     "j1_id_set_equality": "with r as (select distinct case_id as id from route_rows where case_id is not null), c as (select distinct id from (select id from agent_route_pairwise_v5 union all select id from frozen_probes) where id is not null) select coalesce(r.id, c.id) as id, case when c.id is null then 'left' else 'right' end as only_in from r full outer join c on r.id = c.id where r.id is null or c.id is null",
