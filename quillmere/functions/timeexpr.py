@@ -83,3 +83,35 @@ def resolved(now: Column, abs: Column | None = None, year: Column | None = None,
     if days is not None:
         forms.append(written(F.date_add(today, days.cast("int")), at))
     return F.coalesce(*forms) if forms else F.lit(None).cast("string")
+
+
+def time_codes(phrase: Column, now: Column, start: Column, end: Column) -> Column:
+    """What a gold interval contradicts in the phrase that it stands for, resolved anew at the moment ``now``.
+
+    PHRASE_UNREADABLE: the phrase names a date that can't be read.  TIME_RESOLVE_MISMATCH, WEEKDAY_MISMATCH, CLOCK_MISMATCH: the
+    start is another date, another weekday, or no clock time that the phrase names.  PAST_START, REVERSED_RANGE.
+    RANGE_SPANS_DAYS: the phrase means one date, the interval has two.  WINDOW_PHRASE: a morning or afternoon that the interval
+    leaves.  MONTH_RANGE_MISMATCH: a whole month whose edges it doesn't have.  A missing phrase or end breaks no rule.
+    """
+    day, from_day, to_day = F.to_date(now), F.to_date(start), F.to_date(end)
+    meant = relative_date(phrase, day)
+    named = phrase.rlike("今天|明天|后天|[上下]周[一二三四五六日天]|[0-9]{1,2} 月 [0-9]{1,2} 日")
+    of_week = F.create_map(*(x for k, v in WEEKDAYS.items() for x in (F.lit(k), F.lit(v))))[F.regexp_extract(phrase, "[上下]周([一二三四五六日天])", 1)]
+    clocks = F.transform(F.regexp_extract_all(phrase, F.lit("([0-9]{1,2}:[0-9]{2})"), F.lit(1)), lambda c: F.lpad(c, 5, "0"))
+    minute = lambda t: F.date_format(t, "HH:mm")
+    whole = phrase.rlike("本月|这个月") & ~named
+    edges = month_edges(day)
+    written = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm")
+    rules = [
+        (named & meant.isNull(), "PHRASE_UNREADABLE"),
+        (from_day != meant, "TIME_RESOLVE_MISMATCH"),
+        (of_week != F.weekday(from_day), "WEEKDAY_MISMATCH"),
+        ((F.size(clocks) > 0) & ~F.array_contains(clocks, minute(start)), "CLOCK_MISMATCH"),
+        (start < now, "PAST_START"),
+        (end <= start, "REVERSED_RANGE"),
+        (meant.isNotNull() & (to_day != from_day), "RANGE_SPANS_DAYS"),
+        (F.contains(phrase, F.lit("上午")) & ((minute(start) >= "12:00") | (minute(end) > "12:00")), "WINDOW_PHRASE"),
+        (F.contains(phrase, F.lit("下午")) & ((minute(start) < "12:00") | (minute(end) < "12:00")), "WINDOW_PHRASE"),
+        (whole & ((written(start) != edges["first"]) | (written(end) != edges["last"])), "MONTH_RANGE_MISMATCH"),
+    ]
+    return F.array_distinct(F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), code) for bad, code in rules))))

@@ -7,7 +7,7 @@ from quillmere.functions import text as X
 from quillmere.functions.calc import calculate, evaluated
 from quillmere.functions.jsonvalue import canonical_text, strict_json
 from quillmere.functions.text import group_number, split_name, time_value
-from quillmere.functions.timeexpr import month_edges, relative_date, resolved, weekday_in_weeks
+from quillmere.functions.timeexpr import month_edges, relative_date, resolved, time_codes, weekday_in_weeks
 
 
 def values(spark, rows, *columns):
@@ -144,3 +144,24 @@ def test_resolved_time_slots(spark):
     slot = lambda **k: resolved(moment, **{n: F.lit(v) for n, v in k.items()})
     got = spark.range(1).select(slot(abs="2026-01-01T00:00"), slot(month=2, edge="end"), slot(month=12, edge="start", year=2027), slot(month=2, day=30), slot(month=3, day=5, clock="08:15"), slot(weekday=2, weeks=1, clock="09:00"), slot(days=-3), slot(month=1, edge="middle")).first()
     assert got[:] == ("2026-01-01T00:00", "2026-02-28T23:59", "2027-12-01T00:00", None, "2026-03-05T08:15", "2026-02-25T09:00", "2026-02-15T00:00", None)
+
+
+@pytest.mark.parametrize(
+    ("phrase", "start", "end", "codes"),
+    [
+        ("明天 10:00 开会", "2026-02-19T10:00", "2026-02-19T11:00", []),
+        ("明天 10:00 开会", "2026-02-20T10:30", "2026-02-20T10:30", ["TIME_RESOLVE_MISMATCH", "CLOCK_MISMATCH", "REVERSED_RANGE"]),
+        ("今天", "2026-02-18T09:00", "2026-02-19T09:30", ["PAST_START", "RANGE_SPANS_DAYS"]),
+        ("下周三", "2026-02-25T09:00", "2026-02-25T10:00", []),
+        ("下周四", "2026-02-25T09:00", "2026-02-25T10:00", ["TIME_RESOLVE_MISMATCH", "WEEKDAY_MISMATCH"]),
+        ("2 月 30 日", "2026-03-02T09:00", "2026-03-02T10:00", ["PHRASE_UNREADABLE"]),
+        ("明天上午", "2026-02-19T11:00", "2026-02-19T13:00", ["WINDOW_PHRASE"]),
+        ("明天下午", "2026-02-19T12:00", "2026-02-19T13:00", []),
+        ("本月的安排", "2026-02-01T00:00", "2026-02-28T23:59", ["PAST_START"]),
+        ("本月的安排", "2026-02-18T10:30", "2026-02-28T23:59", ["MONTH_RANGE_MISMATCH"]),
+        (None, "2026-02-19T11:00", None, []),
+    ],
+)
+def test_time_codes(spark, phrase, start, end, codes):
+    text = lambda x: F.lit(x).cast("string")
+    assert spark.range(1).select(time_codes(text(phrase), time_value(text("2026-02-18T10:00")), time_value(text(start)), time_value(text(end)))).first()[0] == codes
