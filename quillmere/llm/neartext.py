@@ -296,8 +296,9 @@ def representatives(hashed: DataFrame, *more: Column) -> DataFrame:
 def near_classes(rows: DataFrame, reps: DataFrame, common: Commonness, least: float = SIMILARITY, crossing: bool = False) -> DataFrame:
     """Pairs (a, b) of representatives with nearly the same text.  ``reps``: rep and side; ``rows``: uid and text of all rows."""
     spark = rows.sparkSession
-    # texts of representatives alone, written once: they are cut into blocks and looked up again twice to verify
-    chosen = settle(rows.select("uid", "text").join(reps.select(F.col("rep").alias("uid"), "side"), "uid"), "chosen")
+    texts = rows.select("uid", "text")
+    chosen = texts.join(reps.select(F.col("rep").alias("uid"), "side"), "uid")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.texts * 24 // ROWS_PER_PART)
     found = candidates(bucket_blocks(chosen, common, least, parts, crossing), parts, least, crossing)
-    return verified(found, chosen, least)
+    # both joins read one and the same shuffle of the texts; representatives' texts written apart took more disk than they saved
+    return verified(found, texts, least)
