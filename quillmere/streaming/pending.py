@@ -24,15 +24,18 @@ def confirmations(events: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(user_id, event_id, ts, kind) with kind issue or confirm -> the outcome of each confirm.
 
     A confirm refers to the user's latest token: confirmed, expired after the limit, replayed if it was used before,
-    unknown without a token.
+    unknown without a token.  With a column ``allowed``, what the gate says of the write at the moment of the confirm, a
+    confirm in time that isn't allowed (null included) is rejected, and the token is used up all the same.
     """
+    allowed = F.coalesce(F.col("allowed"), F.lit(False)) if "allowed" in events.columns else F.lit(True)
+    events = events.withColumn("allowed", allowed)
     order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     token = F.last(F.when(F.col("kind") == "issue", F.struct(F.col("event_id").alias("id"), F.col("ts").alias("at"))), True).over(order)
     asked = events.withColumn("token", token).where("kind = 'confirm'")
     late = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("token.at").cast("timestamp")) > limit * 1000000
-    judged = asked.select("user_id", F.col("event_id").alias("confirm_id"), "ts", F.col("token.id").alias("token"), F.when(F.col("token").isNull(), "unknown").when(late, "expired").otherwise("in_time").alias("state"))
+    judged = asked.select("user_id", F.col("event_id").alias("confirm_id"), "ts", "allowed", F.col("token.id").alias("token"), F.when(F.col("token").isNull(), "unknown").when(late, "expired").otherwise("in_time").alias("state"))
     first = F.row_number().over(W.partitionBy("user_id", "token", "state").orderBy("ts", "confirm_id"))
-    outcome = F.when(F.col("state") != "in_time", F.col("state")).when(first == 1, "confirmed").otherwise("replayed")
+    outcome = F.when(F.col("state") != "in_time", F.col("state")).when(first > 1, "replayed").when(F.col("allowed"), "confirmed").otherwise("rejected")
     return judged.select("user_id", "confirm_id", "token", outcome.alias("outcome"))
 
 
@@ -47,7 +50,7 @@ def _advancing(limit: int):
             return
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])  # one user's events of one micro-batch
         out = []
-        for event, us, kind in rows[["event_id", "us", "kind"]].itertuples(index=False):
+        for event, us, kind, allowed in rows[["event_id", "us", "kind", "allowed"]].itertuples(index=False):
             if kind == "issue":
                 token, at, used = int(event), int(us), False
             elif token is None:
@@ -55,7 +58,7 @@ def _advancing(limit: int):
             elif us - at > limit * 1000000:
                 out.append((key[0], int(event), token, "expired"))
             else:
-                out.append((key[0], int(event), token, "replayed" if used else "confirmed"))
+                out.append((key[0], int(event), token, "replayed" if used else "confirmed" if allowed else "rejected"))
                 used = True
         if token is not None:
             state.update((token, at, used))
@@ -70,7 +73,7 @@ def _advancing(limit: int):
 
 
 def confirmations_stream(events: DataFrame, limit: int = LIMIT, delay: str | None = None) -> DataFrame:
-    """The same on a stream; only the latest token of each user is state.
+    """The same on a stream, a column ``allowed`` included; only the latest token of each user is state.
 
     With ``delay`` (how late events may come) the watermark drops a token KEPT seconds after its issue; a confirm after
     that is unknown instead of expired.  Without it state stays, so that replays equal the batch form.  Events of one
@@ -79,5 +82,6 @@ def confirmations_stream(events: DataFrame, limit: int = LIMIT, delay: str | Non
     timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
     if delay:
         events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    rows = events.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "kind")
+    allowed = F.coalesce(F.col("allowed"), F.lit(False)) if "allowed" in events.columns else F.lit(True)
+    rows = events.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "kind", allowed.alias("allowed"))
     return rows.groupBy("user_id").applyInPandasWithState(_advancing(limit), OUTCOMES, "token long, at long, used boolean", "append", timeout)

@@ -93,3 +93,13 @@ def test_stream_limit_and_watermark(spark, tmp_path):
     assert kept == OUTCOMES
     firsts = run_once(first_of_each(later.withColumn("s", F.col("ts")), ["user_id", "kind"], "s", "1 hour"), "firsts")
     assert firsts.count() == 4
+
+
+def test_the_gate_speaks_again_at_a_confirm(spark, tmp_path):
+    """A confirm that the gate doesn't allow any more is rejected and uses the token up, in batch and stream."""
+    events = _events(spark).withColumn("allowed", F.when(F.col("event_id") == 2, False).when(F.col("event_id") != 8, True))
+    want = [(1, 2, 1, "rejected"), (1, 3, 1, "replayed"), (1, 5, 4, "expired"), (2, 6, None, "unknown"), (2, 8, 7, "rejected")]
+    assert sorted(r[:] for r in confirmations(events).collect()) == want
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    assert sorted(r[:] for r in run_once(confirmations_stream(stream), "gate").collect()) == want
