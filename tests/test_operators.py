@@ -263,6 +263,47 @@ def test_similar_pairs_with_hot_pieces(spark, monkeypatch):
     assert sorted(r[:] for r in similarity.similar_pairs(rows, None, "id", "t", 0.6).collect()) == whole and len(whole) > 100
 
 
+def shuffled_rows(plan):
+    """Rows that the exchanges of a plan that has run wrote, reused ones once."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    if kind == "ReusedExchangeExec":
+        return 0
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+    below = plan.children()
+    return own + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_similar_pairs_shuffle_few_candidates(spark):
+    names = ["".join(x) for x in itertools.product(("仓库盘点", "车辆年检", "票据遗失"), ("审批", "核销", "追溯", "登记", "押金"), ("台账", "对照表", "流程图"))]
+    left = [(i, x) for i, x in enumerate(y for _ in range(8) for n in names for y in (n + "口径不清", n + " 缺编号"))]
+    right = [(1000 + i, x) for i, x in enumerate(y for _ in range(8) for n in names for y in (n, n + "（修订）", "关于" + n + "补充说明"))]
+    df, other = (spark.createDataFrame(rows, "id int, t string") for rows in (left, right))
+
+    def grams(x):
+        x = x.replace(" ", "")
+        return {x[i : i + 2] for i in range(len(x) - 1)}
+
+    def near(x, y):
+        return len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+
+    of = {(x, y): near(x, y) for x in {x for _, x in left} for y in {y for _, y in right}}
+    want = sorted((i, j, of[x, y]) for i, x in left for j, y in right if of[x, y] >= 0.6)
+    pairs = similar_pairs(df, other, "id", "t", 0.6)
+    assert sorted(r[:] for r in pairs.collect()) == want and len(want) > 5000
+    # 8,915; where copies meet one by one and sizes alone decide, 42,140
+    assert shuffled_rows(pairs._jdf.queryExecution().executedPlan()) < 20_000
+
+
+def test_similar_pairs_of_copies_stand_once_each(spark):
+    df = spark.createDataFrame([(4, "查合同的编号"), (2, "查合同 的编号"), (9, "查合同的编号"), (1, "查合同编号"), (7, None), (8, " "), (5, "ab"), (3, "a b")], "id int, t string")
+    got = sorted((r["a"], r["b"], round(r["similarity"], 4)) for r in similar_pairs(df, None, "id", "t", 0.5).collect())
+    assert got == [(1, 2, 0.5), (1, 4, 0.5), (1, 9, 0.5), (2, 4, 1.0), (2, 9, 1.0), (3, 5, 1.0), (4, 9, 1.0)]
+
+
 def test_contains_pairs_either_way(spark):
     from quillmere.operators.tools import contains_pairs
 
